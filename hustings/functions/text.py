@@ -140,9 +140,16 @@ def remove_salutation(c: Column | str) -> Column:
     return F.when(F.size(parts) > 1, rest).otherwise(_col(c))
 
 
+def title_case(c: Column | str) -> Column:
+    """First letter of each run of letters upper, the others lower, hyphens and marks ending a run."""
+    mark = "\u0001 "
+    apart = F.regexp_replace(_col(c), r"([^\p{L}\s])(?=\p{L})", f"$1{mark}")
+    return F.replace(F.initcap(apart), F.lit(mark), F.lit(""))
+
+
 def display_name(c: Column | str) -> Column:
     """Full name for a report: a blank after each comma, title case."""
-    return F.initcap(F.replace(_col(c), F.lit(","), F.lit(", ")))
+    return title_case(F.replace(_col(c), F.lit(","), F.lit(", ")))
 
 
 def after_salutation(c: Column | str) -> Column:
