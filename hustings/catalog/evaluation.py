@@ -101,11 +101,11 @@ def gold_label_rows(spark, sf):
 # Brute force over all pairs of documents, gold labels as bits.
 PAIRS_SQL = """codes AS (SELECT gold, row_number() OVER (ORDER BY gold) - 1 AS bit FROM (SELECT DISTINCT gold FROM gold)),
    masks AS (SELECT doc_id, CAST(sum(1::BIGINT << CAST(bit AS INT)) AS BIGINT) AS mask FROM gold JOIN codes USING (gold) GROUP BY 1),
-   both AS (SELECT m.doc_id, mask, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS g FROM masks m JOIN gen USING (doc_id)),
+   joint AS (SELECT m.doc_id, mask, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS g FROM masks m JOIN gen USING (doc_id)),
    pairs AS (SELECT count(*) FILTER (a.g = b.g AND (a.mask & b.mask) <> 0) AS tp,
        count(*) FILTER (a.g = b.g AND (a.mask & b.mask) = 0) AS fp,
        count(*) FILTER (a.g <> b.g AND (a.mask & b.mask) <> 0) AS fn0
-     FROM both a JOIN both b ON a.doc_id < b.doc_id),
+     FROM joint a JOIN joint b ON a.doc_id < b.doc_id),
    pairwise AS (SELECT tp, fp, fn0 + (SELECT count(DISTINCT doc_id) FROM gold WHERE doc_id NOT IN (SELECT doc_id FROM gen)) AS fn FROM pairs),
    prf AS (SELECT *, tp * 1.0::DOUBLE / (tp + fp) AS p, tp * 1.0::DOUBLE / (tp + fn) AS r FROM pairwise)"""
 

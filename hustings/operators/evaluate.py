@@ -7,9 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text
+from ..session import cut_lineage
 from .ordering import average_rank, exact_quantiles, top_per_group
 
 
@@ -242,7 +243,7 @@ def expected_mutual_information(pairs: DataFrame) -> DataFrame:
     rows = sizes("a", "sa").withColumn("lane", lanes)
     cols = sizes("b", "sb").withColumn("lane", F.pmod(F.xxhash64("sb"), F.lit(parts)).cast("int"))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def term(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([_expected_terms(float(x), float(y), float(z)) for x, y, z in zip(a, b, n)])
 
@@ -333,7 +334,7 @@ def _two_sided(r: float, n: int) -> float:
     return min(1.0, tail / math.exp(log_whole)) if tail > 0 else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([_two_sided(a, int(b)) for a, b in zip(r, n)])
 
@@ -346,8 +347,9 @@ def pearson_by(df: DataFrame, by: Sequence[str], x: str, y: str, min_n: int = 6)
 
 
 def rank_both(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    ranked = average_rank(df, x, "x_rank", by)
-    return average_rank(ranked, y, "y_rank", by)
+    # One row per speaker by now: written once, so that two rankings do not redo what led here.
+    df = cut_lineage(df)
+    return average_rank(average_rank(df, x, "x_rank", by), y, "y_rank", by)
 
 
 def spearman_by(df: DataFrame, by: Sequence[str], x: str, y: str, min_n: int = 6) -> DataFrame:

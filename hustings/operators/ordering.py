@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 MAX_BUCKETS = 96
 SAMPLE_PER_BUCKET = 16
 
@@ -74,13 +76,17 @@ def _bucket(cols: Sequence[str], bounds: list) -> Column:
 def cumulative_counts(
     df: DataFrame, order: Sequence[str], by: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
-    """Per group and distinct value: rows with it (``n``), below it (``before``), in all (``total``)."""
+    """Per group and distinct value: rows with it (``n``), below it (``before``), in all (``total``).
+
+    The value counts are read three times (for cut points, totals and places) and therefore
+    written to the shared folder once.
+    """
     order, by = list(order), list(by)
     if buckets is None:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(2, min(MAX_BUCKETS, parts))
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in order])
-    counts = df.where(present).groupBy(*by, *order).agg(F.count("*").alias("n"))
+    counts = cut_lineage(df.where(present).groupBy(*by, *order).agg(F.count("*").alias("n")))
     bounds = _bounds(counts.select(*order).distinct(), buckets)
     counts = counts.withColumn("_bucket", _bucket(order, bounds))
 
