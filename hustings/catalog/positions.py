@@ -1 +1,185 @@
-"""."""
+"""Positions of speakers, scoring and labelling of texts."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F, types as T
+
+from ..functions import text
+from ..operators import groups, matrix, pool, scale, score
+from ..plans import fixtures as fx
+from ..sources import tables
+from . import query
+from .matrices import BRANDS, CELLS_SQL, cells
+from .texts import WORDCH
+
+PARENTS_SQL = f"{CELLS_SQL}, p AS (SELECT speaker, subtopic_1 AS topic, stance_score AS y FROM parents)"
+
+
+def parent_cells(spark, sf):
+    return pool.topic_scores(cells(spark, sf)).withColumnRenamed("subtopic_1", "topic")
+
+
+@query("W4", f"""WITH {PARENTS_SQL} SELECT a.topic AS topic_i, b.topic AS topic_j, round(covar_samp(a.y, b.y), 9) AS cov
+ FROM p a JOIN p b USING (speaker) GROUP BY ALL""")
+def topic_covariance(spark, sf):
+    """Covariance of the topics, put together again from all principal components."""
+    scores = parent_cells(spark, sf)
+    model = scale.fit_pca(scores, len(matrix.topic_list(scores)))
+    cov = scale.covariance(model)
+    rows = [(a, b, float(cov[i, j])) for i, a in enumerate(model.topics) for j, b in enumerate(model.topics)]
+    out = spark.createDataFrame(rows, "topic_i string, topic_j string, cov double")
+    return out.withColumn("cov", F.round(F.col("cov") + F.lit(0.0), 9))
+
+
+@query("W4 W8 M13", None)
+def component_positions(spark, sf):
+    scores = parent_cells(spark, sf)
+    chambers = tables.speaker_chamber(fx.stance_results(spark, sf), "subtopic_2")
+    out = scale.embedding_table(scores, chambers, "pca", 2)
+    return scale.flip_axis(out, "dim2").withColumns({f"dim{i}": F.round(f"dim{i}", 6) for i in (1, 2)})
+
+
+@query("W4", f"""WITH {PARENTS_SQL}, m AS (SELECT topic, avg(y) AS m FROM p GROUP BY 1)
+ SELECT speaker, round(sum((y - m) ** 2), 9) AS squared_distance FROM p JOIN m USING (topic) GROUP BY 1""")
+def component_distances(spark, sf):
+    """Squared distance of each speaker from the mean, measured along all components."""
+    scores = parent_cells(spark, sf)
+    model = scale.fit_pca(scores, len(BRANDS))
+    long = scale.project_cells(scores, model)
+    return long.groupBy("speaker").agg(F.round(F.sum(F.col("value") ** 2), 9).alias("squared_distance"))
+
+
+@query("T3 W4")
+def top_loadings(spark, sf):
+    model = scale.fit_pca(parent_cells(spark, sf), 3)
+    top = scale.top_abs(model.loading_table(spark), "loading", 10, ["dim"], "topic")
+    return top.withColumn("loading", F.round("loading", 6))
+
+
+@query("T3", f"""WITH {PARENTS_SQL} SELECT topic, speaker, y AS stance_score, rank FROM (
+   SELECT topic, speaker, round(y, 9) AS y, CAST(row_number() OVER (PARTITION BY topic ORDER BY abs(round(y, 9)) DESC, speaker) AS INTEGER) AS rank FROM p)
+ WHERE rank <= 10""")
+def strongest_speakers(spark, sf):
+    scores = parent_cells(spark, sf).withColumn("stance_score", F.round(F.col("stance_score") + F.lit(0.0), 9))
+    return scale.top_abs(scores, "stance_score", 10, ["topic"], "speaker")
+
+
+@query("W4b", f"""WITH {PARENTS_SQL} SELECT speaker, round(sum(y * y), 9) AS squared_norm FROM p GROUP BY 1""")
+def singular_norms(spark, sf):
+    """Squared length of each speaker's row, measured along all singular vectors."""
+    scores = parent_cells(spark, sf)
+    model = scale.fit_svd(scores, len(BRANDS))
+    long = scale.project_cells(scores, model, centered=False)
+    return long.groupBy("speaker").agg(F.round(F.sum(F.col("value") ** 2), 9).alias("squared_norm"))
+
+
+@query("W4b W8")
+def singular_positions(spark, sf):
+    scores = parent_cells(spark, sf)
+    chambers = tables.speaker_chamber(fx.stance_results(spark, sf), "subtopic_2")
+    out = scale.embedding_table(scores, chambers, "svd", 2)
+    return out.withColumns({f"dim{i}": F.round(f"dim{i}", 6) for i in (1, 2)})
+
+
+@query("W5 W7")
+def irt_positions(spark, sf):
+    model = scale.fit_irt(parent_cells(spark, sf), 1, rounds=8)
+    chambers = tables.speaker_chamber(fx.stance_results(spark, sf), "subtopic_2")
+    return scale.position_tables(model, chambers)["positions"]
+
+
+@query("W5 W7 T3")
+def irt_discrimination(spark, sf):
+    """Strongest topics of a fit in which only existing cells count."""
+    model = scale.fit_irt(cells(spark, sf), 1, zeros="missing", rounds=6)
+    strength = scale.position_tables(model)["discrimination"]
+    return groups.top_k(strength, [F.desc("abs_discrimination"), F.asc("topic")], 10)
+
+
+@query("W6")
+def irt_plane(spark, sf):
+    model = scale.fit_irt(parent_cells(spark, sf), 2, rounds=8)
+    return model.speakers.select("speaker", F.col("t0").alias("dim1"), F.col("t1").alias("dim2"))
+
+
+AGAINST, FAVOR = ("de", "der", "not", "no", "but"), ("and", "with", "for", "the", "et")
+
+
+def _hits_sql(words) -> str:
+    return f"len(list_filter(regexp_extract_all(lower(text), '[{WORDCH}]+'), lambda w: list_contains({list(words)}, w)))"
+
+
+@query("X3 P12", f"""WITH s AS (SELECT doc_id, {_hits_sql(AGAINST)} / 20.0::DOUBLE AS a, {_hits_sql(FAVOR)} / 20.0::DOUBLE AS f, 0.05::DOUBLE AS n FROM documents),
+ e AS (SELECT doc_id, exp(a - greatest(a, f, n)) AS a, exp(f - greatest(a, f, n)) AS f, exp(n - greatest(a, f, n)) AS n FROM s)
+ SELECT doc_id, round(a / (a + f + n), 8) AS p_against, round(f / (a + f + n), 8) AS p_favor, round(n / (a + f + n), 8) AS p_neutral FROM e""")
+def scored_documents(spark, sf):
+    """Every document scored by the word counting scorer, its logits damped."""
+    def damped():
+        model = score.lexical_scorer(AGAINST, FAVOR)()
+        return lambda texts: model(texts) / 20.0
+
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    out = score.score_chunks(docs, "text", damped)
+    return out.select("doc_id", *[F.round(p, 8).alias(p) for p in score.PROBS])
+
+
+def longest_word():
+    """Labeler that takes the longest word; it fails now and then, as a remote model would."""
+    word, tried = re.compile(r"[a-z]{3,}"), set()
+
+    def label(texts):
+        out = []
+        for t in texts:
+            if len(t) % 5 == 0 and t not in tried:
+                tried.add(t)
+                raise RuntimeError("busy")
+            found = word.findall(t)
+            out.append(min(found, key=lambda w: (-len(w), w)) if found else "")
+        return out
+
+    return label
+
+
+@query("X4 S8", """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[a-z]{3,}')) AS w FROM documents),
+ b AS (SELECT doc_id, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) AS rn FROM w) WHERE rn = 1)
+ SELECT d.doc_id, coalesce(b.w, 'Misc.') AS label FROM documents d LEFT JOIN b USING (doc_id)""")
+def generated_labels(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    return score.generate_labels(docs, "text", longest_word).select("doc_id", "label")
+
+
+@query("X4", """WITH l AS (SELECT doc_id, text, CASE WHEN source = 'src0' THEN 'Misc.' ELSE source END AS subtopic_1 FROM documents),
+ w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all('Subtopic of ' || subtopic_1 || ': ' || text, '[a-z]{3,}')) AS w FROM l WHERE subtopic_1 <> 'Misc.'),
+ b AS (SELECT doc_id, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) AS rn FROM w) WHERE rn = 1)
+ SELECT l.doc_id, l.subtopic_1, b.w AS subtopic_2 FROM l LEFT JOIN b USING (doc_id)""")
+def second_level_labels(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    links = docs.select("doc_id", F.when(F.col("source") == "src0", "Misc.").otherwise(F.col("source")).alias("subtopic_1"))
+    out = score.labels_from_parents(links, docs.select("doc_id", F.col("text").alias("document")), longest_word)
+    return out.select("doc_id", "subtopic_1", "subtopic_2")
+
+
+@query("X5 T8")
+def fitted_stances(spark, sf):
+    """Classifier fitted on labelled documents, its predictions on the held out ones."""
+    labels = fx.table(spark, sf, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).alias("label"))
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.col("text").alias("document"))
+    parts = groups.stratified_split(labels, "label", "doc_id").join(docs, "doc_id")
+    model, _, _ = score.fit_stance(parts.where("split = 'train'"), parts.where("split = 'val'"), features=1 << 12)
+    out = score.predict_stance(model, parts.where("split = 'test'"))
+    return out.select("doc_id", "label", "pred", F.round(F.array_max("probabilities"), 6).alias("sure"))
+
+
+@query("F14")
+def tokenizer_counts(spark, sf):
+    """Tokens by a tokenizer of the user's, next to the default count."""
+    @F.pandas_udf(T.IntegerType())
+    def pieces(s: pd.Series) -> pd.Series:
+        return s.str.len().floordiv(4)
+
+    return fx.table(spark, sf, "documents").select(
+        "doc_id", text.token_count("text").alias("default"), pieces("text").alias("pieces")
+    )
