@@ -119,7 +119,7 @@ TERMS_SQL = f"""terms AS (SELECT source AS cluster, unnest({words_sql(NORM_SQL)}
 
 def tokens(spark, sf):
     return fx.table(spark, sf, "documents").select(
-        F.col("source").alias("cluster"), F.explode(text.words(text.normalize_text("text"))).alias("term")
+        F.col("source").alias("cluster"), F.explode(text.plain_words("text")).alias("term")
     )
 
 
@@ -268,6 +268,6 @@ def topic_parents_by_vector(spark, sf):
 
 @query("C10")
 def two_level_topics(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", text.words(text.normalize_text("text")).alias("words"))
+    docs = fx.table(spark, sf, "documents").select("doc_id", text.plain_words("text").alias("words"))
     out = cluster.lda_taxonomy(docs, "words", 4, 3, 5)
     return out.select("doc_id", "topic_1", "topic_1_words", "topic_2", "topic_2_words")

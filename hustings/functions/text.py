@@ -56,22 +56,24 @@ def clean_speech(c: Column | str, fixed_order: bool = False) -> Column:
 def standardize_title(c: Column | str) -> Column:
     """Bill title in the form in which titles are compared; NULL when nothing is left.
 
-    Every step is one anchored replacement, so the expression stays as long as the list of
-    steps instead of doubling with each of them.
+    Things tried once each, one after the other, at the start or the end of a title are one
+    pattern of optional parts in that order. A rejected title comes out empty.
     """
-    led = "|".join(re.escape(p) for p in fixed.COMMA_PREFIXES)
+    either = "|".join(re.escape(p) for p in fixed.COMMA_PREFIXES)
+    starts = "".join(f"(?:{re.escape(p)})?" for p in fixed.PLAIN_PREFIXES)
+    ends = "".join(f"(?:{re.escape(e)})?" for e in reversed(fixed.TITLE_ENDINGS))
     title = F.trim(squeeze(F.lower(_col(c))))
-    title = F.regexp_replace(title, f"^(?:{led}).*?, ", "")
-    rejected = title.startswith(fixed.TITLE_REJECT)
-    steps = [(f"^{re.escape(p)}", "") for p in fixed.PLAIN_PREFIXES]
-    steps += [(r" *--.*$", ""), (r"[.,;]$", "")]
-    steps += [(f"{re.escape(e)}$", "") for e in fixed.TITLE_ENDINGS]
-    steps += [
-        (r", \d{4}$", ""), (r"act of \d{4}$", "act"), (r"act of$", "act"), (r"[^A-Za-z0-9\s]+", "")
-    ]
-    for pattern, put in steps:
+    for pattern, put in (
+        (f"^(?:{either}).*?, ", ""),
+        (f"^(?:{re.escape(fixed.TITLE_REJECT)}.*|{starts})", ""),
+        (r" *--.*$", ""),
+        (f"{ends}[.,;]?$", ""),
+        (r", \d{4}$", ""),
+        (r"act of(?: \d{4})?$", "act"),
+        (r"[^A-Za-z0-9\s]+", ""),
+    ):
         title = F.regexp_replace(title, pattern, put)
-    return F.when(~rejected, F.nullif(title, F.lit("")))
+    return F.nullif(title, F.lit(""))
 
 
 def normalize_text(c: Column | str, urls: bool = False, digits: bool = False) -> Column:
@@ -85,6 +87,11 @@ def normalize_text(c: Column | str, urls: bool = False, digits: bool = False) ->
     return F.trim(squeeze(text))
 
 
+def plain_words(c: Column | str, urls: bool = False, digits: bool = False) -> Column:
+    """Words of the normalised text, which has single blanks between them."""
+    return F.filter(F.split(normalize_text(c, urls, digits), " "), lambda w: w != "")
+
+
 def remove_stopwords(c: Column | str, stopwords: Sequence[str]) -> Column:
     stop = F.array(*[F.lit(w) for w in stopwords])
     return F.array_join(F.filter(words(c), lambda w: ~F.array_contains(stop, w)), " ")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text, vectors
 from ..session import cut_lineage
+from .joins import per_distinct_text, salted_join
 from .ordering import positions
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -25,22 +26,23 @@ def embed_texts(df: DataFrame, col: str, encoder: Callable[[], Encoder] | None =
     ``encoder`` is called once per task and gives a function from texts to a matrix. Without
     one, hashed words weighted by rarity stand in. Vectors come out with unit length.
     """
-    distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    if encoder is None:
-        tokens = distinct.withColumn("_words", text.words(text.normalize_text(col)))
-        hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size).transform(tokens)
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = encoder()
+        for batch in batches:
+            yield pd.Series(list(np.asarray(model(batch.tolist()), dtype="float64")))
+
+    def work(distinct: DataFrame) -> DataFrame:
+        if encoder is not None:
+            raw = distinct.withColumn("_raw", encode(F.col(col)))
+            return raw.withColumn("embedding", vectors.l2_normalize("_raw"))
+        tokens = distinct.select("_digest", text.plain_words(col).alias("_words"))
+        hashed = cut_lineage(HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size).transform(tokens).drop("_words"))
         weighted = IDF(inputCol="_tf", outputCol="_idf").fit(hashed).transform(hashed)
         unit = Normalizer(inputCol="_idf", outputCol="_unit").transform(weighted)
-        encoded = unit.select(col, vector_to_array("_unit").alias("embedding"))
-    else:
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = encoder()
-            for batch in batches:
-                yield pd.Series(list(np.asarray(model(batch.tolist()), dtype="float64")))
+        return unit.withColumn("embedding", vector_to_array("_unit"))
 
-        encoded = distinct.select(col, vectors.l2_normalize(encode(F.col(col))).alias("embedding"))
-    return df.join(encoded, col, "left")
+    return per_distinct_text(df, col, work, "embedding")
 
 
 def project(df: DataFrame, vector: str, k: int, size: int, method: str = "random", seed: int = 42) -> DataFrame:
@@ -139,7 +141,7 @@ def silhouettes(df: DataFrame, by: Sequence[str], coords: Sequence[str]) -> Data
     total = F.greatest(F.col("_n") * square - 2 * cross + F.col("_q"), F.lit(0.0))
     own = F.col("label") == F.col("_other")
     rest = [c for c in known.columns if c not in by]
-    pairs = known.join(stats, by).select(
+    pairs = salted_join(known, stats, by, rest).select(
         *by, *rest,
         F.when(own, total / F.nullif(F.col("_n") - 1, F.lit(0))).alias("_in"),
         F.when(~own, total / F.col("_n")).alias("_out"),

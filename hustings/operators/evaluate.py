@@ -106,7 +106,17 @@ def _pairs(n: Column) -> Column:
     return (d * (d - 1) / 2).cast("decimal(38,0)")
 
 
-def pair_counts(gold: DataFrame, gen: DataFrame, max_labels: int = MAX_SUBSET_LABELS) -> DataFrame:
+def signature_counts(gold: DataFrame, gen: DataFrame) -> DataFrame:
+    """Documents by the set of their gold labels and their generated label (NULL for none).
+
+    Everything about pairs follows from this table, which is written once.
+    """
+    signatures = gold.groupBy("doc_id").agg(F.array_sort(F.collect_set("gold")).alias("labels"))
+    named = signatures.join(gen.select("doc_id", F.col("label").alias("gen")), "doc_id", "left")
+    return cut_lineage(named.groupBy("labels", "gen").agg(F.count("*").alias("n")))
+
+
+def pair_counts(signatures: DataFrame, max_labels: int = MAX_SUBSET_LABELS) -> DataFrame:
     """Document pairs by same generated label and by sharing a gold label, without listing pairs.
 
     Documents with the same gold labels are merged first. Pairs that share a label are then
@@ -116,11 +126,7 @@ def pair_counts(gold: DataFrame, gen: DataFrame, max_labels: int = MAX_SUBSET_LA
     than ``max_labels`` labels are matched with the others on shared labels instead, each
     pair once, at its first shared label.
     """
-    signatures = gold.groupBy("doc_id").agg(
-        F.array_sort(F.array_distinct(F.collect_set("gold"))).alias("labels")
-    )
-    both = signatures.join(gen.select("doc_id", F.col("label").alias("gen")), "doc_id")
-    merged = both.groupBy("labels", "gen").agg(F.count("*").alias("n"))
+    merged = signatures.where(F.col("gen").isNotNull())
     small = merged.where(F.size("labels") <= max_labels)
     large = merged.where(F.size("labels") > max_labels)
 
@@ -132,14 +138,14 @@ def pair_counts(gold: DataFrame, gen: DataFrame, max_labels: int = MAX_SUBSET_LA
     by_subset = (
         small.select(F.explode(subsets).alias("subset"), "gen", "n")
         .where(F.size("subset") > 0)
-        .withColumns({"key": F.xxhash64("subset"), "odd": F.size("subset") % 2})
-        .groupBy("key", "subset", "odd", "gen")
+        .withColumn("odd", F.size("subset") % 2)
+        .groupBy("subset", "odd", "gen")
         .agg(F.sum("n").alias("n"))
     )
     sign = F.when(F.col("odd") == 1, 1).otherwise(-1)
     same = by_subset.agg(F.sum(sign * _pairs(F.col("n"))).alias("v"))
     every = (
-        by_subset.groupBy("key", "subset", "odd").agg(F.sum("n").alias("n"))
+        by_subset.groupBy("subset", "odd").agg(F.sum("n").alias("n"))
         .agg(F.sum(sign * _pairs(F.col("n"))).alias("v"))
     )
 
@@ -155,25 +161,25 @@ def pair_counts(gold: DataFrame, gen: DataFrame, max_labels: int = MAX_SUBSET_LA
         F.sum(weight).alias("every"), F.sum(F.when(F.col("g1") == F.col("g2"), weight)).alias("same")
     )
 
-    clusters = both.groupBy("gen").agg(F.count("*").alias("n")).agg(F.sum(_pairs(F.col("n"))).alias("v"))
+    clusters = merged.groupBy("gen").agg(F.sum("n").alias("n")).agg(F.sum(_pairs(F.col("n"))).alias("v"))
     zero = F.lit(0).cast("decimal(38,0)")
     pick = lambda df, c="v": F.coalesce(df.select(c).scalar(), zero)
-    one = df_one_row(gold)
-    return one.select(
+    return one_row(signatures).select(
         (pick(same) + pick(own) + pick(crossed, "same")).alias("same_and_share"),
         (pick(every) + pick(own) + pick(crossed, "every")).alias("share"),
         pick(clusters).alias("same"),
     )
 
 
-def df_one_row(df: DataFrame) -> DataFrame:
+def one_row(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1).select()
 
 
 def pairwise_metrics(gold: DataFrame, gen: DataFrame, max_labels: int = MAX_SUBSET_LABELS) -> DataFrame:
     """Pairwise precision, recall and F1; every document without a generated label is one miss."""
-    missing = gold.select("doc_id").distinct().join(gen, "doc_id", "left_anti").agg(F.count("*")).scalar()
-    counts = pair_counts(gold, gen, max_labels).withColumn("missing", missing)
+    signatures = signature_counts(gold, gen)
+    missing = signatures.where(F.col("gen").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    counts = pair_counts(signatures, max_labels).withColumn("missing", missing)
     tp, same, share = F.col("same_and_share"), F.col("same"), F.col("share")
     missed = share - tp + F.col("missing")
     d = lambda c: c.cast("double")
@@ -189,9 +195,13 @@ def pairwise_metrics(gold: DataFrame, gen: DataFrame, max_labels: int = MAX_SUBS
     return out.withColumn("f1", F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)))
 
 
-def mutual_information(pairs: DataFrame) -> DataFrame:
-    """MI and both entropies of two labelings of the same rows, in nats."""
-    cells = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+def contingency(pairs: DataFrame) -> DataFrame:
+    """Rows by both labels, written once; all of mutual information follows from it."""
+    return cut_lineage(pairs.groupBy("a", "b").agg(F.count("*").alias("n")))
+
+
+def mutual_information(cells: DataFrame) -> DataFrame:
+    """MI and both entropies of two labelings of the same rows, in nats, from their contingency."""
     rows = cells.groupBy("a").agg(F.sum("n").alias("na"))
     cols = cells.groupBy("b").agg(F.sum("n").alias("nb"))
     total = cells.agg(F.sum("n")).scalar().cast("double")
@@ -228,17 +238,17 @@ def _expected_terms(a: float, b: float, total: float) -> float:
     return float(np.sum(n / total * (np.log(n) + math.log(total) - math.log(a) - math.log(b)) * np.exp(log_p)))
 
 
-def expected_mutual_information(pairs: DataFrame) -> DataFrame:
+def expected_mutual_information(cells: DataFrame) -> DataFrame:
     """Expected MI of random labelings with the same cluster sizes.
 
     Only distinct sizes matter. There are at most about sqrt(2N) of them on each side, so
     all combinations together are fewer than the rows they come from.
     """
     def sizes(col: str, out: str) -> DataFrame:
-        return pairs.groupBy(col).agg(F.count("*").alias(out)).groupBy(out).agg(F.count("*").alias(f"{out}_k"))
+        return cells.groupBy(col).agg(F.sum("n").alias(out)).groupBy(out).agg(F.count("*").alias(f"{out}_k"))
 
-    total = pairs.agg(F.count("*")).scalar()
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = cells.agg(F.sum("n")).scalar()
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lanes = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     rows = sizes("a", "sa").withColumn("lane", lanes)
     cols = sizes("b", "sb").withColumn("lane", F.pmod(F.xxhash64("sb"), F.lit(parts)).cast("int"))
@@ -255,8 +265,9 @@ def expected_mutual_information(pairs: DataFrame) -> DataFrame:
 
 def ami(pairs: DataFrame) -> DataFrame:
     """Adjusted mutual information of labelings ``a`` and ``b``, arithmetic mean of entropies."""
-    expected = expected_mutual_information(pairs).scalar()
-    base = mutual_information(pairs).withColumn("expected_mi", F.coalesce(expected, F.lit(0.0)))
+    cells = contingency(pairs)
+    expected = expected_mutual_information(cells).scalar()
+    base = mutual_information(cells).withColumn("expected_mi", F.coalesce(expected, F.lit(0.0)))
     mean = (F.col("h_a") + F.col("h_b")) / 2
     room = mean - F.col("expected_mi")
     eps = F.lit(2.220446049250313e-16)

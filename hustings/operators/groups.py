@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from .ordering import cumulative_counts, exact_quantiles, first_by, top_per_group
@@ -34,13 +34,13 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 
 
 def label_distribution(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows and percent per label, within each of ``by``."""
+    """Rows and percent per label, within each of ``by``.
+
+    The window sees one row per label, the rows themselves having been counted before.
+    """
     counts = df.groupBy(*by, label).agg(F.count("*").alias("n"))
-    if not by:
-        total = counts.agg(F.sum("n")).scalar()
-        return counts.withColumn("pct", F.col("n") * 100 / total)
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("_t"))
-    return counts.join(totals, list(by)).withColumn("pct", F.col("n") * 100 / F.col("_t")).drop("_t")
+    whole = F.sum("n").over(Window.partitionBy(*(by or [F.lit(0)])))
+    return counts.withColumn("pct", F.col("n") * 100 / whole)
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:

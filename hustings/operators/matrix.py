@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .ordering import count_quantile
 
 MAX_COLUMNS = 10_000
@@ -77,8 +78,10 @@ def coverage_filter(
 ) -> DataFrame:
     """Keep well covered speakers, then topics well covered by the speakers kept.
 
-    Topics have to reach both the percentile and the coverage share.
+    Topics have to reach both the percentile and the coverage share. The cells are gone
+    through several times and written to the shared folder once for that.
     """
+    cells = cut_lineage(cells)
     if speaker_p > 0:
         keep = _at_least(coverage_counts(cells, "speaker", topic), speaker_p)
         cells = cells.join(keep.select("speaker"), "speaker", "left_semi")
@@ -94,6 +97,7 @@ def coverage_filter(
 
 def coverage_report(cells: DataFrame, by: str, of: str) -> DataFrame:
     """Share of partners covered per key, over all partners there are."""
+    cells = cut_lineage(cells.select(by, of, "stance_score"))
     partners = cells.agg(F.count_distinct(of)).scalar()
     return coverage_counts(cells, by, of).withColumn("coverage", F.col("n") / partners)
 

@@ -49,11 +49,11 @@ def fit_pca(cells: DataFrame, k: int = 2) -> Components:
     """
     topics = topic_list(cells)
     wide = to_matrix(cells, topics).na.fill(0.0, subset=topics)
-    rows = VectorAssembler(inputCols=topics, outputCol="_v").transform(wide).select("_v")
+    rows = cut_lineage(VectorAssembler(inputCols=topics, outputCol="_v").transform(wide).select("_v"))
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(rows)
     model = PCA(k=k, inputCol="_c", outputCol="_pc").fit(scaler.transform(rows))
     spread = np.asarray(scaler.std.toArray()) ** 2
-    n = wide.count()
+    n = rows.count()
     return Components(
         topics,
         _fix_signs(model.pc.toArray()),
@@ -195,7 +195,6 @@ def fit_irt(
     dense = zeros == "observed"
     d = dims
     th = [f"t{i}" for i in range(d)]
-    al = [f"a{i}" for i in range(d)]
     obs = cells.select("speaker", "topic", F.col(score).cast("double").alias("y")).where(F.col("y").isNotNull())
     if dense:
         obs = obs.where(F.col("y") != 0)
@@ -220,23 +219,78 @@ def fit_irt(
     )
     theta = cut_lineage(theta)
     history: list[float] = []
-    items = None
-    extra = 0.0
-    for _ in range(rounds):
-        items, expected_ssr = _topic_step(obs, theta, everything, d, sigma2, dense, n_speakers, base["q"])
-        sigma2 = _noise(expected_ssr, n_obs)
-        theta_sums = _numbers(theta, {"h": _theta_cost(d)}) if history or extra else None
-        prior = _numbers(items, {"p": sum((F.sum(F.col(c) * F.col(c)) for c in [*al, "b"]), F.lit(0.0))})["p"] / 2
-        if theta_sums is not None:
-            sigma = math.sqrt(sigma2)
+    for turn in range(rounds):
+        # Sums over all speakers: what the unwritten zeros add, and the cost of theta.
+        moments = _numbers(theta.withColumn("minus", F.lit(-1.0)), _theta_moments(d, turn > 0))
+        items = _topic_step(obs, theta, everything, d, sigma2, moments if dense else None)
+        totals = _numbers(items, _topic_totals(d))
+        ssr = max(base["q"] + totals["e"], 1e-12)
+        sigma2 = _noise(ssr, n_obs)
+        size = {i: moments[f"m{i}{i}"] + moments[f"s{i}{i}"] for i in range(d)}
+        stretch = {i: _stretch(size[i], totals[f"m{i}{i}"], n_speakers) for i in range(d)}
+        cost = moments.get("h", 0.0) + sum(
+            (c * c - 1) * size[i] / 2 - n_speakers * math.log(c) for i, c in stretch.items()
+        )
+        items, totals = _rescaled(items, totals, stretch)
+        if turn:
             history.append(
-                n_obs / 2 * math.log(2 * math.pi * sigma2) + expected_ssr / (2 * sigma2) + sigma + prior + theta_sums["h"]
+                n_obs / 2 * math.log(2 * math.pi * sigma2) + ssr / (2 * sigma2) + math.sqrt(sigma2)
+                + totals["p"] / 2 + cost
+            )
+        if len(history) > 1 and history[-2] - history[-1] <= tol * max(1.0, abs(history[-1])):
+            theta = theta.select(
+                "speaker", *[(F.col(th[i]) * stretch[i]).alias(th[i]) for i in range(d)],
+                *[(F.col(f"v{i}{j}") * stretch[i] * stretch[j]).alias(f"v{i}{j}") for i in range(d) for j in range(i, d)],
             )
-        if len(history) > 1 and abs(history[-2] - history[-1]) <= tol * max(1.0, abs(history[-1])):
             break
-        theta = _speaker_step(obs, items, everyone, d, sigma2, dense)
-        extra = 1.0
-    return _identified(obs, theta, items, d, sigma2, history)
+        theta = _speaker_step(obs, items, everyone, d, sigma2, totals if dense else None)
+    return _identified(theta, items, d, sigma2, history)
+
+
+def _stretch(size: float, strength: float, n: int) -> float:
+    """Factor on theta (and its inverse on a) that suits both priors best; the fit does not feel it.
+
+    Without it the scale, which the data leave open, would creep to its place round by round.
+    """
+    return math.sqrt((n + math.sqrt(n * n + 4 * size * strength)) / (2 * size)) if size > 0 else 1.0
+
+
+def _rescaled(items: DataFrame, totals: dict[str, float], stretch: dict[int, float]) -> tuple[DataFrame, dict[str, float]]:
+    d = len(stretch)
+    items = items.withColumns(
+        {f"a{i}": F.col(f"a{i}") / c for i, c in stretch.items()}
+        | {f"var_a{i}": F.col(f"var_a{i}") / (c * c) for i, c in stretch.items()}
+    )
+    out = dict(totals)
+    out["p"] += sum(totals[f"m{i}{i}"] * (1 / (c * c) - 1) for i, c in stretch.items())
+    for i in range(d):
+        out[f"o{i}"] = totals[f"o{i}"] / stretch[i]
+        for j in range(i, d):
+            out[f"m{i}{j}"] = totals[f"m{i}{j}"] / (stretch[i] * stretch[j])
+    return items, out
+
+
+def _theta_moments(d: int, cost: bool) -> dict[str, Column]:
+    x = [*[f"t{i}" for i in range(d)], "minus"]
+    spread = {f"s{i}{j}": F.sum(f"v{i}{j}") for i in range(d) for j in range(i, d)}
+    return _outer("m", x) | spread | ({"h": _theta_cost(d)} if cost else {})
+
+
+def _topic_totals(d: int) -> dict[str, Column]:
+    """Sums over all topics: error beyond the sum of squares, prior, and products of parameters."""
+    al = [f"a{i}" for i in range(d)]
+    names = [*al, "b"]
+    quad = sum(
+        (F.col(names[i]) * F.col(names[j]) * F.col(f"g{min(i, j)}{max(i, j)}") for i in range(d + 1) for j in range(d + 1)),
+        F.lit(0.0),
+    )
+    lin = sum((F.col(names[i]) * F.col(f"r{i}") for i in range(d + 1)), F.lit(0.0))
+    prior = sum((F.col(n) * F.col(n) for n in names), F.lit(0.0))
+    return (
+        {"e": F.sum(quad - 2 * lin), "p": F.sum(prior)}
+        | _outer("m", al)
+        | {f"o{i}": F.sum(F.col(al[i]) * F.col("b")) for i in range(d)}
+    )
 
 
 def _theta_cost(d: int) -> Column:
@@ -258,23 +312,21 @@ def _noise(ssr: float, n: float) -> float:
     return s * s
 
 
-def _topic_step(obs, theta, everything, d, sigma2, dense, n_speakers, sum_sq):
-    """Ridge solution (a, b) of each topic, with its variances, and the expected squared error."""
+def _topic_step(obs, theta, everything, d, sigma2, moments):
+    """Ridge solution (a, b) of each topic with its variances.
+
+    ``moments`` are the sums over all speakers when every cell counts, else None.
+    """
     th, al = [f"t{i}" for i in range(d)], [f"a{i}" for i in range(d)]
     x = [*th, "minus"]
     joined = obs.join(theta, "speaker").withColumn("minus", F.lit(-1.0))
     sums = {f"r{i}": F.sum(F.col("y") * F.col(x[i])) for i in range(d + 1)}
-    if not dense:
-        sums |= _outer("m", x)
-        sums |= {f"s{i}{j}": F.sum(f"v{i}{j}") for i in range(d) for j in range(i, d)}
+    if moments is None:
+        sums |= _theta_moments(d, False)
     per = joined.groupBy("topic").agg(*[c.alias(n) for n, c in sums.items()])
     per = everything.join(per, "topic", "left").na.fill(0.0)
-    if dense:
-        g = _numbers(
-            theta.withColumn("minus", F.lit(-1.0)),
-            _outer("m", x) | {f"s{i}{j}": F.sum(f"v{i}{j}") for i in range(d) for j in range(i, d)},
-        )
-        per = per.withColumns({n: F.lit(v) for n, v in g.items()})
+    if moments is not None:
+        per = per.withColumns({n: F.lit(v) for n, v in moments.items() if n != "h"})
     second = _sym("m", d + 1)
     for i in range(d):
         for j in range(d):
@@ -290,30 +342,24 @@ def _topic_step(obs, theta, everything, d, sigma2, dense, n_speakers, sum_sq):
         *[(F.lit(sigma2) * inv[i][i]).alias(f"var_{names[i]}") for i in range(d + 1)],
         *[second[i][j].alias(f"g{i}{j}") for i in range(d + 1) for j in range(i, d + 1)],
     )
-    solved = cut_lineage(solved)
-    quad = sum(
-        (F.col(names[i]) * F.col(names[j]) * F.col(f"g{min(i, j)}{max(i, j)}") for i in range(d + 1) for j in range(d + 1)),
-        F.lit(0.0),
-    )
-    lin = sum((F.col(names[i]) * F.col(f"r{i}") for i in range(d + 1)), F.lit(0.0))
-    err = _numbers(solved, {"e": F.sum(quad - 2 * lin)})["e"]
-    keep = ["topic", *names, *[f"var_{n}" for n in names]]
-    return solved.select(*keep), max(sum_sq + err, 1e-12)
+    return cut_lineage(solved)
+
 
+def _speaker_step(obs, items, everyone, d, sigma2, totals):
+    """Mean and variance of theta of each speaker under the current topics.
 
-def _speaker_step(obs, items, everyone, d, sigma2, dense):
-    """Mean and variance of theta of each speaker under the current topics."""
+    ``totals`` are the sums over all topics when every cell counts, else None.
+    """
     al = [f"a{i}" for i in range(d)]
-    joined = obs.join(items, "topic")
-    target = F.col("y") if dense else F.col("y") + F.col("b")
+    joined = obs.join(items.select("topic", *al, "b"), "topic")
+    target = F.col("y") if totals is not None else F.col("y") + F.col("b")
     sums = {f"r{i}": F.sum(F.col(al[i]) * target) for i in range(d)}
-    if not dense:
+    if totals is None:
         sums |= _outer("m", al)
     per = joined.groupBy("speaker").agg(*[c.alias(n) for n, c in sums.items()])
     per = everyone.join(per, "speaker", "left").na.fill(0.0)
-    if dense:
-        g = _numbers(items, _outer("m", al) | {f"o{i}": F.sum(F.col(al[i]) * F.col("b")) for i in range(d)})
-        per = per.withColumns({n: F.lit(v) for n, v in g.items()})
+    if totals is not None:
+        per = per.withColumns({n: F.lit(v) for n, v in totals.items() if n not in ("e", "p")})
         per = per.withColumns({f"r{i}": F.col(f"r{i}") + F.col(f"o{i}") for i in range(d)})
     m = _sym("m", d)
     ridge = [[m[i][j] + (F.lit(sigma2) if i == j else F.lit(0.0)) for j in range(d)] for i in range(d)]
@@ -326,7 +372,7 @@ def _speaker_step(obs, items, everyone, d, sigma2, dense):
     return cut_lineage(out)
 
 
-def _identified(obs, theta, items, d, sigma2, history) -> ItemResponse:
+def _identified(theta, items, d, sigma2, history) -> ItemResponse:
     """Turn to principal axes of theta and make each dimension's strongest topic positive."""
     turn = np.eye(d)
     if d == 2:
@@ -354,7 +400,10 @@ def _identified(obs, theta, items, d, sigma2, history) -> ItemResponse:
         "speaker", *[(c * sign[i]).alias(t_names[i]) for i, c in enumerate(turned(t_names))],
         *[c.alias(n) for n, c in spread.items()],
     )
-    topics = rotated.withColumns({a: F.col(a) * sign[i] for i, a in enumerate(a_names)})
+    topics = rotated.select(
+        "topic", *[(F.col(a) * sign[i]).alias(a) for i, a in enumerate(a_names)], "b",
+        *[f"var_{a}" for a in a_names], "var_b",
+    )
     return ItemResponse(d, speakers, topics, sigma2, history)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions import fixed, stance, text
 from ..functions.stance import PROBS
 from . import evaluate
+from .joins import per_distinct_text
 
 Scorer = Callable[[list[str]], np.ndarray]
 Labeler = Callable[[list[str]], list[str]]
@@ -86,9 +87,8 @@ def generate_labels(
             found = ask(texts) or [one(t) for t in texts]
             yield pd.Series([f.strip() if f and f.strip() else default for f in found], dtype="object")
 
-    distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    named = distinct.withColumn(out, label(F.col(col)))
-    return df.join(named, col, "left").withColumn(out, F.coalesce(out, F.lit(default)))
+    named = per_distinct_text(df, col, lambda texts: texts.withColumn(out, label(F.col(col))), out)
+    return named.withColumn(out, F.coalesce(out, F.lit(default)))
 
 
 def labels_from_parents(links: DataFrame, docs: DataFrame, labeler: Callable[[], Labeler], retries: int = 5) -> DataFrame:
@@ -114,7 +114,7 @@ def fit_stance(
     its regularisation and its F1.
     """
     def words(df: DataFrame) -> DataFrame:
-        return df.withColumns({"_words": text.words(text.normalize_text(col)), "_y": F.col(label).cast("double")})
+        return df.withColumns({"_words": text.plain_words(col), "_y": F.col(label).cast("double")})
 
     front = Pipeline(
         stages=[
@@ -142,7 +142,7 @@ def fit_stance(
 
 def predict_stance(model: PipelineModel, df: DataFrame, col: str = "document") -> DataFrame:
     """Adds the probabilities of the fitted classes and the likeliest class."""
-    ready = df.withColumn("_words", text.words(text.normalize_text(col)))
+    ready = df.withColumn("_words", text.plain_words(col))
     out = model.transform(ready).withColumn("_prob", vector_to_array("_prob"))
     kept = out.withColumn("pred", F.col("prediction").cast("int")).withColumn("probabilities", F.col("_prob"))
     return kept.select(*df.columns, "pred", "probabilities")

@@ -35,10 +35,11 @@ def _units(document: Column, max_tokens: int, counter: Counter) -> Column:
         return F.struct(body.alias("body"), counter(body).alias("size"), kind.alias("kind"))
 
     def spread(s: Column) -> Column:
-        pieces = F.transform(text.words(s), lambda w, i: unit(w, F.when(i == 0, 2).otherwise(1)))
-        return F.when(counter(s) > max_tokens, pieces).otherwise(F.array(unit(s, F.lit(0))))
+        pieces = F.transform(text.words(s["body"]), lambda w, i: unit(w, F.when(i == 0, 2).otherwise(1)))
+        return F.when(s["size"] > max_tokens, pieces).otherwise(F.array(s))
 
-    return F.flatten(F.transform(text.sentences(document), spread))
+    sized = F.transform(text.sentences(document), lambda s: unit(s, F.lit(0)))
+    return F.flatten(F.transform(sized, spread))
 
 
 def pack(
@@ -103,9 +104,11 @@ def split_documents(
     A document over the input limit but under its own limit stays whole.
     """
     doc = F.coalesce(F.col(document), F.lit(""))
-    cut = needs_split(document, target, summary, max_tokens, training=training, counter=counter) & (
-        counter(doc) + 2 > max_tokens
-    )
+    # A document within its own limit stays whole whatever its input adds up to, and one
+    # beyond it is cut unless (in training) all of its input still fits.
+    cut = counter(doc) + 2 > max_tokens
+    if training:
+        cut = cut & needs_split(document, target, summary, max_tokens, training=True, counter=counter)
     chunks = F.when(cut, pack(doc, max_tokens, overlap, counter)).otherwise(F.array(doc))
     return number_chunks(df.withColumn("_chunks", chunks), "_chunks", document)
 

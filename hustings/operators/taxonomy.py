@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, vectors
+from ..session import cut_lineage
+from .joins import salted_join
 from .ordering import first_by, top_per_group
 
 MAX_IDS_PER_CELL = 10_000
@@ -64,7 +66,7 @@ def medoids(
 ) -> DataFrame:
     """Member of each group closest to the group's mean by cosine, the first one on ties."""
     centers = vectors.centroid(df, list(by), vector, "_center").drop("n")
-    near = df.join(centers, list(by)).withColumn("_cos", vectors.cosine(vector, "_center"))
+    near = salted_join(df, centers, list(by), [order]).withColumn("_cos", vectors.cosine(vector, "_center"))
     return near.groupBy(*by).agg(
         F.min_by(item, F.struct((-F.col("_cos")).alias("_far"), F.col(order))).alias(out)
     )
@@ -115,7 +117,8 @@ def term_weights(tokens: DataFrame, by: Sequence[str]) -> DataFrame:
 
     ``tokens`` has the class columns and ``term``, one row per word.
     """
-    tf = tokens.groupBy(*by, "term").agg(F.count("*").alias("tf"))
+    # Read three times below: written once, so that texts are not cut into words again.
+    tf = cut_lineage(tokens.groupBy(*by, "term").agg(F.count("*").alias("tf")))
     total = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     sizes = tf.groupBy(*by).agg(F.sum("tf").alias("_s"))
     mean = sizes.agg(F.avg("_s")).scalar()

@@ -7,8 +7,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widened(df) if name in TEXT_TABLES else df
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when the scan has fewer parts than that, as a lone small file has.
+
+    A large table has more parts than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # Full order of the chunks of a document; the line number alone is not unique.
