@@ -22,7 +22,7 @@ def falls(values):
 @pytest.mark.parametrize("zeros, missing", [("observed", 0.0), ("missing", 0.4)])
 def test_recovery(spark, zeros, missing):
     theta, a, cells = responses(spark, 1, missing=missing)
-    model = scale.fit_irt(cells, 1, zeros=zeros, rounds=12)
+    model = scale.fit_irt(cells, 1, zeros=zeros, rounds=8)
     got = model.speakers.orderBy("speaker").toPandas()
     assert abs(np.corrcoef(got["t0"], theta[:, 0])[0, 1]) > 0.95
     assert falls(model.objective)
@@ -34,7 +34,7 @@ def test_recovery(spark, zeros, missing):
 
 def test_plane_up_to_rotation(spark):
     theta, _, cells = responses(spark, 2)
-    model = scale.fit_irt(cells, 2, rounds=15)
+    model = scale.fit_irt(cells, 2, rounds=10)
     got = model.speakers.orderBy("speaker").toPandas()[["t0", "t1"]].values
     fit, *_ = np.linalg.lstsq(got, theta - theta.mean(0), rcond=None)
     left = (theta - theta.mean(0)) - got @ fit
