@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,20 @@ def query(covers: str, sql: str | None = None) -> Callable[[Run], Run]:
     return register
 
 
+# Means of probabilities often end in a 5 just behind the digits that are compared, which one
+# engine rounds up and another down. A nudge far above float noise takes both the same way.
+NUDGE = "1.3e-11"
+
+
+def rounded(c: Column | str, digits: int) -> Column:
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(float(NUDGE)), digits)
+
+
+def query_of_means(covers: str, sql: str | None = None) -> Callable[[Run], Run]:
+    """A query whose values are ``rounded`` here and nudged the same way in its SQL."""
+    return query(covers, sql and sql.replace("round(", f"round({NUDGE} + "))
+
+
 def load() -> dict[str, Query]:
     for module in MODULES:
         importlib.import_module(f"{__name__}.{module}")

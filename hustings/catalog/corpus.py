@@ -9,7 +9,7 @@ from ..operators import filters, groups, ordering, resolve
 from ..plans import fixtures as fx
 from ..session import stage_path
 from ..sources import tables
-from . import query
+from . import query, rounded
 
 SUPPLIER = "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"
 
@@ -74,7 +74,7 @@ def random_split_files(spark, sf):
 
 @query("S7", f"""WITH {fx.RESULTS_SQL}, s AS (
    SELECT speaker, subtopic_1, avg(stance_score) AS score FROM results GROUP BY ALL)
- SELECT speaker, subtopic_1 AS topic, round(score, 9) AS score FROM s""")
+ SELECT speaker, subtopic_1 AS topic, round(1.3e-11 + score, 9) AS score FROM s""")
 def matrix_file(spark, sf):
     """Wide matrix written as text and read back in long form."""
     from ..operators import matrix, pool
@@ -84,7 +84,7 @@ def matrix_file(spark, sf):
     path = stage_path(spark, "matrix")
     tables.write_table(matrix.to_matrix(cells, topics), path, fmt="csv")
     long = tables.read_matrix(spark, path, "speaker", topics, "bigint")
-    return long.where(F.col("score").isNotNull()).withColumn("score", F.round(F.col("score") + 0.0, 9))
+    return long.where(F.col("score").isNotNull()).withColumn("score", rounded("score", 9))
 
 
 @query("S8", """SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN CAST(d.n_chars % 2 AS INTEGER) ELSE l.quality END AS quality,

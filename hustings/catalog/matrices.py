@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 
 from ..operators import groups, matrix, pool, resolve
 from ..plans import fixtures as fx
-from . import query
+from . import query_of_means as query, rounded
 
 CELLS_SQL = f"""{fx.RESULTS_SQL},
- cells AS (SELECT speaker, subtopic_1, subtopic_2 AS topic, subtopic_2, round(stance_score, 12) AS stance_score FROM results),
+ cells AS (SELECT speaker, subtopic_1, subtopic_2 AS topic, subtopic_2, stance_score FROM results),
  parents AS (SELECT speaker, subtopic_1, avg(stance_score) AS stance_score FROM cells GROUP BY ALL),
  children AS (SELECT DISTINCT subtopic_1, subtopic_2 FROM results)"""
 
 
 def cells(spark, sf):
-    """Sparse matrix of speakers and subtopics, scores rounded so that zeros are zeros."""
+    """Sparse matrix of speakers and subtopics."""
     return fx.stance_results(spark, sf).select(
         "speaker", "subtopic_1", "subtopic_2", F.col("subtopic_2").alias("topic"),
-        F.round(F.col("stance_score") + F.lit(0.0), 12).alias("stance_score"),
+        "stance_score",
     )
 
 
@@ -31,14 +31,14 @@ BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 def wide_matrix(spark, sf):
     scores = pool.topic_scores(cells(spark, sf)).withColumnRenamed("subtopic_1", "topic")
     wide = matrix.to_matrix(scores, BRANDS)
-    return wide.select("speaker", *[F.round(F.col(f"`{b}`") + F.lit(0.0), 9).alias(b) for b in BRANDS])
+    return wide.select("speaker", *[rounded(F.col(f"`{b}`") + F.lit(0.0), 9).alias(b) for b in BRANDS])
 
 
 @query("W2", f"""WITH {CELLS_SQL} SELECT speaker, subtopic_1 AS topic, round(stance_score, 9) AS stance_score FROM parents""")
 def melted_matrix(spark, sf):
     scores = pool.topic_scores(cells(spark, sf)).withColumnRenamed("subtopic_1", "topic")
     long = matrix.to_long(matrix.to_matrix(scores, BRANDS), ["speaker"], BRANDS)
-    return long.withColumn("stance_score", F.round(F.col("stance_score") + F.lit(0.0), 9))
+    return long.withColumn("stance_score", rounded(F.col("stance_score") + F.lit(0.0), 9))
 
 
 @query("J7 J8", f"""WITH {CELLS_SQL}
@@ -48,7 +48,7 @@ def melted_matrix(spark, sf):
 def parent_filled_cells(spark, sf):
     own = cells(spark, sf)
     out = matrix.fill_from_parent(own, pool.topic_scores(own), resolve.topic_parents(own))
-    return out.withColumn("stance_score", F.round(F.col("stance_score") + F.lit(0.0), 9))
+    return out.withColumn("stance_score", rounded(F.col("stance_score") + F.lit(0.0), 9))
 
 
 COUNTS_SQL = f"""{CELLS_SQL},
@@ -64,7 +64,7 @@ COUNTS_SQL = f"""{CELLS_SQL},
 @query("W3 A11 J5 U2", f"WITH {COUNTS_SQL} SELECT speaker, topic, round(stance_score, 9) AS stance_score FROM filtered")
 def covered_cells(spark, sf):
     out = matrix.coverage_filter(cells(spark, sf), 0.75, 0.75, 0.1)
-    return out.select("speaker", "topic", F.round("stance_score", 9).alias("stance_score"))
+    return out.select("speaker", "topic", rounded("stance_score", 9).alias("stance_score"))
 
 
 @query("W3 A4 A7 M2", f"""WITH {COUNTS_SQL} SELECT speaker, subtopic_1, round(avg(stance_score), 9) AS stance_score, count(*) AS topics
@@ -73,7 +73,7 @@ def top_quarter_speaker_scores(spark, sf):
     """Score per speaker and parent topic for speakers in the top quarter by coverage."""
     kept = matrix.coverage_filter(cells(spark, sf), 0.75, 0.0)
     return kept.groupBy("speaker", "subtopic_1").agg(
-        F.round(F.avg("stance_score"), 9).alias("stance_score"), F.count("*").alias("topics")
+        rounded(F.avg("stance_score"), 9).alias("stance_score"), F.count("*").alias("topics")
     )
 
 
@@ -88,7 +88,7 @@ def speaker_topic_counts(spark, sf):
  FROM cells GROUP BY 1""")
 def topic_coverage(spark, sf):
     out = matrix.coverage_report(cells(spark, sf), "topic", "speaker")
-    return out.withColumn("coverage", F.round("coverage", 9))
+    return out.withColumn("coverage", rounded("coverage", 9))
 
 
 @query("A12", f"""WITH {COUNTS_SQL}, r AS (SELECT n * 1.0::DOUBLE / (SELECT count(DISTINCT topic) FROM cells) AS c FROM sc)
@@ -97,7 +97,7 @@ def topic_coverage(spark, sf):
 def speaker_coverage_summary(spark, sf):
     out = matrix.coverage_summary(cells(spark, sf), "speaker", "topic")
     names = ("mean_coverage", "median_coverage", "std_coverage")
-    return out.withColumns({**{n: F.round(n, 9) for n in names}, "pct_missing": F.round("pct_missing", 6)})
+    return out.withColumns({**{n: rounded(n, 9) for n in names}, "pct_missing": rounded("pct_missing", 6)})
 
 
 @query("A13", f"""WITH {COUNTS_SQL} SELECT min(n) AS min, max(n) AS max, round(avg(n), 9) AS mean,
@@ -105,7 +105,7 @@ def speaker_coverage_summary(spark, sf):
    round(quantile_cont(n, 0.9), 9) AS q90 FROM sc""")
 def speaker_count_distribution(spark, sf):
     out = groups.distribution(matrix.coverage_counts(cells(spark, sf), "speaker", "topic"), "n")
-    return out.withColumns({"mean": F.round("mean", 9), "q90": F.round("q90", 9)})
+    return out.withColumns({"mean": rounded("mean", 9), "q90": rounded("q90", 9)})
 
 
 @query("J4 U6", f"""WITH {COUNTS_SQL}, ch AS (SELECT speaker, chamber FROM (SELECT speaker, chamber, row_number() OVER

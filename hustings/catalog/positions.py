@@ -11,7 +11,7 @@ from ..functions import text
 from ..operators import groups, matrix, pool, scale, score
 from ..plans import fixtures as fx
 from ..sources import tables
-from . import query
+from . import query_of_means as query, rounded
 from .matrices import BRANDS, CELLS_SQL, cells
 from .texts import WORDCH
 
@@ -31,7 +31,7 @@ def topic_covariance(spark, sf):
     cov = scale.covariance(model)
     rows = [(a, b, float(cov[i, j])) for i, a in enumerate(model.topics) for j, b in enumerate(model.topics)]
     out = spark.createDataFrame(rows, "topic_i string, topic_j string, cov double")
-    return out.withColumn("cov", F.round(F.col("cov") + F.lit(0.0), 9))
+    return out.withColumn("cov", rounded(F.col("cov") + F.lit(0.0), 9))
 
 
 @query("W4 W8 M13", None)
@@ -39,7 +39,7 @@ def component_positions(spark, sf):
     scores = parent_cells(spark, sf)
     chambers = tables.speaker_chamber(fx.stance_results(spark, sf), "subtopic_2")
     out = scale.embedding_table(scores, chambers, "pca", 2)
-    return scale.flip_axis(out, "dim2").withColumns({f"dim{i}": F.round(f"dim{i}", 6) for i in (1, 2)})
+    return scale.flip_axis(out, "dim2").withColumns({f"dim{i}": rounded(f"dim{i}", 6) for i in (1, 2)})
 
 
 @query("W4", f"""WITH {PARENTS_SQL}, m AS (SELECT topic, avg(y) AS m FROM p GROUP BY 1)
@@ -49,21 +49,21 @@ def component_distances(spark, sf):
     scores = parent_cells(spark, sf)
     model = scale.fit_pca(scores, len(BRANDS))
     long = scale.project_cells(scores, model)
-    return long.groupBy("speaker").agg(F.round(F.sum(F.col("value") ** 2), 9).alias("squared_distance"))
+    return long.groupBy("speaker").agg(rounded(F.sum(F.col("value") ** 2), 9).alias("squared_distance"))
 
 
 @query("T3 W4")
 def top_loadings(spark, sf):
     model = scale.fit_pca(parent_cells(spark, sf), 3)
     top = scale.top_abs(model.loading_table(spark), "loading", 10, ["dim"], "topic")
-    return top.withColumn("loading", F.round("loading", 6))
+    return top.withColumn("loading", rounded("loading", 6))
 
 
 @query("T3", f"""WITH {PARENTS_SQL} SELECT topic, speaker, y AS stance_score, rank FROM (
    SELECT topic, speaker, round(y, 9) AS y, CAST(row_number() OVER (PARTITION BY topic ORDER BY abs(round(y, 9)) DESC, speaker) AS INTEGER) AS rank FROM p)
  WHERE rank <= 10""")
 def strongest_speakers(spark, sf):
-    scores = parent_cells(spark, sf).withColumn("stance_score", F.round(F.col("stance_score") + F.lit(0.0), 9))
+    scores = parent_cells(spark, sf).withColumn("stance_score", rounded(F.col("stance_score") + F.lit(0.0), 9))
     return scale.top_abs(scores, "stance_score", 10, ["topic"], "speaker")
 
 
@@ -73,7 +73,7 @@ def singular_norms(spark, sf):
     scores = parent_cells(spark, sf)
     model = scale.fit_svd(scores, len(BRANDS))
     long = scale.project_cells(scores, model, centered=False)
-    return long.groupBy("speaker").agg(F.round(F.sum(F.col("value") ** 2), 9).alias("squared_norm"))
+    return long.groupBy("speaker").agg(rounded(F.sum(F.col("value") ** 2), 9).alias("squared_norm"))
 
 
 @query("W4b W8")
@@ -81,7 +81,7 @@ def singular_positions(spark, sf):
     scores = parent_cells(spark, sf)
     chambers = tables.speaker_chamber(fx.stance_results(spark, sf), "subtopic_2")
     out = scale.embedding_table(scores, chambers, "svd", 2)
-    return out.withColumns({f"dim{i}": F.round(f"dim{i}", 6) for i in (1, 2)})
+    return out.withColumns({f"dim{i}": rounded(f"dim{i}", 6) for i in (1, 2)})
 
 
 @query("W5 W7")
@@ -123,7 +123,7 @@ def scored_documents(spark, sf):
 
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
     out = score.score_chunks(docs, "text", damped)
-    return out.select("doc_id", *[F.round(p, 8).alias(p) for p in score.PROBS])
+    return out.select("doc_id", *[rounded(p, 8).alias(p) for p in score.PROBS])
 
 
 def longest_word():
@@ -170,7 +170,7 @@ def fitted_stances(spark, sf):
     parts = groups.stratified_split(labels, "label", "doc_id").join(docs, "doc_id")
     model, _, _ = score.fit_stance(parts.where("split = 'train'"), parts.where("split = 'val'"), features=1 << 12)
     out = score.predict_stance(model, parts.where("split = 'test'"))
-    return out.select("doc_id", "label", "pred", F.round(F.array_max("probabilities"), 6).alias("sure"))
+    return out.select("doc_id", "label", "pred", rounded(F.array_max("probabilities"), 6).alias("sure"))
 
 
 @query("F14")

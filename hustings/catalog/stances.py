@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import stance
 from ..operators import pool
 from ..plans import fixtures as fx
-from . import query
+from . import query_of_means as query, rounded
 
 ORDER = fx.CHUNK_ORDER_SQL
 PROB_SQL = "p_against, p_favor, p_neutral"
@@ -20,7 +20,7 @@ def _argmax_sql(a="p_against", f="p_favor", n="p_neutral") -> str:
 
 
 def _rounded(df, *names, digits=9):
-    return df.withColumns({n: F.round(F.col(n) + F.lit(0.0), digits) for n in names})
+    return df.withColumns({n: rounded(F.col(n) + F.lit(0.0), digits) for n in names})
 
 
 PROBS = stance.PROBS
@@ -37,7 +37,7 @@ KEYS_SQL = ", ".join(KEYS)
 def softmax_logits(spark, sf):
     df = fx.chunk_scores(spark, sf)
     a, f, n = stance.softmax([F.col(p) * 4 for p in PROBS])
-    return df.select(*KEYS, F.round(a, 9).alias("against"), F.round(f, 9).alias("favor"), F.round(n, 9).alias("neutral"))
+    return df.select(*KEYS, rounded(a, 9).alias("against"), rounded(f, 9).alias("favor"), rounded(n, 9).alias("neutral"))
 
 
 @query("M2 M3 M4 P13", f"""WITH {fx.CHUNKS_SQL}
@@ -50,9 +50,9 @@ def chunk_stances(spark, sf):
     top = stance.argmax()
     return fx.chunk_scores(spark, sf).select(
         *KEYS,
-        F.round(stance.stance_score() + F.lit(0.0), 9).alias("score"),
-        F.round(stance.confidence("score"), 9).alias("sure"),
-        F.round(stance.confidence("class"), 9).alias("class_sure"),
+        rounded(stance.stance_score() + F.lit(0.0), 9).alias("score"),
+        rounded(stance.confidence("score"), 9).alias("sure"),
+        rounded(stance.confidence("class"), 9).alias("class_sure"),
         top.alias("class_index"),
         stance.stance_label(top).alias("stance"),
         stance.stance_label(top, stance.fixed.STANCES_UPPER).alias("stance_upper"),
@@ -76,10 +76,10 @@ def prediction_weights(spark, sf):
     w = stance.prediction_weight
     return df.select(
         *KEYS,
-        F.round(w(), 8).alias("w_entropy"),
-        F.round(w(method="max_prob"), 8).alias("w_max"),
-        F.round(w(binary=True), 8).alias("w_entropy_binary"),
-        F.round(w(method="max_prob", binary=True), 8).alias("w_max_binary"),
+        rounded(w(), 8).alias("w_entropy"),
+        rounded(w(method="max_prob"), 8).alias("w_max"),
+        rounded(w(binary=True), 8).alias("w_entropy_binary"),
+        rounded(w(method="max_prob", binary=True), 8).alias("w_max_binary"),
     )
 
 
@@ -94,9 +94,9 @@ def rule_stances(spark, sf):
     rule = stance.rule_stance()
     return fx.chunk_scores(spark, sf).select(
         *KEYS,
-        F.round(rule["score"] + F.lit(0.0), 9).alias("score"),
+        rounded(rule["score"] + F.lit(0.0), 9).alias("score"),
         rule["stance"].alias("stance"),
-        F.round(rule["confidence"], 9).alias("sure"),
+        rounded(rule["confidence"], 9).alias("sure"),
     )
 
 
@@ -256,8 +256,6 @@ def topic_scores_weighted(spark, sf):
 @query("A7", f"""WITH {fx.RESULTS_SQL}
  SELECT speaker, subtopic_1, round(stance_score, 9) AS stance_score FROM (
    SELECT *, row_number() OVER (PARTITION BY speaker, subtopic_1
-     ORDER BY round(abs(stance_score), 12) DESC, subtopic_2) AS rn FROM results) WHERE rn = 1""")
+     ORDER BY abs(stance_score) DESC, subtopic_2) AS rn FROM results) WHERE rn = 1""")
 def topic_scores_max(spark, sf):
-    # Rounded first, so that scores equal but for summation order tie in both engines.
-    df = fx.stance_results(spark, sf).withColumn("stance_score", F.round("stance_score", 12))
-    return _rounded(pool.topic_scores(df, "max"), "stance_score")
+    return _topic_scores(spark, sf, "max")

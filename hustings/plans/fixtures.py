@@ -29,15 +29,18 @@ CHUNK_ORDER = ("document_chunk", "partkey", "speaker", "words", "p_against", "p_
 
 
 def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored chunks: an order is a document, its lines are the chunks."""
+    """Scored chunks: an order is a document, its lines are the chunks.
+
+    Probabilities are whole 64ths, whose sums come out the same in any order.
+    """
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("document_id"),
         F.col("l_linenumber").alias("document_chunk"),
         F.col("l_partkey").alias("partkey"),
         F.col("l_suppkey").alias("speaker"),
         F.col("l_quantity").cast("int").alias("words"),
-        (F.col("l_tax") * 5 + F.lit(0.0)).alias("p_against"),
-        (F.col("l_discount") * 6 + F.lit(0.0)).alias("p_favor"),
+        (F.round(F.col("l_tax") * 100).cast("int") / F.lit(16.0)).alias("p_against"),
+        (F.round(F.col("l_discount") * 100).cast("int") * 3 / F.lit(64.0)).alias("p_favor"),
     )
     topics = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("partkey"),
@@ -58,7 +61,8 @@ chunks AS (
          CASE WHEN speaker % 2 = 0 THEN 'H' ELSE 'S' END AS chamber
   FROM (SELECT l_orderkey AS document_id, l_linenumber AS document_chunk, l_partkey AS partkey,
                l_suppkey AS speaker, CAST(l_quantity AS INTEGER) AS words,
-               l_tax * 5 + 0.0 AS p_against, l_discount * 6 + 0.0 AS p_favor,
+               CAST(round(l_tax * 100) AS INTEGER) / 16.0::DOUBLE AS p_against,
+               CAST(round(l_discount * 100) AS INTEGER) * 3 / 64.0::DOUBLE AS p_favor,
                p_type AS policy_area, p_brand AS subtopic_1,
                p_brand || '|' || CAST(p_size AS VARCHAR) AS subtopic_2
         FROM lineitem JOIN part ON l_partkey = p_partkey))"""
