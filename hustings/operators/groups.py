@@ -6,11 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import fixed
 from .ordering import cumulative_counts, exact_quantiles, first_by, top_per_group
 
-__all__ = ["first_by", "top_per_group"]
-
 
 def count_crosstab(df: DataFrame, key: str, col: str, values: Sequence[str]) -> DataFrame:
     """Rows per key and value side by side, with their total."""
@@ -147,7 +144,3 @@ def group_targets(
 def median_and_mean(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     means = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
     return means.join(exact_quantiles(df, value, {"median": 0.5}, by), list(by))
-
-
-def misc_or(col: str) -> Column:
-    return F.coalesce(F.col(col), F.lit(fixed.MISC))
