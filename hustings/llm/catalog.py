@@ -6,7 +6,7 @@ import importlib
 
 from .shared import QUERIES, Query
 
-MODULES = ("bpe",)
+MODULES = ("bpe", "quality_rules")
 
 
 def load() -> dict[str, Query]:
