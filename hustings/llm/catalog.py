@@ -6,7 +6,7 @@ import importlib
 
 from .shared import QUERIES, Query
 
-MODULES = ("bpe", "quality_rules")
+MODULES = ("bpe", "quality_rules", "near_dedup")
 
 
 def load() -> dict[str, Query]:
