@@ -6,7 +6,7 @@ import importlib
 
 from .shared import QUERIES, Query
 
-MODULES = ("bpe", "quality_rules", "near_dedup")
+MODULES = ("bpe", "quality_rules", "near_dedup", "chat")
 
 
 def load() -> dict[str, Query]:
