@@ -6,7 +6,7 @@ import importlib
 
 from .shared import QUERIES, Query
 
-MODULES = ("bpe", "quality_rules", "near_dedup", "chat")
+MODULES = ("bpe", "quality_rules", "near_dedup", "chat", "warc")
 
 
 def load() -> dict[str, Query]:
