@@ -6,7 +6,7 @@ import importlib
 
 from .shared import QUERIES, Query
 
-MODULES = ("bpe", "quality_rules", "near_dedup", "chat", "warc")
+MODULES = ("bpe", "quality_rules", "near_dedup", "chat", "warc", "html_content")
 
 
 def load() -> dict[str, Query]:
