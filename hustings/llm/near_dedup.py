@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..operators.graph import star_edges
 from ..session import stage_path
@@ -191,6 +191,45 @@ def _open_buckets(buckets: DataFrame, stars: DataFrame, extra: list[Column]) ->
     return placed.join(apart.where(F.col("_low") != F.col("_high")).drop("_low", "_high"), "key")
 
 
+def _rare_element_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: every pair of open buckets in different components that can still be a link.
+
+    Exact bounds, not limits, keep the pairs few. Of a set, only elements that some other open
+    set has can be shared, and they have to be ``percent`` of it. Two sets of sizes n and m with
+    a link share ``t = s / (1 + s) * (n + m)`` elements, so with all elements in one order,
+    rarest first, they share one of the first ``n - t + 1`` and ``m - t + 1``. What is rare in
+    the copies of a text is what sets each of them apart.
+    """
+    open_sets = sets.join(rest.select("id").distinct(), "id", "left_semi")
+    rows = open_sets.select("id", "n", F.explode("elements").alias("e"))
+    counted = _keep(rows.groupBy("e").agg(F.count("*").alias("df"), F.min("id").alias("one")), "near-counts")
+    alone = counted.where(F.col("df") == 1).groupBy(F.col("one").alias("id")).agg(F.count("*").alias("_alone"))
+    sized = open_sets.select("id", "n").join(alone, "id", "left").select(
+        "id", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("c")
+    )
+    able = _keep(rest.join(sized.where(100 * F.col("c") >= percent * F.col("n")), "id"), "near-able")
+    smallest = able.groupBy("key").agg(F.min("n").alias("_low"))
+    fits = F.greatest("_low", F.ceil(F.col("n") * percent / 100))
+    reach = able.join(smallest, "key").groupBy("id", "n", "component").agg(F.min(fits).alias("_low")).withColumn(
+        "_first", F.floor(F.col("n") - F.ceil((F.col("n") + F.col("_low")) * percent / (100 + percent)) + 1)
+    )
+    order = Window.partitionBy("id").orderBy("df", "e")
+    shared = rows.select("id", "e").join(reach, "id").join(counted.where(F.col("df") > 1).select("e", "df"), "e")
+    ranked = shared.withColumn("_rank", F.row_number().over(order))
+    # Elements of one set alone come before all others and are only counted.
+    known = sized.select("id", (F.col("n") - F.col("c")).alias("_before"))
+    first = _keep(
+        ranked.join(known, "id").where(F.col("_rank") + F.col("_before") <= F.col("_first")).select("e", "id", "n", "component"), "near-first"
+    )
+    sides = first.groupBy("e", "component").agg(F.count("*").alias("_k"))
+    several = sides.groupBy("e").agg(F.max_by("component", "_k").alias("_most"), F.count("*").alias("_sides")).where(F.col("_sides") > 1)
+    some = first.join(several.select("e", "_most"), "e")
+    left = some.where(F.col("component") != F.col("_most")).select("e", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "component")])
+    right = some.select("e", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component")])
+    possible = (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return left.join(right, "e").where(possible).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def near_duplicate_components(
     docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -202,9 +241,8 @@ def near_duplicate_components(
     1. each member of a bucket against the bucket's smallest id;
     2. in buckets that still hold several components, each member against one more member,
        picked by a hash of bucket and id, if that lies in another component;
-    3. in what is left, members of different components against each other, after dropping by an
-       exact bound all that cannot have a link: of a set, only the elements that some other open
-       set has too can be shared.
+    3. in what is left, members of different components that share one of their rarest elements,
+       without which they cannot be linked.
 
     A pair counts when the full sets pass ``100 * common >= percent * union``.
 
@@ -233,25 +271,7 @@ def near_duplicate_components(
     stars = star_edges(stars.union(more))
 
     rest = _keep(_open_buckets(buckets, stars, []), "near-open")
-    open_sets = sets.join(rest.select("id").distinct(), "id", "left_semi")
-    owned = (
-        open_sets.select("id", F.explode("elements").alias("e")).groupBy("e")
-        .agg(F.min("id").alias("id"), F.max("id").alias("_other")).where(F.col("id") == F.col("_other"))
-        .groupBy("id").agg(F.count("*").alias("_alone"))
-    )
-    sized = open_sets.select("id", "n").join(owned, "id", "left").select(
-        "id", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("c")
-    )
-    able = rest.join(sized.where(100 * F.col("c") >= percent * F.col("n")), "id")
-    left = able.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "c")])
-    right = able.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "c")])
-    # With s the bound on the similarity, common >= s / (1 + s) * (n_a + n_b).
-    possible = (
-        (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-        & ((100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("n_a") + F.col("n_b")))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    )
-    last = _keep(link(left.join(right, "key").where(possible).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))), "near-links")
+    last = _keep(link(_rare_element_pairs(rest, sets, percent)), "near-links")
     stars = star_edges(stars.union(last))
 
     roots = stars.select(F.col("src").alias("rep"), F.col("dst").alias("_root"))
