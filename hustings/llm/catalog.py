@@ -6,7 +6,7 @@ import importlib
 
 from .shared import QUERIES, Query
 
-MODULES = ("bpe", "quality_rules", "near_dedup", "chat", "warc", "html_content", "substring", "decontaminate")
+MODULES = ("bpe", "quality_rules", "near_dedup", "chat", "warc", "html_content", "substring", "decontaminate", "quality_classifier")
 
 
 def load() -> dict[str, Query]:
