@@ -219,14 +219,18 @@ def _rare_element_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataF
     # Elements of one set alone come before all others and are only counted.
     known = sized.select("id", (F.col("n") - F.col("c")).alias("_before"))
     first = _keep(
-        ranked.join(known, "id").where(F.col("_rank") + F.col("_before") <= F.col("_first")).select("e", "id", "n", "component"), "near-first"
+        ranked.join(known, "id").withColumn("rank", F.col("_rank") + F.col("_before")).where(F.col("rank") <= F.col("_first"))
+        .select("e", "id", "n", "component", "rank"), "near-first"
     )
     sides = first.groupBy("e", "component").agg(F.count("*").alias("_k"))
     several = sides.groupBy("e").agg(F.max_by("component", "_k").alias("_most"), F.count("*").alias("_sides")).where(F.col("_sides") > 1)
     some = first.join(several.select("e", "_most"), "e")
-    left = some.where(F.col("component") != F.col("_most")).select("e", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "component")])
-    right = some.select("e", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component")])
-    possible = (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    names = ("id", "n", "component", "rank")
+    left = some.where(F.col("component") != F.col("_most")).select("e", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = some.select("e", *[F.col(c).alias(f"{c}_b") for c in names])
+    # A first shared element at these ranks leaves enough elements behind it in both sets.
+    behind = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) + 1
+    possible = (F.col("component_a") != F.col("component_b")) & ((100 + percent) * behind >= percent * (F.col("n_a") + F.col("n_b")))
     return left.join(right, "e").where(possible).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
