@@ -42,9 +42,11 @@ def melted_matrix(spark, sf):
 
 
 @query("J7 J8", f"""WITH {CELLS_SQL}
- SELECT p.speaker, p.subtopic_1, c.subtopic_2, round(coalesce(o.stance_score, p.stance_score), 9) AS stance_score,
-        o.stance_score IS NOT NULL AS observed
- FROM parents p JOIN children c USING (subtopic_1) LEFT JOIN cells o ON o.speaker = p.speaker AND o.subtopic_2 = c.subtopic_2""")
+, m AS (SELECT subtopic_2, max(subtopic_1) AS subtopic_1 FROM children GROUP BY 1),
+ g AS (SELECT p.speaker, m.subtopic_2, p.stance_score AS parent FROM parents p JOIN m USING (subtopic_1)),
+ o AS (SELECT speaker, subtopic_2, arg_min(stance_score, subtopic_1) AS own FROM cells GROUP BY ALL)
+ SELECT speaker, m.subtopic_1, subtopic_2, round(coalesce(own, parent), 9) AS stance_score, own IS NOT NULL AS observed
+ FROM g FULL JOIN o USING (speaker, subtopic_2) JOIN m USING (subtopic_2)""")
 def parent_filled_cells(spark, sf):
     own = cells(spark, sf)
     out = matrix.fill_from_parent(own, pool.topic_scores(own), resolve.topic_parents(own))
@@ -55,7 +57,8 @@ COUNTS_SQL = f"""{CELLS_SQL},
  sc AS (SELECT speaker, count(DISTINCT topic) FILTER (stance_score <> 0) AS n FROM cells GROUP BY 1),
  st AS (SELECT quantile_cont(n, 0.75) AS t FROM sc),
  kept AS (SELECT c.* FROM cells c JOIN sc USING (speaker), st WHERE sc.n >= st.t),
- tc AS (SELECT topic, count(DISTINCT speaker) FILTER (stance_score <> 0) AS n FROM kept GROUP BY 1),
+ tc AS (SELECT t.topic, count(DISTINCT speaker) FILTER (stance_score <> 0) AS n
+   FROM (SELECT DISTINCT topic FROM cells) t LEFT JOIN kept k ON k.topic = t.topic GROUP BY 1),
  tt AS (SELECT quantile_cont(n, 0.75) AS t FROM tc),
  good AS (SELECT topic FROM tc, tt WHERE n >= t AND n * 1.0 / (SELECT count(DISTINCT speaker) FROM kept) >= 0.1),
  filtered AS (SELECT k.* FROM kept k JOIN good USING (topic))"""

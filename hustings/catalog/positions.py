@@ -86,7 +86,7 @@ def singular_positions(spark, sf):
 
 @query("W5 W7")
 def irt_positions(spark, sf):
-    model = scale.fit_irt(parent_cells(spark, sf), 1, rounds=8)
+    model = scale.fit_irt(parent_cells(spark, sf), 1)
     chambers = tables.speaker_chamber(fx.stance_results(spark, sf), "subtopic_2")
     return scale.position_tables(model, chambers)["positions"]
 
@@ -94,14 +94,14 @@ def irt_positions(spark, sf):
 @query("W5 W7 T3")
 def irt_discrimination(spark, sf):
     """Strongest topics of a fit in which only existing cells count."""
-    model = scale.fit_irt(cells(spark, sf), 1, zeros="missing", rounds=6)
+    model = scale.fit_irt(cells(spark, sf), 1, zeros="missing")
     strength = scale.position_tables(model)["discrimination"]
     return groups.top_k(strength, [F.desc("abs_discrimination"), F.asc("topic")], 10)
 
 
 @query("W6")
 def irt_plane(spark, sf):
-    model = scale.fit_irt(parent_cells(spark, sf), 2, rounds=8)
+    model = scale.fit_irt(parent_cells(spark, sf), 2)
     return model.speakers.select("speaker", F.col("t0").alias("dim1"), F.col("t1").alias("dim2"))
 
 

@@ -133,7 +133,7 @@ def _html_sql() -> str:
     out = "regexp_replace(html, '(?is)<!--.*?-->', '<!>', 'g')"
     for tag in ("script", "style", "template"):
         out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '<!>', 'g')"
-    out = f"regexp_replace({out}, '(?:<[!/?a-zA-Z][^>]*>)+', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?:<[!/?a-zA-Z](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>)+', ' ', 'g')"
     for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         out = f"replace({out}, '{entity}', '{char}')"
     return f"regexp_replace(regexp_replace({out}, '^{SP}+', ''), '{SP}+$', '')"

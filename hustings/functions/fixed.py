@@ -87,10 +87,3 @@ OVERLAP_TOKENS = 50
 MAX_INPUT_TOKENS = 512
 
 # HTML character references resolved when text is taken out of markup; "&amp;" comes last.
-HTML_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&sect;", "§"), ("&para;", "¶"),
-    ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&trade;", "™"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
-)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -102,20 +103,35 @@ def strip_html(c: Column | str) -> Column:
     text = F.coalesce(_col(c), F.lit(""))
     text = F.regexp_replace(text, r"(?is)<!--.*?-->", "<!>")
     text = F.regexp_replace(text, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", "<!>")
-    text = F.regexp_replace(text, r"(?:<[!/?a-zA-Z][^>]*>)+", " ")
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7});"), 1))
-    text = F.aggregate(
-        numbers,
-        text,
-        lambda acc, n: F.replace(
-            acc,
-            F.concat(F.lit("&#"), n, F.lit(";")),
-            F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32"),
-        ),
-    )
-    for entity, char in fixed.HTML_ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return strip(text)
+    text = F.regexp_replace(text, r"(?:<[!/?a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>)+", " ")
+    return strip(decode_references(text))
+
+
+_REFERENCE = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+
+
+def decode_references(c: Column | str) -> Column:
+    """Text with its character references decoded once: decimal, hexadecimal and all named ones.
+
+    A number that is no character becomes U+FFFD; an unknown name stays as it is.
+    """
+    text = _col(c)
+    names = F.create_map(*[F.lit(x) for n, v in html5.items() if n.endswith(";") for x in ("&" + n, v)])
+
+    def character(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, "^&#[xX]?([0-9a-fA-F]+);", 1)
+        # Longer numbers than these are out of range whatever their digits are.
+        code = F.when(F.length(F.ltrim(digits, F.lit("0"))) > 8, F.lit(-1).cast("long")).otherwise(
+            F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+        )
+        good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        shown = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when(ref.startswith("&#"), shown).otherwise(F.coalesce(F.try_element_at(names, ref), ref))
+
+    refs = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    around = F.split(text, _REFERENCE, -1)
+    joined = F.zip_with(around, refs, lambda t, r: F.concat(t, F.coalesce(character(r), F.lit(""))))
+    return F.when(F.size(refs) == 0, text).otherwise(F.array_join(joined, ""))
 
 
 def combine_text(*cols: Column | str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text, vectors
 from ..session import cut_lineage
+from .graph import connected_components
 from .joins import per_distinct_text, salted_join
 from .ordering import positions
 
@@ -60,34 +61,6 @@ def project(df: DataFrame, vector: str, k: int, size: int, method: str = "random
     return out.withColumns({f"x{i}": F.col("_pc")[i] * signs[i] for i in range(k)}).drop("_v", "_pc")
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest vertex reachable from each vertex: ``id, component``.
-
-    Each round takes the smallest label among neighbours and then the label of that label,
-    so the number of rounds grows with the logarithm of the longest path.
-    """
-    both = cut_lineage(
-        edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    )
-    labels = cut_lineage(vertices.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
-        seen = both.join(labels.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(
-            F.min("component").alias("_near")
-        )
-        near = labels.join(seen.withColumnRenamed("dst", "id"), "id", "left").select(
-            "id", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("_mid")
-        )
-        roots = labels.select(F.col("id").alias("_mid"), F.col("component").alias("_root"))
-        step = near.join(roots, "_mid", "left").select(
-            "id", "_old", F.least("_mid", F.coalesce("_root", "_mid")).alias("component")
-        )
-        step = cut_lineage(step)
-        labels = step.select("id", "component")
-        if step.where(F.col("_old") != F.col("component")).limit(1).count() == 0:
-            return labels
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
-
-
 def density_cluster(
     df: DataFrame, by: Sequence[str], coords: Sequence[str], width: float, min_points: int, min_size: int
 ) -> DataFrame:

@@ -46,12 +46,12 @@ def not_contains(df: DataFrame, col: str, term: str) -> DataFrame:
 
 
 def drop_report(df: DataFrame, keep: Column) -> DataFrame:
-    """Rows before and after a filter and the share dropped, in one pass."""
+    """Rows before and after a filter and the share dropped (NULL of no rows), in one pass."""
     kept = F.count_if(keep)
     return df.agg(F.count("*").alias("before"), kept.alias("after")).select(
         "before",
         "after",
-        ((F.col("before") - F.col("after")) * 100 / F.col("before")).alias("pct_dropped"),
+        F.try_divide((F.col("before") - F.col("after")) * 100, F.col("before")).alias("pct_dropped"),
     )
 
 

@@ -37,7 +37,7 @@ def label_distribution(df: DataFrame, label: str, by: Sequence[str] = ()) -> Dat
     """
     counts = df.groupBy(*by, label).agg(F.count("*").alias("n"))
     whole = F.sum("n").over(Window.partitionBy(*(by or [F.lit(0)])))
-    return counts.withColumn("pct", F.col("n") * 100 / whole)
+    return counts.withColumn("pct", F.try_divide(F.col("n") * 100, whole))
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
@@ -48,7 +48,7 @@ def distribution(df: DataFrame, col: str) -> DataFrame:
     return merged.agg(
         F.min(col).alias("min"),
         F.max(col).alias("max"),
-        (F.sum(F.col(col) * F.col("_f")) / F.sum("_f")).alias("mean"),
+        F.try_divide(F.sum(F.col(col) * F.col("_f")), F.sum("_f")).alias("mean"),
         found.alias("_q"),
     ).select("min", "max", "mean", *[F.col("_q")[i].alias(name) for i, name in enumerate(qs)])
 
@@ -60,7 +60,10 @@ def share(df: DataFrame, value: str, parent: Sequence[str]) -> DataFrame:
     return (
         df.join(sums, list(parent))
         .withColumns(
-            {"pct_of_parent": F.col(value) * 100 / F.col("_p"), "pct_of_total": F.col(value) * 100 / total}
+            {
+                "pct_of_parent": F.try_divide(F.col(value) * 100, F.col("_p")),
+                "pct_of_total": F.try_divide(F.col(value) * 100, total),
+            }
         )
         .drop("_p")
     )

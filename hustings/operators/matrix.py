@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from .ordering import count_quantile
+from .resolve import counts_with_zero
 
 MAX_COLUMNS = 10_000
 
@@ -29,26 +30,46 @@ def to_matrix(
     order: str | None = None,
 ) -> DataFrame:
     """Wide matrix with one column per topic; the first value of a cell counts."""
-    first = F.min_by(value, order) if order else F.max(value)
-    return cells.groupBy(key).pivot("topic", list(topics)).agg(first)
+    return cells.groupBy(key).pivot("topic", list(topics)).agg(first_value(value, order))
+
+
+def first_value(value: str, order: str | None = None) -> Column:
+    """The value that counts of a cell given several times: the first in order, else the largest."""
+    return F.min_by(value, order) if order else F.max(value)
+
+
+def one_per_cell(cells: DataFrame, order: str | None = None) -> DataFrame:
+    """``speaker, topic, stance_score``, each cell once, by the same rule as in the wide matrix."""
+    return cells.groupBy("speaker", "topic").agg(first_value("stance_score", order).alias("stance_score"))
+
+
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def to_long(wide: DataFrame, keys: Sequence[str], topics: Sequence[str]) -> DataFrame:
-    long = wide.unpivot(list(keys), list(topics), "topic", "stance_score")
-    return long.where(F.col("stance_score").isNotNull())
+    entries = F.explode(F.array(*[F.struct(F.lit(t).alias("topic"), F.col(quoted(t)).alias("stance_score")) for t in topics]))
+    long = wide.select(*[F.col(quoted(k)) for k in keys], entries.alias("_e"))
+    return long.select(*[F.col(quoted(k)) for k in keys], "_e.topic", "_e.stance_score").where(F.col("stance_score").isNotNull())
 
 
-def fill_from_parent(cells: DataFrame, parents: DataFrame, children: DataFrame) -> DataFrame:
-    """Each subtopic_2 below a topic the speaker took up: own score, else the parent's.
+def fill_from_parent(cells: DataFrame, parents: DataFrame, children: DataFrame, order: str = "subtopic_1") -> DataFrame:
+    """Each subtopic_2 a speaker took up, or whose topic they took up: own score, else the parent's.
 
-    ``children`` maps ``subtopic_2`` to ``subtopic_1``. Cells with neither own nor parent
-    score are the zeros of the filled matrix and stay unwritten.
+    ``children`` maps ``subtopic_2`` to ``subtopic_1``. An own score counts whatever topic it was
+    given under; of several the first in ``order``. Cells with neither own nor parent score are
+    the zeros of the filled matrix and stay unwritten.
     """
-    grid = parents.join(children, "subtopic_1").withColumnRenamed("stance_score", "_parent")
-    own = cells.select("speaker", "subtopic_2", F.col("stance_score").alias("_own"))
-    return grid.join(own, ["speaker", "subtopic_2"], "left").select(
+    grid = parents.join(children, "subtopic_1").select("speaker", "subtopic_2", "subtopic_1", F.col("stance_score").alias("_parent"))
+    first = F.min_by(F.struct("stance_score", "subtopic_1"), order)
+    own = cells.groupBy("speaker", "subtopic_2").agg(first.alias("_f")).select(
+        "speaker", "subtopic_2", F.col("_f.stance_score").alias("_own"), F.col("_f.subtopic_1").alias("_under")
+    )
+    mapped = children.select("subtopic_2", F.col("subtopic_1").alias("_mapped"))
+    return grid.join(own, ["speaker", "subtopic_2"], "full").join(mapped, "subtopic_2", "left").select(
         "speaker",
-        "subtopic_1",
+        F.coalesce("subtopic_1", "_mapped", "_under").alias("subtopic_1"),
         "subtopic_2",
         F.coalesce("_own", "_parent").alias("stance_score"),
         F.col("_own").isNotNull().alias("observed"),
@@ -57,8 +78,8 @@ def fill_from_parent(cells: DataFrame, parents: DataFrame, children: DataFrame)
 
 def filled_matrix(filled: DataFrame, topics: Sequence[str]) -> DataFrame:
     """Wide filled matrix, zeros written out."""
-    wide = to_matrix(filled.withColumnRenamed("subtopic_2", "topic"), topics)
-    return wide.na.fill(0.0, subset=list(topics))
+    wide = to_matrix(filled.select("speaker", F.col("subtopic_2").alias("topic"), "stance_score"), topics)
+    return wide.select("speaker", *[F.coalesce(F.col(quoted(t)), F.lit(0.0)).alias(t) for t in topics])
 
 
 def coverage_counts(cells: DataFrame, by: str, of: str, out: str = "n") -> DataFrame:
@@ -78,20 +99,22 @@ def coverage_filter(
 ) -> DataFrame:
     """Keep well covered speakers, then topics well covered by the speakers kept.
 
-    Topics have to reach both the percentile and the coverage share. The cells are gone
-    through several times and written to the shared folder once for that.
+    Topics have to reach both the percentile and the coverage share. A topic that none of the
+    kept speakers has counts as covered by 0 in the percentile. The cells are gone through
+    several times and written to the shared folder once for that.
     """
     cells = cut_lineage(cells)
+    topics = cells.select(topic).distinct()
     if speaker_p > 0:
         keep = _at_least(coverage_counts(cells, "speaker", topic), speaker_p)
         cells = cells.join(keep.select("speaker"), "speaker", "left_semi")
-    counts = coverage_counts(cells, topic, "speaker")
+    counts = counts_with_zero(topics, coverage_counts(cells, topic, "speaker"), [topic], "n")
     good = counts
     if topic_p > 0:
         good = _at_least(counts, topic_p)
     if min_coverage > 0:
         everyone = cells.agg(F.count_distinct("speaker")).scalar()
-        good = good.where(F.col("n") / everyone >= min_coverage)
+        good = good.where(F.try_divide(F.col("n"), everyone) >= min_coverage)
     return cells.join(good.select(topic), topic, "left_semi")
 
 
@@ -99,17 +122,17 @@ def coverage_report(cells: DataFrame, by: str, of: str) -> DataFrame:
     """Share of partners covered per key, over all partners there are."""
     cells = cut_lineage(cells.select(by, of, "stance_score"))
     partners = cells.agg(F.count_distinct(of)).scalar()
-    return coverage_counts(cells, by, of).withColumn("coverage", F.col("n") / partners)
+    return coverage_counts(cells, by, of).withColumn("coverage", F.try_divide(F.col("n"), partners))
 
 
 def coverage_summary(cells: DataFrame, by: str, of: str) -> DataFrame:
-    """Mean, median and sample deviation of coverage, and the share of cells missing."""
+    """Mean, median and sample deviation of coverage (NULL of one key), and the share of cells missing."""
     report = coverage_report(cells, by, of)
     merged = report.groupBy("coverage").agg(F.count("*").alias("_f"))
     f, c = F.col("_f"), F.col("coverage")
     median = F.percentile(c, F.lit(0.5), f)
-    mean = F.sum(c * f) / F.sum(f)
-    spread = F.sqrt((F.sum(c * c * f) - F.sum(f) * mean * mean) / (F.sum(f) - 1))
+    mean = F.try_divide(F.sum(c * f), F.sum(f))
+    spread = F.sqrt(F.try_divide(F.sum(c * c * f) - F.sum(f) * mean * mean, F.sum(f) - 1))
     return merged.agg(
         F.sum(f).alias("keys"),
         mean.alias("mean_coverage"),

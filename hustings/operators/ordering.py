@@ -2,7 +2,7 @@
 
 A plain window over a hot group, or over no group at all, sorts everything in one task.
 Here equal values are counted first, the distinct values are cut into ordered buckets, and
-only the bucket totals (a bounded number of rows per group) are summed in sequence.
+only the bucket totals (a row for each partition that a group reaches) are summed in sequence.
 """
 
 from __future__ import annotations
@@ -14,10 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 
-MAX_BUCKETS = 96
-SAMPLE_PER_BUCKET = 16
-
-
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """First row per key in the given order, as an aggregate that combines on the map side."""
     rest = [c for c in df.columns if c not in keys]
@@ -44,51 +40,20 @@ def top_per_group(
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= k)
 
 
-def _bounds(values: DataFrame, buckets: int) -> list:
-    """Cut points between ordered buckets of near equal numbers of distinct values.
-
-    They come from the values with the smallest hashes: a bounded, repeatable sample, so a
-    recomputed task sees the very same buckets.
-    """
-    key = F.struct(*values.columns)
-    sample = (
-        values.select(key.alias("v"), F.xxhash64(*values.columns).alias("h"))
-        .orderBy("h", "v")
-        .limit(buckets * SAMPLE_PER_BUCKET)
-        .agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    )
-    found = sample.first()["vs"]
-    step = max(1, len(found) // buckets)
-    return found[step::step][: buckets - 1]
-
-
-def _bucket(cols: Sequence[str], bounds: list) -> Column:
-    def reached(bound) -> Column:
-        if len(cols) == 1:
-            return F.col(cols[0]) >= F.lit(bound[0])
-        return F.struct(*[F.col(c) for c in cols]) >= F.struct(
-            *[F.lit(b).alias(c) for b, c in zip(bound, cols)]
-        )
-
-    return reduce(lambda a, b: a + b, [reached(b).cast("int") for b in bounds], F.lit(0))
-
-
 def cumulative_counts(
     df: DataFrame, order: Sequence[str], by: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """Per group and distinct value: rows with it (``n``), below it (``before``), in all (``total``).
 
-    The value counts are read three times (for cut points, totals and places) and therefore
-    written to the shared folder once.
+    The value counts are dealt out in order of group and value, so a group of any size and any
+    narrow range of values is cut into as many buckets as it fills partitions. They are read
+    three times and written to the shared folder once, together with their bucket.
     """
     order, by = list(order), list(by)
-    if buckets is None:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(2, min(MAX_BUCKETS, parts))
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in order])
-    counts = cut_lineage(df.where(present).groupBy(*by, *order).agg(F.count("*").alias("n")))
-    bounds = _bounds(counts.select(*order).distinct(), buckets)
-    counts = counts.withColumn("_bucket", _bucket(order, bounds))
+    counts = df.where(present).groupBy(*by, *order).agg(F.count("*").alias("n"))
+    counts = cut_lineage(counts.repartitionByRange(buckets, *by, *order).withColumn("_bucket", F.spark_partition_id()))
 
     group = Window.partitionBy(*by)
     up_to = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

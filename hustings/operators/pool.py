@@ -145,10 +145,10 @@ def top_evidence(df: DataFrame, by: Sequence[str], item: str, order: Sequence[st
 
 
 def weighted_confidence(df: DataFrame, by: Sequence[str], weight: str) -> DataFrame:
-    """Gap of the weighted mean shares of against and favor, neutral left out."""
+    """Gap of the weighted mean shares of against and favor, neutral left out; NULL where all weights are 0."""
     total = F.col(PROBS[0]) + F.col(PROBS[1]) + F.lit(stance.EPS)
     w = F.col(weight)
-    a, f = (F.sum(w * F.col(p) / total) / F.sum(w) for p in PROBS[:2])
+    a, f = (F.try_divide(F.sum(w * F.col(p) / total), F.sum(w)) for p in PROBS[:2])
     return df.groupBy(*by).agg(F.abs(a - f).alias("confidence"))
 
 

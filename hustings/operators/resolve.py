@@ -77,10 +77,11 @@ def keep(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(keys, list(on), "left_semi")
 
 
-def topic_parents(df: DataFrame) -> DataFrame:
-    """Parent of each subtopic_2; where several are given the last in order wins."""
-    pairs = df.select("subtopic_2", "subtopic_1").distinct()
-    return pairs.groupBy("subtopic_2").agg(F.max("subtopic_1").alias("subtopic_1"))
+def topic_parents(df: DataFrame, order: str | Column = "subtopic_1") -> DataFrame:
+    """Parent of each subtopic_2; of several pairs the one that comes up last for the first time wins."""
+    at = F.col(order) if isinstance(order, str) else order
+    pairs = df.groupBy("subtopic_2", "subtopic_1").agg(F.min(at).alias("_at"))
+    return pairs.groupBy("subtopic_2").agg(F.max_by("subtopic_1", F.struct("_at", "subtopic_1")).alias("subtopic_1"))
 
 
 def _override(speaker: Column, chamber: Column, rows: Sequence[tuple]) -> Column:

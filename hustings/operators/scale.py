@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .matrix import to_matrix, topic_list
+from .matrix import one_per_cell, to_matrix, topic_list
 
 
 # Linear positions -----------------------------------------------------------------------
@@ -48,8 +49,9 @@ def fit_pca(cells: DataFrame, k: int = 2) -> Components:
     Covariances are summed inside the tasks; only a topic by topic matrix reaches the driver.
     """
     topics = topic_list(cells)
-    wide = to_matrix(cells, topics).na.fill(0.0, subset=topics)
-    rows = cut_lineage(VectorAssembler(inputCols=topics, outputCol="_v").transform(wide).select("_v"))
+    places = [f"c{i}" for i in range(len(topics))]
+    wide = to_matrix(cells, topics).toDF("speaker", *places).na.fill(0.0, subset=places)
+    rows = cut_lineage(VectorAssembler(inputCols=places, outputCol="_v").transform(wide).select("_v"))
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(rows)
     model = PCA(k=k, inputCol="_c", outputCol="_pc").fit(scaler.transform(rows))
     spread = np.asarray(scaler.std.toArray()) ** 2
@@ -76,7 +78,7 @@ def project_cells(cells: DataFrame, model: Components, centered: bool = True) ->
     shift = {i + 1: float(model.means @ model.loadings[:, i]) if centered else 0.0 for i in range(model.loadings.shape[1])}
     base = F.get(F.array(*[F.lit(shift[i]) for i in sorted(shift)]), F.col("dim") - 1)
     return (
-        cells.join(loads, "topic")
+        one_per_cell(cells).join(loads, "topic")
         .groupBy("speaker", "dim")
         .agg(F.sum(F.col("stance_score") * F.col("loading")).alias("value"))
         .withColumn("value", F.col("value") - base)
@@ -173,17 +175,18 @@ def fit_irt(
     cells: DataFrame,
     dims: int = 1,
     zeros: str = "observed",
-    rounds: int = 30,
-    tol: float = 1e-6,
+    tol: float = 1e-5,
     seed: int = 42,
     score: str = "stance_score",
 ) -> ItemResponse:
     """Continuous item response, y = a.theta - b + noise, with N(0,1) priors on theta, a, b.
 
-    Each round first gives every speaker the mean and variance of theta under the current
-    topics, then every topic its ridge solution, then the noise. Both halves are one join of
-    the cells with a parameter table and one aggregation that combines on the map side.
-    The objective, the negative free energy, never rises.
+    Each round gives every topic its ridge solution under the current speakers, then the noise,
+    then every speaker the mean and variance of theta. Both halves are one join of the cells
+    with a parameter table and one aggregation that combines on the map side. After every three
+    rounds theta is carried on along its path by squared extrapolation; where that makes the
+    objective, the negative free energy, worse it is taken back. Rounds go on until theta moves
+    by less than ``tol`` of its size in one, so the fit has no cap and never ends early.
 
     With ``zeros='observed'`` each missing cell counts as a score of 0. These cells are not
     written out: what they add are sums over all topics or all speakers, a few numbers.
@@ -200,7 +203,7 @@ def fit_irt(
         obs = obs.where(F.col("y") != 0)
         everyone = cut_lineage(cells.select("speaker").distinct())
         everything = cut_lineage(cells.select("topic").distinct())
-    obs = cut_lineage(obs.groupBy("speaker", "topic").agg(F.first("y").alias("y")))
+    obs = cut_lineage(obs.groupBy("speaker", "topic").agg(F.max("y").alias("y")))
     if not dense:
         everyone = cut_lineage(obs.select("speaker").distinct())
         everything = cut_lineage(obs.select("topic").distinct())
@@ -219,34 +222,62 @@ def fit_irt(
     )
     theta = cut_lineage(theta)
     history: list[float] = []
-    for turn in range(rounds):
+    path: list[DataFrame] = []
+    held: DataFrame | None = None
+    while True:
         # Sums over all speakers: what the unwritten zeros add, and the cost of theta.
-        moments = _numbers(theta.withColumn("minus", F.lit(-1.0)), _theta_moments(d, turn > 0))
+        known = bool(path or held is not None)
+        moments = _numbers(theta.withColumn("minus", F.lit(-1.0)), _theta_moments(d, known))
         items = _topic_step(obs, theta, everything, d, sigma2, moments if dense else None)
         totals = _numbers(items, _topic_totals(d))
         ssr = max(base["q"] + totals["e"], 1e-12)
-        sigma2 = _noise(ssr, n_obs)
+        noise = _noise(ssr, n_obs)
         size = {i: moments[f"m{i}{i}"] + moments[f"s{i}{i}"] for i in range(d)}
         stretch = {i: _stretch(size[i], totals[f"m{i}{i}"], n_speakers) for i in range(d)}
         cost = moments.get("h", 0.0) + sum(
             (c * c - 1) * size[i] / 2 - n_speakers * math.log(c) for i, c in stretch.items()
         )
         items, totals = _rescaled(items, totals, stretch)
-        if turn:
-            history.append(
-                n_obs / 2 * math.log(2 * math.pi * sigma2) + ssr / (2 * sigma2) + math.sqrt(sigma2)
+        if known:
+            value = (
+                n_obs / 2 * math.log(2 * math.pi * noise) + ssr / (2 * noise) + math.sqrt(noise)
                 + totals["p"] / 2 + cost
             )
-        if len(history) > 1 and history[-2] - history[-1] <= tol * max(1.0, abs(history[-1])):
-            theta = theta.select(
-                "speaker", *[(F.col(th[i]) * stretch[i]).alias(th[i]) for i in range(d)],
-                *[(F.col(f"v{i}{j}") * stretch[i] * stretch[j]).alias(f"v{i}{j}") for i in range(d) for j in range(i, d)],
-            )
-            break
+            if held is not None and not path and value > history[-1] + 1e-9 * abs(history[-1]):
+                theta, path = held, [held]
+                continue
+            history.append(value)
+        sigma2 = noise
         theta = _speaker_step(obs, items, everyone, d, sigma2, totals if dense else None)
+        path.append(theta)
+        if len(path) == 3:
+            held, (theta, moved) = theta, _carried_on(path, th)
+            path = []
+            if moved <= tol:
+                theta = held
+                break
     return _identified(theta, items, d, sigma2, history)
 
 
+def _carried_on(path: list[DataFrame], th: Sequence[str]) -> tuple[DataFrame, float]:
+    """Theta extrapolated from three states in a row, and how far the last round moved it for its size."""
+    names = [t for t in path[0].columns if t != "speaker"]
+    both = path[2]
+    for k in (0, 1):
+        both = both.join(path[k].select("speaker", *[F.col(t).alias(f"_{t}_{k}") for t in th]), "speaker")
+    first = {t: F.col(f"_{t}_1") - F.col(f"_{t}_0") for t in th}
+    bend = {t: F.col(t) - 2 * F.col(f"_{t}_1") + F.col(f"_{t}_0") for t in th}
+    square = lambda cols: F.sum(reduce(lambda a, b: a + b, [c * c for c in cols]))
+    n = _numbers(both, {
+        "r": square(first.values()), "v": square(bend.values()), "size": square(F.col(t) for t in th),
+        "last": square(F.col(t) - F.col(f"_{t}_1") for t in th),
+    })
+    step = max(1.0, math.sqrt(n["r"] / n["v"])) if n["v"] > 0 else 1.0
+    ahead = {t: F.col(f"_{t}_0") + 2 * step * first[t] + step * step * bend[t] for t in th}
+    out = both.select("speaker", *[ahead.get(t, F.col(t)).alias(t) for t in names])
+    return cut_lineage(out), math.sqrt(n["last"] / max(n["size"], 1e-300))
+
+
 def _stretch(size: float, strength: float, n: int) -> float:
     """Factor on theta (and its inverse on a) that suits both priors best; the fit does not feel it.
 

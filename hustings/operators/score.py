@@ -62,8 +62,8 @@ def generate_labels(
 ) -> DataFrame:
     """Adds a label per text, asked for once per distinct text.
 
-    A batch that fails is asked again text by text, each up to ``retries`` times; what still
-    fails, or comes out empty, gets the default.
+    A batch that fails, or gives another number of labels than it has texts, is asked again text
+    by text, each up to ``retries`` times; what still fails, or comes out empty, gets the default.
     """
     @F.pandas_udf(T.StringType())
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -71,9 +71,10 @@ def generate_labels(
 
         def ask(texts: list[str]) -> list[str | None] | None:
             try:
-                return model(texts)
+                got = model(texts)
             except Exception:
                 return None
+            return got if len(got) == len(texts) else None
 
         def one(item: str) -> str | None:
             for _ in range(retries):

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, text
+from ..session import cut_lineage
 
 BILL = "struct<title:string,bill_type:string,bill_number:string,updateDate:string,latest_summary:string,latest_summary_date:string>"
 MEMBER = "struct<name:string,partyName:string,state:string,terms:struct<item:array<struct<chamber:string>>>>"
@@ -72,12 +73,17 @@ def read_matrix(spark: SparkSession, path: str, key: str, columns: Sequence[str]
     """Wide matrix file to long form."""
     schema = ", ".join([f"`{key}` {key_type}"] + [f"`{c}` double" for c in columns])
     wide = read_table(spark, path, schema, line_breaks=False)
-    return wide.unpivot([key], list(columns), "topic", "score")
+    named = F.array(*[F.struct(F.lit(c).alias("topic"), F.col(f"`{c}`").alias("score")) for c in columns])
+    return wide.select(key, F.inline(named))
 
 
 def cache_misses(df: DataFrame, cache: DataFrame, key: str) -> DataFrame:
-    """One row per key that the cache does not hold."""
-    return df.where(F.col(key).isNotNull()).join(cache, key, "left_anti").dropDuplicates([key])
+    """One row per key that the cache does not hold: the smallest, where rows of a key differ."""
+    missed = df.where(F.col(key).isNotNull()).join(cache, key, "left_anti")
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return missed.distinct()
+    return missed.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*").select(*df.columns)
 
 
 def with_cache(
@@ -85,9 +91,10 @@ def with_cache(
 ) -> tuple[DataFrame, DataFrame]:
     """Values by key from the cache, worked out by ``fn`` only for keys it misses.
 
-    Gives the rows with their values and the rows to append to the cache.
+    Gives the rows with their values and the rows to append to the cache. ``fn`` runs once: its
+    rows are written before they are used for both.
     """
-    fresh = fn(cache_misses(df, cache, key)).select(*cache.columns)
+    fresh = cut_lineage(fn(cache_misses(df, cache, key)).select(*cache.columns))
     return df.join(cache.unionByName(fresh), key, "left"), fresh
 
 

@@ -12,6 +12,16 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 103: 100, 200: 200}
 
 
+def test_components_of_a_long_bend(spark):
+    """Two arms that meet at their far ends, with ids that alternate between them."""
+    n = 100
+    left, right = list(range(0, 2 * n, 2)), list(range(1, 2 * n, 2))
+    path = left + right[::-1]
+    edges = spark.createDataFrame(list(zip(path, path[1:])), "src int, dst int")
+    got = cluster.connected_components(spark.range(2 * n + 1), edges).collect()
+    assert {r.id: r.component for r in got} == {**{i: 0 for i in range(2 * n)}, 2 * n: 2 * n}
+
+
 def test_density(spark):
     rnd = np.random.default_rng(2)
     rows = [("p", *map(float, c + rnd.normal(size=2) * 0.2)) for c in ([0, 0], [6, 6]) for _ in range(60)]

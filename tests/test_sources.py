@@ -34,6 +34,29 @@ def test_cache_asks_only_for_what_it_misses(spark):
     assert sorted(r.label for r in rows.collect()) == ["A", "B", "B", "C"]
 
 
+def test_misses_are_worked_out_once_and_kept(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def label(rows):
+        def run(batches):
+            for b in batches:
+                calls.add(len(b))
+                yield b.assign(label=b["t"].str.upper())[["id", "label"]]
+
+        return rows.mapInPandas(run, "id int, label string")
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b2"), (3, "c"), (None, "d")], "id int, t string")
+    path = str(tmp_path / "cache")
+    tables.write_table(spark.createDataFrame([(1, "A")], "id int, label string"), path)
+    for asked in (2, 0):
+        before = calls.value
+        cache = spark.read.parquet(path)
+        rows, fresh = tables.with_cache(df, cache, "id", label)
+        assert sorted(str(r.label) for r in rows.collect()) == ["A", "B", "B", "C", "None"]
+        tables.write_table(fresh, path, mode="append")
+        assert calls.value - before == asked
+
+
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="chamber"):
         filters.assert_columns(spark.range(1), ["chamber"])

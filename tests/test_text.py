@@ -91,3 +91,14 @@ def test_dates_and_names(spark):
     assert value(spark, text.names_from_json(F.lit('[{"name": "a"}, {"other": 1}]'))) == ["a"]
     assert value(spark, text.names_from_json(F.lit("[oops"))) == []
     assert value(spark, text.label_key(F.lit("Health"), F.lit(None).cast("string"))) is None
+
+
+def test_references_and_quoted_signs(spark):
+    cases = {
+        "a &#x27;b&#39; &eacute;&notin; &amp;lt; &unknown; &amp": "a 'b' é∉ &lt; &unknown; &amp",
+        "&#9999999; &#55357; &#0; &#99999999999999; &#xFFFFFFFFF;": "\ufffd \ufffd \ufffd \ufffd \ufffd",
+        "<a title='x > y'>in</a><b c=\"q>\">b</b>": "in b", "&#128512;&#x1F600;": "\U0001f600\U0001f600", None: "",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "c string, want string")
+    for r in df.withColumn("got", text.strip_html("c")).collect():
+        assert r.got == r.want
