@@ -6,19 +6,23 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SALTS = 8
+def salted_join(big: DataFrame, groups: DataFrame, on: Sequence[str], spread: Sequence[str | Column]) -> DataFrame:
+    """Inner join of rows with a table of few rows per group, hot groups cut into parts.
 
-
-def salted_join(big: DataFrame, groups: DataFrame, on: Sequence[str], spread: Sequence[str | Column], salts: int = SALTS) -> DataFrame:
-    """Inner join of rows with a table of few rows per group, hot groups cut into ``salts`` parts.
-
-    The part of a row follows from a hash of ``spread``, so a task that runs again sends it
-    to the same place. An aggregation by group after this join still combines before its
-    shuffle, which it would not if rows came out placed by group alone.
+    A group with more rows than a partition has on average is cut into as many parts as it would
+    fill partitions. There are at most as many such groups as partitions, so their list is small
+    enough to broadcast at any size. The part of a row follows from a hash of ``spread``, so a
+    task that runs again sends it to the same place.
     """
-    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    return left.join(groups.withColumn("_salt", parts), [*on, "_salt"]).drop("_salt")
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = big.groupBy(*on).agg(F.count("*").alias("_n"))
+    filled = F.col("_n") * parts / sizes.agg(F.sum("_n")).scalar()
+    hot = sizes.where(filled > 1).select(*on, F.ceil(filled).cast("int").alias("_parts"))
+    left = big.join(F.broadcast(hot), list(on), "left")
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    right = groups.join(F.broadcast(hot), list(on), "left")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return left.join(right.withColumn("_salt", every).drop("_parts"), [*on, "_salt"]).drop("_salt")
 
 
 def per_distinct_text(
