@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from ..functions import text
-from ..operators import groups, matrix, pool, scale, score
+from ..operators import groups, matrix, pool, resolve, scale, score
 from ..plans import fixtures as fx
+from ..session import cut_lineage
 from ..sources import tables
 from . import query_of_means as query, rounded
 from .matrices import BRANDS, CELLS_SQL, cells
@@ -52,6 +53,27 @@ def component_distances(spark, sf):
     return long.groupBy("speaker").agg(rounded(F.sum(F.col("value") ** 2), 9).alias("squared_distance"))
 
 
+@query("W8 W4 W3 J7", f"""WITH {CELLS_SQL}, m AS (SELECT subtopic_2, max(subtopic_1) AS subtopic_1 FROM children GROUP BY 1),
+ g AS (SELECT p.speaker, m.subtopic_2, p.stance_score AS parent FROM parents p JOIN m USING (subtopic_1)),
+ o AS (SELECT speaker, subtopic_2, arg_min(stance_score, subtopic_1) AS own FROM cells GROUP BY ALL),
+ f AS (SELECT speaker, subtopic_2 AS topic, coalesce(own, parent) AS y FROM g FULL JOIN o USING (speaker, subtopic_2)),
+ sc AS (SELECT speaker, count(DISTINCT topic) FILTER (y <> 0) AS n FROM f GROUP BY 1),
+ kept AS (SELECT f.* FROM f JOIN sc USING (speaker) WHERE n >= (SELECT quantile_cont(n, 0.75) FROM sc)),
+ tc AS (SELECT t.topic, count(DISTINCT speaker) FILTER (y <> 0) AS n FROM (SELECT DISTINCT topic FROM f) t LEFT JOIN kept USING (topic) GROUP BY 1),
+ good AS (SELECT kept.* FROM kept JOIN tc USING (topic) WHERE n >= (SELECT quantile_cont(n, 0.75) FROM tc)),
+ s AS (SELECT DISTINCT speaker FROM good), c AS (SELECT topic, sum(y) / (SELECT count(*) FROM s) AS mean FROM good GROUP BY 1)
+ SELECT speaker, round(sum((coalesce(y, 0) - mean) ** 2), 9) AS squared_distance
+ FROM s CROSS JOIN c LEFT JOIN good USING (speaker, topic) GROUP BY 1""")
+def subtopic_distances(spark, sf):
+    """Subtopic matrix filled from the parents and filtered by coverage, reduced to all its components."""
+    own = cells(spark, sf)
+    filled = matrix.fill_from_parent(own, pool.topic_scores(own), resolve.topic_parents(own))
+    kept = cut_lineage(matrix.coverage_filter(filled.withColumn("topic", F.col("subtopic_2")), 0.75, 0.75))
+    model = scale.fit_pca(kept, len(matrix.topic_list(kept)))
+    long = scale.project_cells(kept, model)
+    return long.groupBy("speaker").agg(rounded(F.sum(F.col("value") ** 2), 9).alias("squared_distance"))
+
+
 @query("T3 W4")
 def top_loadings(spark, sf):
     model = scale.fit_pca(parent_cells(spark, sf), 3)
