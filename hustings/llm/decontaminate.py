@@ -40,12 +40,11 @@ _SLOT = {"number": np.uint64(0x1B873593A5D1E6F1), "unit": np.uint64(0x38B34AE5C9
 
 
 class _Words(dict):
-    """Number of each word as written; its hash and its marks are kept in lists."""
+    """Number of each word as written; its hash and its marks stand in arrays that grow."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes: list[int] = []
-        self.marks: list[int] = []
+        self.hashes, self.marks = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
 
     def __missing__(self, raw: str) -> int:
         bare = _EDGES.sub("", raw)
@@ -57,9 +56,12 @@ class _Words(dict):
             marks |= _NUM
         elif low in UNITS or low == "%":
             marks |= _UNIT
-        self.hashes.append(xxhash.xxh3_64_intdigest(low) if low else 0)
-        self.marks.append(marks)
-        n = self[raw] = len(self)
+        n = len(self)
+        if n == len(self.hashes):
+            self.hashes, self.marks = np.append(self.hashes, np.zeros_like(self.hashes)), np.append(self.marks, np.zeros_like(self.marks))
+        self.hashes[n] = xxhash.xxh3_64_intdigest(low) if low else 0
+        self.marks[n] = marks
+        self[raw] = n
         return n
 
 
@@ -69,12 +71,12 @@ def templates(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray,
     A number is a slot; so is a unit after a number, and a capitalised word that doesn't begin a
     sentence. Other words are themselves. Case and punctuation at the edges of words don't matter.
     """
-    of = np.fromiter((words[w] for w in (text or "").split()), np.int64)
+    of = np.array([words[w] for w in (text or "").split()], np.int64)
     if not len(of):
         empty = np.empty(0, np.uint64)
         return empty, empty, empty.astype(bool)
-    value = np.array(words.hashes, np.uint64)[of]
-    marks = np.array(words.marks, np.int64)[of]
+    value = words.hashes[of]
+    marks = words.marks[of]
     begins = np.concatenate([[True], (marks[:-1] & _END) > 0])
     named = value != 0
     value, marks, begins = value[named], marks[named], begins[named]
