@@ -16,7 +16,6 @@ START, END = "<|im_start|>", "<|im_end|>"
 # In a text, backslashes between < and | are what escaping adds and takes away again.
 _MARK = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
-_TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", re.S)
 
 
 class Turn(NamedTuple):
@@ -39,15 +38,19 @@ def unescape(s: str, line: bool = False) -> str:
 def parse(rendered: str) -> list[Turn] | None:
     """Turns of rendered text, or None where it isn't one turn after the other.
 
-    A turn runs from its start mark to the first end mark after it.
+    A turn is a start mark, the role up to a line break, the text up to the first end mark, and
+    a line break. No other mark may stand in it.
     """
     turns, at = [], 0
     while at < len(rendered):
-        m = _TURN.match(rendered, at)
-        if not m:
+        begin = at + len(START)
+        line, end = rendered.find("\n", begin), rendered.find(END, begin)
+        if not rendered.startswith(START, at) or not 0 <= line < end or not rendered.startswith("\n", end + len(END)):
             return None
-        turns.append(Turn(unescape(m[1], line=True), unescape(m[2])))
-        at = m.end()
+        if rendered.find(START, begin, end) >= 0:
+            return None
+        turns.append(Turn(unescape(rendered[begin:line], line=True), unescape(rendered[line + 1 : end])))
+        at = end + len(END) + 1
     return turns
 
 
@@ -154,7 +157,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.mapInArrow(run, schema)
 
 
-@query()
+@query(
+    r"""WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, turn, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
+    s AS (SELECT *, length(text) + CASE WHEN contains(text, '<|im_end|>') OR contains(text, '<|im_start|>') OR regexp_matches(text, '<\\+\|')
+                 THEN len(regexp_extract_all(text, '<\\*\|')) ELSE 0 END AS shown FROM t)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(length('<|im_start|>') + length(role) + 1 + shown + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+    FROM s GROUP BY conv_id"""
+)
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that holds control strings, formatted and read back."""
     said = f"{END}{START}assistant ok"

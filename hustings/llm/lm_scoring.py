@@ -217,7 +217,28 @@ def score(docs: DataFrame, share: float = SHARE, backoff: float = BACKOFF, key:
     )
 
 
-@query()
+@query(
+    rf"""WITH d AS (
+      SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+    v AS (SELECT word FROM w GROUP BY word HAVING count(DISTINCT rid) >= greatest(2, {SHARE} * (SELECT count(*) FROM d))),
+    r AS (SELECT rid, i, CASE WHEN v.word IS NULL THEN 'unknown' ELSE '=' || v.word END AS s FROM w LEFT JOIN v USING (word)
+          UNION ALL SELECT rid, 0, 'begin' FROM d UNION ALL SELECT rid, len(ws) + 1, 'end' FROM d),
+    p AS (SELECT rid, s AS a, lead(s) OVER (PARTITION BY rid ORDER BY i) AS b FROM r),
+    own AS (SELECT rid, a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY ALL),
+    whole AS (SELECT a, b, sum(n) AS c FROM own GROUP BY ALL),
+    one AS (SELECT s, count(*) AS c FROM r GROUP BY s),
+    x AS (SELECT rid, n, whole.c - n AS others, ca.c AS ca, cb.c AS cb,
+                 (SELECT count(*) FROM p WHERE b IS NOT NULL) AS tokens
+          FROM own JOIN whole USING (a, b) JOIN one ca ON ca.s = a JOIN one cb ON cb.s = b),
+    y AS (SELECT rid, n, CASE WHEN others > 0 THEN n ELSE 0 END AS seen,
+                 n * CAST(round_even((CASE WHEN others > 0 THEN ln(others) - ln(ca) ELSE ln({BACKOFF}::DOUBLE * cb / tokens) END) * {MICRO}, 0) AS BIGINT) AS micro
+          FROM x)
+    SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(seen) AS BIGINT) AS n_seen,
+           CAST(sum(micro) AS BIGINT) / {MICRO}.0::DOUBLE AS log_score,
+           CAST(sum(micro) AS BIGINT) / {MICRO}.0::DOUBLE / CAST(sum(n) AS BIGINT) AS mean_log_score
+    FROM y JOIN d USING (rid) GROUP BY rid, doc_id"""
+)
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under the pair counts of all others."""
     return score(table(spark, sf_dir, "documents"))

@@ -22,6 +22,7 @@ def test_any_turn_comes_back():
     turns = [Turn("".join(rnd.choices(bits, k=rnd.randint(0, 4))), "".join(rnd.choices(bits, k=rnd.randint(0, 9)))) for _ in range(4000)]
     shown = [chat.render(t) for t in turns]
     assert chat.parse("".join(s for s, _, _ in shown)) == turns
+    assert all(s.count(START) == s.count(END) == 1 for s, _, _ in shown)
     assert all(chat.unescape(s[a:b]) == t.text for (s, a, b), t in zip(shown, turns))
 
 
