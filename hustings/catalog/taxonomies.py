@@ -173,19 +173,32 @@ def density_clusters(spark, sf):
     return clusters(spark, sf).select("vec_id", "parent", "label")
 
 
-@query("C7", f"""WITH RECURSIVE {CLUSTERS_SQL}, k AS (SELECT * FROM clustered WHERE label <> -1),
+QUALITY_SQL = """k AS (SELECT * FROM clustered WHERE label <> -1),
  d AS (SELECT a.vec_id, a.parent, a.label, b.label AS other, sum((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2) AS s, count(*) AS n
    FROM k a JOIN k b USING (parent) GROUP BY ALL),
  ab AS (SELECT vec_id, parent, max(CASE WHEN label = other THEN s / nullif(n - 1, 0) END) AS a,
    min(CASE WHEN label <> other THEN s / n END) AS b FROM d GROUP BY ALL),
  q AS (SELECT parent, avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) AS quality,
-   count(*) AS clustered FROM ab GROUP BY 1)
+   count(*) AS clustered FROM ab GROUP BY 1)"""
+
+
+@query("C7", f"""WITH RECURSIVE {CLUSTERS_SQL}, {QUALITY_SQL}
  SELECT parent, points, round(quality, 7) AS quality, clustered FROM (SELECT parent, count(*) AS points FROM clustered GROUP BY 1) LEFT JOIN q USING (parent)""")
 def cluster_qualities(spark, sf):
     out = cluster.cluster_quality(clusters(spark, sf), ["parent"], ["x0", "x1"], "vec_id")
     return out.withColumn("quality", F.round("quality", 7))
 
 
+@query("C7", f"""WITH RECURSIVE {CLUSTERS_SQL}, {QUALITY_SQL}
+ SELECT round(sum(quality * points) / sum(points), 7) AS by_points, round(sum(quality * clustered) / sum(clustered), 7) AS without_noise
+ FROM (SELECT parent, count(*) AS points FROM clustered GROUP BY 1) JOIN q USING (parent)""")
+def weighted_cluster_quality(spark, sf):
+    """Mean quality over all parents, by their points and by their points without noise."""
+    quality = cluster.cluster_quality(clusters(spark, sf), ["parent"], ["x0", "x1"], "vec_id")
+    whole = cluster.weighted_quality(quality).select(F.round("quality", 7).alias("by_points"))
+    return whole.withColumn("without_noise", F.round(cluster.weighted_quality(quality, True).scalar(), 7))
+
+
 @query("C11 A16 A22", f"""WITH RECURSIVE {CLUSTERS_SQL}, {TERMS_SQL},
  members AS (SELECT c.parent, c.label, c.vec_id AS doc_id, CAST(e.embedding AS DOUBLE[]) AS v FROM clustered c JOIN embeddings e USING (vec_id)),
  dims AS (SELECT parent, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM members),

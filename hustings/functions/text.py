@@ -270,8 +270,3 @@ def map_codes(c: Column | str, mapping: Mapping, default: str | None = None) ->
     for key, value in mapping.items():
         out = F.when(source == F.lit(key), value) if out is None else out.when(source == F.lit(key), value)
     return out.otherwise(F.lit(default))
-
-
-def chamber_code(c: Column | str) -> Column:
-    first = F.upper(F.substring(_col(c), 1, 1))
-    return F.when(first.isin("H", "S"), first).otherwise("UNK")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordering import cumulative_counts, exact_quantiles, first_by, top_per_group
+from .ordering import cumulative_counts, first_by, top_per_group
 
 
 def count_crosstab(df: DataFrame, key: str, col: str, values: Sequence[str]) -> DataFrame:
@@ -142,8 +142,3 @@ def group_targets(
     return full.select(
         by, *[F.col(f"_all.{f}").alias(f) for f in fields], "valid"
     )
-
-
-def median_and_mean(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    means = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
-    return means.join(exact_quantiles(df, value, {"median": 0.5}, by), list(by))

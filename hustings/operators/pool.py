@@ -164,9 +164,3 @@ def topic_scores(results: DataFrame, method: str = "mean") -> DataFrame:
     else:
         agg = F.avg(score)
     return results.groupBy("speaker", "subtopic_1").agg(agg.alias("stance_score"))
-
-
-def scored(results: DataFrame) -> DataFrame:
-    """Stance results with score and weight, the weight being words, else documents."""
-    weight = "document_word_count" if "document_word_count" in results.columns else "document_count"
-    return results.withColumns({"stance_score": stance.stance_score(), "weight": F.col(weight)})

@@ -34,12 +34,6 @@ def read_many(
     return read_table(spark, list(paths), schema, fmt, line_breaks)
 
 
-def union_all(first: DataFrame, *more: DataFrame) -> DataFrame:
-    for df in more:
-        first = first.unionByName(df, allowMissingColumns=True)
-    return first
-
-
 def bills_from_json(df: DataFrame, col: str = "value") -> DataFrame:
     """Rows of ``{title: bill}`` dictionaries to one row per title."""
     entries = F.explode(F.map_entries(F.from_json(F.col(col), f"map<string,{BILL}>")))
