@@ -18,7 +18,7 @@ from .shared import pieces, query, table
 # d / SHARE such words, however large the corpus.
 SHARE = 2e-4
 BACKOFF = 0.4
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 WORDS_KEPT = 500_000
 MICRO = 1_000_000  # scores are added up in whole millionths, in any order to the same sum
 
