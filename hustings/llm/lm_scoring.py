@@ -7,209 +7,207 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .shared import pieces, query, table
+from ..session import stage_path
+from .shared import mixed, pieces, query, table
 
-# A word of at least this share of all documents, and of two, is in the vocabulary; the others
-# count as one unknown word. With d distinct words in a document on average there are at most
-# d / SHARE such words, however large the corpus.
+# The SQL asks for words in this share of the documents, and in two. Up to 10,000 documents two
+# is the larger; the operator asks for two at every size.
 SHARE = 2e-4
 BACKOFF = 0.4
 BLOCK_CHARS = 8_000_000
 WORDS_KEPT = 500_000
 MICRO = 1_000_000  # scores are added up in whole millionths, in any order to the same sum
 
+_UNKNOWN, _BEGIN, _END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" unknown", b" begin", b" end"))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_NO_ID = -(1 << 63)
 
-class Vocabulary(NamedTuple):
-    """Words by hash, and counts of unknown, known..., begin and end."""
 
-    hashes: np.ndarray
-    counts: np.ndarray
-    tokens: int
+class Totals(NamedTuple):
+    """Documents, words and unknown words of the corpus; documents that make a word known."""
 
-    @property
-    def size(self) -> int:
-        return len(self.counts)
+    docs: int
+    tokens: int
+    unknown: int
+    least: float
 
 
 def _split(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def vocabulary(docs: DataFrame, share: float = SHARE, text: str = "text") -> Vocabulary:
-    """Words and their counts over all documents; counted within tasks, then by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
-        tokens = n = 0
-
-        def rows() -> pa.RecordBatch:
-            hashes = [xxhash.xxh3_64_intdigest(w) for w in seen]
-            return pa.record_batch(
-                [pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array([c for c, _ in seen.values()], pa.int64()), pa.array([d for _, d in seen.values()], pa.int64())],
-                ["hash", "n", "docs"],
-            )
-
-        for batch in pieces(batches, "text"):
-            for t in batch.column("text").to_pylist():
-                words = _split(t)
-                tokens, n = tokens + len(words), n + 1
-                for w in words:
-                    if w in seen:
-                        seen[w][0] += 1
-                    else:
-                        seen[w] = [1, 0]
-                for w in set(words):
-                    seen[w][1] += 1
-            if len(seen) > WORDS_KEPT:
-                yield rows()
-                seen = {}
-        yield rows()
-        yield pa.record_batch([pa.array([None], pa.int64()), pa.array([tokens], pa.int64()), pa.array([n], pa.int64())], ["hash", "n", "docs"])
-
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "hash long, n long, docs long")
-    least = max(2.0, share * docs.count())
-    kept = found.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(
-        F.col("hash").isNull() | (F.col("docs") >= least)
-    ).toArrow()
-    totals = kept.filter(pc.is_null(kept["hash"]))
-    words = kept.filter(pc.is_valid(kept["hash"])).sort_by("hash")
-    tokens, n_docs = (pc.sum(totals[c]).as_py() or 0 for c in ("n", "docs"))
-    hashes = words["hash"].to_numpy().astype(np.int64).view(np.uint64)
-    counts = words["n"].to_numpy().astype(np.int64)
-    ends = [n_docs, n_docs]
-    return Vocabulary(hashes, np.concatenate([[tokens - counts.sum()], counts, ends]).astype(np.int64), tokens + n_docs)
-
-
-class _Numbers(dict):
-    """Number of each word: its place in the vocabulary from 1, or 0."""
-
-    def __init__(self, known: Vocabulary) -> None:
-        super().__init__()
-        self.place = {int(h): i + 1 for i, h in enumerate(known.hashes)}
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = self.place.get(xxhash.xxh3_64_intdigest(word), 0)
-        return n
-
-
-def _packed(docs: DataFrame, known: Vocabulary, buckets: int) -> DataFrame:
-    """Word pairs of blocks of documents, by hash bucket.
-
-    A row has the distinct pairs of a block that fall into a bucket, and for each the documents
-    that have it and how often. A pair that is in every document thus costs a few bytes for each.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
-        width = vocab.size
-        numbers = _Numbers(vocab)
-        for batch in pieces(batches, "text", BLOCK_CHARS):
-            if len(numbers) > WORDS_KEPT:
-                numbers.clear()
-            pairs, owners = [], []
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                words = _split(t)
-                ids = np.empty(len(words) + 2, np.int64)
-                ids[0], ids[-1] = width - 2, width - 1
-                ids[1:-1] = np.fromiter((numbers[w] for w in words), np.int64, len(words))
-                pairs.append(ids[:-1] * width + ids[1:])
-                owners.append(np.full(len(words) + 1, i, np.uint32))
-            pair, owner = np.concatenate(pairs), np.concatenate(owners)
-            bucket = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
-            order = np.lexsort((owner, pair, bucket))
-            pair, owner, bucket = pair[order], owner[order], bucket[order]
-            new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])])
-            firsts = np.flatnonzero(new)
-            times = np.diff(np.append(firsts, len(pair))).astype(np.uint32)
-            pair, owner, bucket = pair[firsts], owner[firsts], bucket[firsts]
-            ids = batch.column("id").cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            packed_ids = pa.compress(np.diff(ids, prepend=np.int64(0)).tobytes(), codec="zstd", asbytes=True)
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            out = [[] for _ in range(7)]
-            for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
-                own = pair[a:b]
-                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                row = (
-                    int(bucket[a]), len(ids), packed_ids, own[starts].tobytes(),
-                    np.diff(np.append(starts, b - a)).astype(np.uint32).tobytes(), owner[a:b].tobytes(), times[a:b].tobytes(),
-                )
-                for column, value in zip(out, row):
-                    column.append(value)
-            yield pa.record_batch(
-                [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(x, pa.binary()) for x in out[2:])],
-                ["bucket", "n_ids", "ids", "pairs", "sizes", "owners", "times"],
-            )
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
 
-    return docs.mapInArrow(run, "bucket int, n_ids long, ids binary, pairs binary, sizes binary, owners binary, times binary")
 
+def _unpacked(raw: bytes, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
-def _bucket_scores(rows: DataFrame, known: Vocabulary, backoff: float) -> DataFrame:
-    """``id, micro, n, seen`` of the pairs of each document in each bucket.
 
-    A bucket is one part of the table of pair counts, together with the documents' pairs that
-    need it. Its size goes down as the number of buckets goes up.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(known)
-
-    def run(group: pa.Table) -> pa.Table:
-        vocab = shared.value
-        counts = np.maximum(vocab.counts, 1)
-        at = {c: group.column(c).to_pylist() for c in ("pairs", "sizes", "owners", "times")}
-        pairs = [np.frombuffer(x, np.int64) for x in at["pairs"]]
-        sizes = [np.frombuffer(x, np.uint32) for x in at["sizes"]]
-        own = [np.frombuffer(x, np.uint32).astype(np.int64) for x in at["times"]]
-        distinct, place = np.unique(np.concatenate(pairs), return_inverse=True)
-        total, ends = np.zeros(len(distinct), np.int64), np.cumsum([0, *map(len, pairs)])
-        spread = [np.repeat(place[a:b], n) for a, b, n in zip(ends[:-1], ends[1:], sizes)]
-        for where, times in zip(spread, own):
-            np.add.at(total, where, times)
-        left, right = distinct // vocab.size, distinct % vocab.size
-        missing = np.log(backoff * counts[right] / max(1, vocab.tokens))
-        context = np.log(counts[left])
-        ids, micro, n, seen = [], [], [], []
-        for where, times, owners, raw, size in zip(spread, own, at["owners"], group.column("ids").to_pylist(), group.column("n_ids").to_pylist()):
-            owner = np.frombuffer(owners, np.uint32)
-            others = total[where] - times
-            value = np.where(others > 0, np.log(np.maximum(others, 1)) - context[where], missing[where])
-            scaled = np.rint(value * MICRO).astype(np.int64) * times
-            sums = np.zeros((3, size), np.int64)
-            np.add.at(sums[0], owner, scaled)
-            np.add.at(sums[1], owner, times)
-            np.add.at(sums[2], owner, np.where(others > 0, times, 0))
-            has = np.flatnonzero(sums[1])
-            block = np.cumsum(np.frombuffer(pa.decompress(raw, size * 8, codec="zstd", asbytes=True), np.int64))
-            ids.append(block[has])
-            for out, x in zip((micro, n, seen), sums):
-                out.append(x[has])
-        key = np.concatenate(ids)
-        return pa.table({
-            "id": pa.array(key, mask=key == -(1 << 63)), "micro": np.concatenate(micro), "n": np.concatenate(n), "seen": np.concatenate(seen),
-        })
+BLOCK = "block long, n_docs long, n_tokens long, n_words long, ids binary, lengths binary, tokens binary, words binary"
 
-    return rows.groupBy("bucket").applyInArrow(run, "id long, micro long, n long, seen long")
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of documents: ids, lengths, and their words as places in the block's own list of hashes."""
 
-def score(docs: DataFrame, share: float = SHARE, backoff: float = BACKOFF, key: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[bytes, int] = {}
+        block = TaskContext.get().partitionId() << 32
+        for batch in pieces(batches, "text", BLOCK_CHARS):
+            if len(hashes) > WORDS_KEPT:
+                hashes.clear()
+            of, lengths = [], []
+            for t in batch.column("text").to_pylist():
+                words = _split(t)
+                for w in words:
+                    if w not in hashes:
+                        hashes[w] = xxhash.xxh3_64_intdigest(w)
+                of.append(np.fromiter((hashes[w] for w in words), np.uint64, len(words)))
+                lengths.append(len(words))
+            own, tokens = np.unique(np.concatenate(of), return_inverse=True)
+            ids = batch.column("id").cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            row = (
+                block, len(ids), len(tokens), len(own), _packed(np.diff(ids, prepend=np.int64(0))), _packed(np.array(lengths, np.uint32)),
+                _packed(tokens.astype(np.uint32)), own.tobytes(),
+            )
+            block += 1
+            yield pa.record_batch([*(pa.array([x], pa.int64()) for x in row[:4]), *(pa.array([x], pa.binary()) for x in row[4:])], [c.split()[0] for c in BLOCK.split(", ")])
+
+    return docs.mapInArrow(run, BLOCK)
+
+
+class Block:
+    """A block's documents, and for each word how often and in how many of them it is."""
+
+    def __init__(self, row: dict) -> None:
+        self.block, self.n_docs = row["block"], row["n_docs"]
+        self.ids = np.cumsum(_unpacked(row["ids"], np.int64, row["n_docs"]))
+        self.lengths = _unpacked(row["lengths"], np.uint32, row["n_docs"]).astype(np.int64)
+        self.tokens = _unpacked(row["tokens"], np.uint32, row["n_tokens"]).astype(np.int64)
+        self.words = np.frombuffer(row["words"], np.uint64)
+        n = row["n_words"]
+        self.n = np.bincount(self.tokens, minlength=n)
+        owner = np.repeat(np.arange(self.n_docs), self.lengths)
+        self.docs = np.bincount(np.unique(owner * n + self.tokens) % max(1, n), minlength=n)
+
+    def know(self, places: np.ndarray, n: np.ndarray, docs: np.ndarray, totals: Totals) -> None:
+        """Word pairs of the documents, once the counts of words that other blocks have as well are there."""
+        count, of = self.n.copy(), self.docs.copy()
+        count[places], of[places] = n, docs
+        known = of >= totals.least
+        hashes = np.concatenate([np.where(known, self.words, _UNKNOWN), np.array([_BEGIN, _END])])
+        counts = np.concatenate([np.where(known, count, totals.unknown), [totals.docs, totals.docs]])
+        ends = np.cumsum(self.lengths + 2)
+        run = np.empty(int(ends[-1]), np.int64)
+        inner = np.ones(len(run), bool)
+        inner[ends - 1] = inner[ends - self.lengths - 2] = False
+        run[ends - self.lengths - 2], run[ends - 1], run[inner] = len(hashes) - 2, len(hashes) - 1, self.tokens
+        first = np.ones(len(run), bool)
+        first[ends - 1] = False
+        at = np.flatnonzero(first)
+        left, right = run[at], run[at + 1]
+        pair = mixed(mixed(hashes[left]) * _STEP + hashes[right])
+        self.pairs, start, place = np.unique(pair, return_index=True, return_inverse=True)
+        self.pair_n = np.bincount(place)
+        self.left, self.right = counts[left[start]], counts[right[start]]
+        owner = np.repeat(np.arange(self.n_docs), self.lengths + 1)
+        own, self.times = np.unique(owner * len(self.pairs) + place, return_counts=True)
+        self.owner, self.pair = own // len(self.pairs), own % len(self.pairs)
+
+
+def _each(rows: DataFrame, met: DataFrame, totals: Totals, run, schema: str) -> DataFrame:
+    """``run`` on each block and the counts it has met, which go to it by block."""
+
+    def group(left: pa.Table, right: pa.Table) -> pa.Table:
+        b = Block(left.to_pylist()[0])
+        kind, place, n, docs = (right[c].to_numpy() for c in ("kind", "place", "n", "docs"))
+        words, pairs = kind == 0, kind == 1
+        b.know(place[words], n[words], docs[words], totals)
+        return run(b, place[pairs], n[pairs])
+
+    return rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(group, schema)
+
+
+def _met(rows: DataFrame, key: str, sums: list[str], kind: int) -> DataFrame:
+    """``block, kind, place, n, docs`` with the sums over all blocks that have the same key, one row per key and block."""
+    same = Window.partitionBy(key)
+    both = rows.select("block", "place", *[F.col(c).alias(f"_{c}") for c in sums], *[F.sum(c).over(same).alias(c) for c in sums])
+    return both.withColumn("kind", F.lit(kind))
+
+
+def score(docs: DataFrame, share: float = 0.0, backoff: float = BACKOFF, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_seen, log_score, mean_log_score`` of every document.
 
     Each word, and the end of the document, is scored after the word before it: by how often
     other documents have the pair, over how often the corpus has the first word; where no other
     document has the pair, by ``backoff`` times the share of the second word. Counts are over
-    all documents. Pairs meet their counts in hash buckets, one shuffle there and one back.
+    all documents and all words. A word of one document alone, which no other can know, counts
+    as unknown whatever the size of the corpus; so does one below ``share`` of the documents.
+
+    Words and pairs are counted by 64-bit hash, first within blocks of documents, and the blocks
+    meet by hash: a row for each key and block, so the commonest pair has as many rows as there
+    are blocks. Back to a block go the counts of what other blocks have too. No task and no
+    driver holds more than a block.
 
     A text without words, or a null text, has the end alone to score. Rows that share an id are
     added up as one document, but count as others to each other; so do rows without an id. Other
     columns are ignored, and an empty table gives no rows.
     """
-    known = vocabulary(docs, share, text)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = _bucket_scores(_packed(rows, known, buckets), known, backoff)
+    spark = docs.sparkSession
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        path = stage_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    rows = staged(_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))), "lm-blocks")
+    corpus = rows.agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens")).first()
+    n_docs, n_tokens = corpus["docs"] or 0, corpus["tokens"] or 0
+    least = max(2.0, share * n_docs)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = Block(row)
+                yield pa.record_batch(
+                    [pa.array(np.full(len(b.words), b.block)), pa.array(np.arange(len(b.words), dtype=np.int32)), pa.array(b.words.view(np.int64)),
+                     pa.array(b.n.astype(np.int64)), pa.array(b.docs.astype(np.int64))],
+                    ["block", "place", "hash", "n", "docs"],
+                )
+
+    found = _met(rows.mapInArrow(words, "block long, place int, hash long, n long, docs long"), "hash", ["n", "docs"], 0)
+    rare = F.col("docs") < least
+    known = staged(found.where((F.col("docs") > F.col("_docs")) | rare), "lm-words")
+    unknown = known.where(rare).agg(F.sum("_n").alias("n")).first()["n"] or 0
+    known = known.where(F.col("docs") > F.col("_docs")).select("block", "kind", "place", "n", "docs")
+    totals = Totals(n_docs, n_tokens + n_docs, unknown, least)
+
+    def pairs(b: Block, place: np.ndarray, n: np.ndarray) -> pa.Table:
+        return pa.table({
+            "block": np.full(len(b.pairs), b.block), "place": np.arange(len(b.pairs), dtype=np.int32), "hash": b.pairs.view(np.int64), "n": b.pair_n.astype(np.int32),
+        })
+
+    counted = _each(rows, known, totals, pairs, "block long, place int, hash long, n int")
+    shared = _met(counted, "hash", ["n"], 1).where(F.col("n") > F.col("_n"))
+    shared = staged(shared.select("block", "kind", "place", "n", F.lit(0).cast("long").alias("docs")), "lm-pairs")
+
+    def scores(b: Block, place: np.ndarray, n: np.ndarray) -> pa.Table:
+        total = b.pair_n.astype(np.int64)
+        total[place] = n
+        others = total[b.pair] - b.times
+        missing = np.log(backoff * np.maximum(b.right, 1) / max(1, totals.tokens))
+        value = np.where(others > 0, np.log(np.maximum(others, 1)) - np.log(np.maximum(b.left, 1))[b.pair], missing[b.pair])
+        sums = np.zeros((3, b.n_docs), np.int64)
+        np.add.at(sums[0], b.owner, np.rint(value * MICRO).astype(np.int64) * b.times)
+        np.add.at(sums[1], b.owner, b.times)
+        np.add.at(sums[2], b.owner, np.where(others > 0, b.times, 0))
+        return pa.table({"id": pa.array(b.ids, mask=b.ids == _NO_ID), "micro": sums[0], "n": sums[1], "seen": sums[2]})
+
+    parts = _each(rows, known.unionByName(shared), totals, scores, "id long, micro long, n long, seen long")
     sums = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("micro", "n", "seen")])
     total = F.col("micro") / F.lit(float(MICRO))
     return sums.select(
