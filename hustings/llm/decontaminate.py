@@ -70,6 +70,7 @@ def templates(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray,
 
     A number is a slot; so is a unit after a number, and a capitalised word that doesn't begin a
     sentence. Other words are themselves. Case and punctuation at the edges of words don't matter.
+    The values of names are odd, all others even.
     """
     of = np.array([words[w] for w in (text or "").split()], np.int64)
     if not len(of):
@@ -86,6 +87,7 @@ def templates(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray,
     template = value.copy()
     for is_kind, slot in ((number, "number"), (unit, "unit"), (name, "name")):
         template[is_kind] = _SLOT[slot]
+    value = value & ~np.uint64(1) | name.astype(np.uint64)
     return template, value, number | unit | name
 
 
@@ -147,6 +149,54 @@ def _filter_bits(windows: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def agreeing(windows: list[dict]) -> list[dict]:
+    """The windows of a stretch whose slots agree with its mapping of values to values.
+
+    The mapping is one to one. Pairs enter it by the number of windows they are in, names that
+    are kept before others. Windows with a pair that isn't in it are dropped, and no others, as
+    numbers can be equal by chance and a copy can be edited in a place. Names changed to
+    different names, or to one, are another text: of that only windows without slots are left.
+    """
+    seen: dict[tuple[int, int], list[int]] = {}
+    for w in windows:
+        for pair in set(zip(w["own"], w["there"])):
+            seen.setdefault(pair, [0, w["at"]])[0] += 1
+            seen[pair][1] = min(seen[pair][1], w["at"])
+    there, own = {}, {}
+    other = False
+    for a, b in sorted(seen, key=lambda p: (not (p[0] & 1 and p[0] == p[1]), -seen[p][0], p[0] != p[1], seen[p][1], p)):
+        if a not in there and b not in own:
+            there[a], own[b] = b, a
+        elif a & 1:
+            # The pairs in the way: those that keep the name are the copy, with an edit here.
+            other |= there.get(a, a) != a or own.get(b, b) != b
+    if other:
+        return [w for w in windows if not w["own"]]
+    return [w for w in windows if all(there.get(a) == b for a, b in zip(w["own"], w["there"]))]
+
+
+def _settled(runs: DataFrame) -> DataFrame:
+    """``runs`` with the windows that agree in place of all, where ``_windows`` is given."""
+    names = ["id", "_item", "_n", "_found", "_from", "_to", "_same"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {c: batch.column(c).to_pylist() for c in names}
+            for i, windows in enumerate(batch.column("_windows")):
+                if windows.is_valid:
+                    kept = agreeing(windows.as_py())
+                    places = [w["place"] for w in kept]
+                    out["_found"][i] = sorted({w["at"] for w in kept})
+                    out["_from"][i], out["_to"][i] = min(places, default=None), max(places, default=None)
+                    out["_same"][i] = False
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.record_batch([pa.array(out[c], k) for c, k in zip(names, kinds)], names)
+
+    return runs.select(*names, "_windows").mapInArrow(
+        run, "id long, _item long, _n long, _found array<long>, _from long, _to long, _same boolean"
+    )
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, share: float = SHARE, key: str = "doc_id", item: str = "item_id", text: str = "text"
 ) -> DataFrame:
@@ -154,8 +204,9 @@ def contaminated(
 
     Windows of template words are met by hash. Where a document and an item share windows at the
     same distance, the values in the slots have to agree: one value of the item always stands
-    for the same value in the document, and two values never for one. Stretches that don't are
-    dropped. An item is found when ``share`` of its windows are; ``verbatim`` tells whether all
+    for the same value in the document, and two values never for one. Windows that don't agree
+    with most others are dropped; where names are changed without agreeing, all windows with
+    slots are. An item is found when ``share`` of its windows are; ``verbatim`` tells whether all
     slots have the item's own values. Words are counted from 0, without bare punctuation.
 
     Items of fewer than 8 words have no window and are never found. Null texts have none, rows
@@ -171,15 +222,17 @@ def contaminated(
     runs = both.groupBy("id", "_item", (F.col("place") - F.col("_at")).alias("_shift")).agg(
         F.collect_set("_at").alias("_found"), F.max("_n").alias("_n"), F.min("place").alias("_from"), F.max("place").alias("_to"),
         F.array_distinct(F.flatten(F.collect_list(slots))).alias("_slots"),
+        F.collect_set(F.struct(F.col("_at").alias("at"), "place", F.col("_own").alias("own"), F.col("values").alias("there"))).alias("_windows"),
     )
     n = F.size("_slots")
     one_to_one = (F.size(F.array_distinct(F.transform("_slots", lambda s: s["own"]))) == n) & (
         F.size(F.array_distinct(F.transform("_slots", lambda s: s["there"]))) == n
     )
     same = F.forall("_slots", lambda s: s["own"] == s["there"])
-    found = runs.where(one_to_one).groupBy("id", "_item").agg(
+    settled = _settled(runs.withColumns({"_same": same, "_windows": F.when(~one_to_one, F.col("_windows"))}))
+    found = settled.where(F.size("_found") > 0).groupBy("id", "_item").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("_found")))).cast("long").alias("n_found"), F.max("_n").alias("n_windows"),
-        F.every(same).alias("verbatim"), F.min("_from").alias("first_word"), (F.max("_to") + WINDOW - 1).alias("last_word"),
+        F.every("_same").alias("verbatim"), F.min("_from").alias("first_word"), (F.max("_to") + WINDOW - 1).alias("last_word"),
     )
     return found.where(F.col("n_found") >= share * F.col("n_windows")).select(
         F.col("id").alias(key), F.col("_item").alias(item), "n_found", "n_windows", "verbatim", "first_word", "last_word"

@@ -57,6 +57,37 @@ def test_slots(spark, text, found, verbatim):
         assert got[0].verbatim == verbatim and got[0].item_id == 9 and got[0].first_word >= 12
 
 
+SHOP = (
+    "On Monday a farmer called Natalia packed 3 apples into a wooden box and later put 3 pears into the same box for the "
+    "school. Every child who came by was given 5 grapes and a slice of bread with cheese. How much fruit did Natalia pack?"
+)
+
+
+@pytest.mark.parametrize(
+    "changes, found",
+    [
+        # Numbers equal by chance: one becomes two, two become one; and a copy with one edit.
+        ({"3 apples": "4 apples", "3 pears": "7 pears"}, True),
+        ({"5 grapes": "3 grapes"}, True),
+        ({"3 pears": "8 pears"}, True),
+        ({"did Natalia": "did Olga"}, True),
+        ({"called Natalia": "called Bob", "did Natalia": "did Olga"}, False),
+    ],
+)
+def test_windows_that_conflict_go_alone(spark, changes, found):
+    text = SHOP
+    for a, b in changes.items():
+        assert a in text
+        text = text.replace(a, b)
+    docs = spark.createDataFrame([(1, f"Some words before it. {text} And after it.")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, SHOP)], "item_id long, text string")
+    got = dc.contaminated(docs, bench).collect()
+    if found:
+        assert len(got) == 1 and not got[0].verbatim and 0.25 * got[0].n_windows <= got[0].n_found < got[0].n_windows
+    else:
+        assert not got or got[0].n_found < 0.5 * got[0].n_windows
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, QUESTION), (3, QUESTION), (3, QUESTION), (4, "x " * 200_000 + QUESTION), (5, "too short")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int")
