@@ -26,13 +26,11 @@ def parent_cells(spark, sf):
 @query("W4", f"""WITH {PARENTS_SQL} SELECT a.topic AS topic_i, b.topic AS topic_j, round(covar_samp(a.y, b.y), 9) AS cov
  FROM p a JOIN p b USING (speaker) GROUP BY ALL""")
 def topic_covariance(spark, sf):
-    """Covariance of the topics, put together again from all principal components."""
-    scores = parent_cells(spark, sf)
-    model = scale.fit_pca(scores, len(matrix.topic_list(scores)))
-    cov = scale.covariance(model)
-    rows = [(a, b, float(cov[i, j])) for i, a in enumerate(model.topics) for j, b in enumerate(model.topics)]
-    out = spark.createDataFrame(rows, "topic_i string, topic_j string, cov double")
-    return out.withColumn("cov", rounded(F.col("cov") + F.lit(0.0), 9))
+    """Covariance of each two topics over the speakers who have both."""
+    scores = cut_lineage(parent_cells(spark, sf).select("speaker", "topic", "stance_score"))
+    one, other = (scores.select("speaker", F.col("topic").alias(f"topic_{x}"), F.col("stance_score").alias(f"_{x}")) for x in "ij")
+    cov = one.join(other, "speaker").groupBy("topic_i", "topic_j").agg(F.covar_samp("_i", "_j").alias("cov"))
+    return cov.withColumn("cov", rounded(F.col("cov") + F.lit(0.0), 9))
 
 
 @query("W4 W8 M13", None)

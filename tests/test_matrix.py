@@ -61,3 +61,15 @@ def test_nothing_to_divide_by(spark):
     nothing = spark.createDataFrame([("a", "b", 0)], "p string, c string, n int")
     assert groups.share(nothing, "n", ["p"]).first()["pct_of_total"] is None
     assert matrix.coverage_report(one.limit(0), "speaker", "topic").count() == 0
+
+
+def test_topic_covariance_does_not_go_through_the_driver(spark, monkeypatch):
+    from hustings.catalog import positions
+
+    def refused(*_, **__):
+        raise AssertionError("rows made on the driver")
+
+    want = {tuple(r) for r in positions.topic_covariance(spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    monkeypatch.setattr(positions.matrix, "topic_list", refused)
+    assert want and {tuple(r) for r in positions.topic_covariance(spark, "/root/testdata/sf0.001").collect()} == want
