@@ -6,7 +6,7 @@ import importlib
 
 from .shared import QUERIES, Query
 
-MODULES = ("bpe", "quality_rules", "near_dedup", "chat", "warc", "html_content", "substring", "decontaminate", "quality_classifier", "lm_scoring", "sharding", "centroid_clusters")
+MODULES = ("bpe", "quality_rules", "near_dedup", "chat", "warc", "html_content", "substring", "decontaminate", "quality_classifier", "lm_scoring", "sharding", "centroid_clusters", "prefix_trie")
 
 
 def load() -> dict[str, Query]:
