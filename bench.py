@@ -1,4 +1,4 @@
-"""Headline queries, timed. Prints one JSON line.
+"""Headline queries, timed. Prints one JSON line, and each time as it ends to standard error.
 
 BENCH_SF_DIR is the data folder, BENCH_CPUS the number of local cores.
 """
@@ -38,6 +38,7 @@ def main() -> None:
         start = time.time()
         known[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - start, 3)
+        print(f"{name} {took[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

@@ -67,7 +67,7 @@ def subtopic_distances(spark, sf):
     own = cells(spark, sf)
     filled = matrix.fill_from_parent(own, pool.topic_scores(own), resolve.topic_parents(own))
     kept = cut_lineage(matrix.coverage_filter(filled.withColumn("topic", F.col("subtopic_2")), 0.75, 0.75))
-    model = scale.fit_pca(kept, len(matrix.topic_list(kept)))
+    model = scale.fit_pca(kept, kept.select("topic").distinct().count())
     long = scale.project_cells(kept, model)
     return long.groupBy("speaker").agg(rounded(F.sum(F.col("value") ** 2), 9).alias("squared_distance"))
 
@@ -75,7 +75,7 @@ def subtopic_distances(spark, sf):
 @query("T3 W4")
 def top_loadings(spark, sf):
     model = scale.fit_pca(parent_cells(spark, sf), 3)
-    top = scale.top_abs(model.loading_table(spark), "loading", 10, ["dim"], "topic")
+    top = scale.top_abs(model.loading_table(), "loading", 10, ["dim"], "topic")
     return top.withColumn("loading", rounded("loading", 6))
 
 

@@ -1,101 +1,81 @@
-"""Positions out of speaker by topic scores: components, singular vectors, item response."""
+"""Positions out of speaker by topic scores: components and singular vectors; item response is imported."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
-from .matrix import one_per_cell, to_matrix, topic_list
+from .matrix import one_per_cell
+from .response import ItemResponse, fit_irt, position_tables  # noqa: F401
+from .spectrum import GRAM, Directions, directions
 
 
 # Linear positions -----------------------------------------------------------------------
 
 @dataclass
 class Components:
-    """Loadings and means per topic (small), and what each dimension explains in percent."""
+    """Loadings per topic, the shift of each dimension, and what it explains in percent.
 
-    topics: list[str]
-    loadings: np.ndarray
-    means: np.ndarray
+    ``loadings`` is a table ``topic, l1, l2, ...``; ``shift`` is the mean's place in each dimension.
+    """
+
+    loadings: DataFrame
+    shift: list[float]
     explained: list[float]
     rows: int
     total_variance: float
 
-    def loading_table(self, spark) -> DataFrame:
-        rows = [
-            (t, i + 1, float(self.loadings[j, i]))
-            for j, t in enumerate(self.topics)
-            for i in range(self.loadings.shape[1])
-        ]
-        return spark.createDataFrame(rows, "topic string, dim int, loading double")
-
-
-def _fix_signs(loadings: np.ndarray) -> np.ndarray:
-    """Make the largest loading of each dimension positive, as the sign itself is free."""
-    top = loadings[np.argmax(np.abs(loadings), axis=0), np.arange(loadings.shape[1])]
-    return loadings * np.where(top < 0, -1.0, 1.0)
-
+    def loading_table(self) -> DataFrame:
+        """``topic, dim, loading``."""
+        entries = F.array(*[F.struct(F.lit(i + 1).alias("dim"), F.col(f"l{i + 1}").alias("loading")) for i in range(len(self.shift))])
+        return self.loadings.select("topic", F.inline(entries))
 
-def fit_pca(cells: DataFrame, k: int = 2) -> Components:
-    """Principal components of the filled matrix.
 
-    Covariances are summed inside the tasks; only a topic by topic matrix reaches the driver.
-    """
-    topics = topic_list(cells)
-    places = [f"c{i}" for i in range(len(topics))]
-    wide = to_matrix(cells, topics).toDF("speaker", *places).na.fill(0.0, subset=places)
-    rows = cut_lineage(VectorAssembler(inputCols=places, outputCol="_v").transform(wide).select("_v"))
-    scaler = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(rows)
-    model = PCA(k=k, inputCol="_c", outputCol="_pc").fit(scaler.transform(rows))
-    spread = np.asarray(scaler.std.toArray()) ** 2
-    n = rows.count()
+def _components(found: Directions, by: np.ndarray, scatter: np.ndarray) -> Components:
+    """Dimensions along the columns of ``by``, the strongest topic of each made positive."""
+    by = by * np.where(np.array(found.strongest(by)) < 0, -1.0, 1.0)
+    whole = found.whole - found.speakers * found.mean_square
     return Components(
-        topics,
-        _fix_signs(model.pc.toArray()),
-        np.asarray(scaler.mean.toArray()),
-        [float(x) * 100 for x in model.explainedVariance.toArray()],
-        n,
-        float(spread.sum()),
+        found.mixed(by, [f"l{i + 1}" for i in range(by.shape[1])]),
+        [float(x) for x in found.coords @ by],
+        [float(x) for x in scatter / whole * 100] if whole > 0 else [0.0] * by.shape[1],
+        found.speakers,
+        whole / max(found.speakers - 1, 1),
     )
 
 
-def covariance(model: Components) -> np.ndarray:
-    """Covariance matrix of the topics, from a model with all components."""
-    values = np.array(model.explained) / 100 * model.total_variance
-    return model.loadings @ np.diag(values) @ model.loadings.T
+def fit_pca(cells: DataFrame, k: int = 2, gram: int = GRAM) -> Components:
+    """Principal components of the filled matrix, which is neither filled nor made wide.
+
+    There are as many as ``k``, speakers and topics allow. With more than ``gram`` topics only
+    a block of directions is worked out, and no topics reach the driver.
+    """
+    found = directions(cells, k, gram=gram)
+    values, turn = np.linalg.eigh(found.scatter)
+    order = np.argsort(values)[::-1][: min(k, found.topics)]
+    return _components(found, turn[:, order], values[order])
 
 
 def project_cells(cells: DataFrame, model: Components, centered: bool = True) -> DataFrame:
     """Long positions ``speaker, dim, value``: loadings joined to the cells that exist."""
-    loads = model.loading_table(cells.sparkSession)
-    shift = {i + 1: float(model.means @ model.loadings[:, i]) if centered else 0.0 for i in range(model.loadings.shape[1])}
-    base = F.get(F.array(*[F.lit(shift[i]) for i in sorted(shift)]), F.col("dim") - 1)
-    return (
-        one_per_cell(cells).join(loads, "topic")
-        .groupBy("speaker", "dim")
-        .agg(F.sum(F.col("stance_score") * F.col("loading")).alias("value"))
-        .withColumn("value", F.col("value") - base)
+    base = F.get(F.array(*[F.lit(s if centered else 0.0) for s in model.shift]), F.col("dim") - 1)
+    dims = range(1, len(model.shift) + 1)
+    sums = one_per_cell(cells).join(model.loadings, "topic").groupBy("speaker").agg(
+        *[F.sum(F.col("stance_score") * F.col(f"l{i}")).alias(f"l{i}") for i in dims]
     )
+    entries = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"l{i}").alias("value")) for i in dims])
+    return sums.select("speaker", F.inline(entries)).withColumn("value", F.col("value") - base)
 
 
-def fit_svd(cells: DataFrame, k: int = 2) -> Components:
-    """Truncated singular vectors, without centring, from means and covariances."""
-    full = fit_pca(cells, len(topic_list(cells)))
-    n = full.rows
-    gram = covariance(full) * (n - 1) + n * np.outer(full.means, full.means)
-    values, vecs = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][:k]
-    loads = _fix_signs(vecs[:, order])
-    scatter = values[order] - n * (full.means @ loads) ** 2
-    whole = full.total_variance * (n - 1)
-    return Components(full.topics, loads, full.means, [float(x) for x in scatter / whole * 100], n, full.total_variance)
+def fit_svd(cells: DataFrame, k: int = 2, gram: int = GRAM) -> Components:
+    """Truncated singular vectors, without centring."""
+    found = directions(cells, k, centered=False, gram=gram)
+    values, turn = np.linalg.eigh(found.gram)
+    by = turn[:, np.argsort(values)[::-1][: min(k, found.topics)]]
+    return _components(found, by, np.diag(by.T @ found.scatter @ by))
 
 
 def wide_positions(long: DataFrame, k: int) -> DataFrame:
@@ -124,354 +104,3 @@ def embedding_table(cells: DataFrame, chambers: DataFrame, method: str = "pca",
     return wide.join(chambers, "speaker", "left").withColumns(
         {"method": F.lit(method), "n_components": F.lit(k), "subtopic_level": F.lit(level)}
     )
-
-
-# Item response --------------------------------------------------------------------------
-
-@dataclass
-class ItemResponse:
-    """Fitted model: ``speakers`` and ``topics`` are tables, the rest is a few numbers."""
-
-    dims: int
-    speakers: DataFrame
-    topics: DataFrame
-    sigma2: float
-    objective: list[float] = field(default_factory=list)
-
-
-def _inverse(m: list[list[Column]]) -> tuple[list[list[Column]], Column]:
-    """Inverse and determinant of a symmetric matrix of columns, up to 3 by 3."""
-    n = len(m)
-    if n == 1:
-        return [[F.lit(1.0) / m[0][0]]], m[0][0]
-    if n == 2:
-        det = m[0][0] * m[1][1] - m[0][1] * m[0][1]
-        return [[m[1][1] / det, -m[0][1] / det], [-m[0][1] / det, m[0][0] / det]], det
-    (a, b, c), (_, d, e), (_, _, f) = m
-    co = [[d * f - e * e, c * e - b * f, b * e - c * d], [None, a * f - c * c, b * c - a * e], [None, None, a * d - b * b]]
-    det = a * co[0][0] + b * co[0][1] + c * co[0][2]
-    return [[co[min(i, j)][max(i, j)] / det for j in range(3)] for i in range(3)], det
-
-
-def _outer(prefix: str, names: Sequence[str]) -> dict[str, Column]:
-    """Sums of all products of the named columns."""
-    return {
-        f"{prefix}{i}{j}": F.sum(F.col(names[i]) * F.col(names[j]))
-        for i in range(len(names))
-        for j in range(i, len(names))
-    }
-
-
-def _sym(prefix: str, n: int) -> list[list[Column]]:
-    return [[F.col(f"{prefix}{min(i, j)}{max(i, j)}") for j in range(n)] for i in range(n)]
-
-
-def _numbers(df: DataFrame, aggs: dict[str, Column]) -> dict[str, float]:
-    row = df.agg(*[c.alias(n) for n, c in aggs.items()]).first()
-    return {n: float(row[n] or 0.0) for n in aggs}
-
-
-def fit_irt(
-    cells: DataFrame,
-    dims: int = 1,
-    zeros: str = "observed",
-    tol: float = 1e-5,
-    seed: int = 42,
-    score: str = "stance_score",
-) -> ItemResponse:
-    """Continuous item response, y = a.theta - b + noise, with N(0,1) priors on theta, a, b.
-
-    Each round gives every topic its ridge solution under the current speakers, then the noise,
-    then every speaker the mean and variance of theta. Both halves are one join of the cells
-    with a parameter table and one aggregation that combines on the map side. After every three
-    rounds theta is carried on along its path by squared extrapolation; where that makes the
-    objective, the negative free energy, worse it is taken back. Rounds go on until theta moves
-    by less than ``tol`` of its size in one, so the fit has no cap and never ends early.
-
-    With ``zeros='observed'`` each missing cell counts as a score of 0. These cells are not
-    written out: what they add are sums over all topics or all speakers, a few numbers.
-    """
-    if dims not in (1, 2):
-        raise ValueError("dims has to be 1 or 2")
-    if zeros not in ("observed", "missing"):
-        raise ValueError(f"unknown zeros: {zeros}")
-    dense = zeros == "observed"
-    d = dims
-    th = [f"t{i}" for i in range(d)]
-    obs = cells.select("speaker", "topic", F.col(score).cast("double").alias("y")).where(F.col("y").isNotNull())
-    if dense:
-        obs = obs.where(F.col("y") != 0)
-        everyone = cut_lineage(cells.select("speaker").distinct())
-        everything = cut_lineage(cells.select("topic").distinct())
-    obs = cut_lineage(obs.groupBy("speaker", "topic").agg(F.max("y").alias("y")))
-    if not dense:
-        everyone = cut_lineage(obs.select("speaker").distinct())
-        everything = cut_lineage(obs.select("topic").distinct())
-    n_speakers, n_topics = everyone.count(), everything.count()
-    base = _numbers(obs, {"n": F.count("*"), "s": F.sum("y"), "q": F.sum(F.col("y") * F.col("y"))})
-    n_obs = float(n_speakers) * n_topics if dense else base["n"]
-    sigma2 = max(base["q"] / n_obs - (base["s"] / n_obs) ** 2, 1e-8)
-
-    def start(i: int) -> Column:
-        h = F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:{i}:"), F.col("speaker").cast("string"))), F.lit(8)), 16, 10)
-        return h.cast("double") / float(1 << 31) - 1.0
-
-    theta = everyone.select(
-        "speaker", *[start(i).alias(th[i]) for i in range(d)],
-        *[F.lit(0.0).alias(f"v{i}{j}") for i in range(d) for j in range(i, d)],
-    )
-    theta = cut_lineage(theta)
-    history: list[float] = []
-    path: list[DataFrame] = []
-    held: DataFrame | None = None
-    while True:
-        # Sums over all speakers: what the unwritten zeros add, and the cost of theta.
-        known = bool(path or held is not None)
-        moments = _numbers(theta.withColumn("minus", F.lit(-1.0)), _theta_moments(d, known))
-        items = _topic_step(obs, theta, everything, d, sigma2, moments if dense else None)
-        totals = _numbers(items, _topic_totals(d))
-        ssr = max(base["q"] + totals["e"], 1e-12)
-        noise = _noise(ssr, n_obs)
-        size = {i: moments[f"m{i}{i}"] + moments[f"s{i}{i}"] for i in range(d)}
-        stretch = {i: _stretch(size[i], totals[f"m{i}{i}"], n_speakers) for i in range(d)}
-        cost = moments.get("h", 0.0) + sum(
-            (c * c - 1) * size[i] / 2 - n_speakers * math.log(c) for i, c in stretch.items()
-        )
-        items, totals = _rescaled(items, totals, stretch)
-        if known:
-            value = (
-                n_obs / 2 * math.log(2 * math.pi * noise) + ssr / (2 * noise) + math.sqrt(noise)
-                + totals["p"] / 2 + cost
-            )
-            if held is not None and not path and value > history[-1] + 1e-9 * abs(history[-1]):
-                theta, path = held, [held]
-                continue
-            history.append(value)
-        sigma2 = noise
-        theta = _speaker_step(obs, items, everyone, d, sigma2, totals if dense else None)
-        path.append(theta)
-        if len(path) == 3:
-            held, (theta, moved) = theta, _carried_on(path, th)
-            path = []
-            if moved <= tol:
-                theta = held
-                break
-    return _identified(theta, items, d, sigma2, history)
-
-
-def _carried_on(path: list[DataFrame], th: Sequence[str]) -> tuple[DataFrame, float]:
-    """Theta extrapolated from three states in a row, and how far the last round moved it for its size."""
-    names = [t for t in path[0].columns if t != "speaker"]
-    both = path[2]
-    for k in (0, 1):
-        both = both.join(path[k].select("speaker", *[F.col(t).alias(f"_{t}_{k}") for t in th]), "speaker")
-    first = {t: F.col(f"_{t}_1") - F.col(f"_{t}_0") for t in th}
-    bend = {t: F.col(t) - 2 * F.col(f"_{t}_1") + F.col(f"_{t}_0") for t in th}
-    square = lambda cols: F.sum(reduce(lambda a, b: a + b, [c * c for c in cols]))
-    n = _numbers(both, {
-        "r": square(first.values()), "v": square(bend.values()), "size": square(F.col(t) for t in th),
-        "last": square(F.col(t) - F.col(f"_{t}_1") for t in th),
-    })
-    step = max(1.0, math.sqrt(n["r"] / n["v"])) if n["v"] > 0 else 1.0
-    ahead = {t: F.col(f"_{t}_0") + 2 * step * first[t] + step * step * bend[t] for t in th}
-    out = both.select("speaker", *[ahead.get(t, F.col(t)).alias(t) for t in names])
-    return cut_lineage(out), math.sqrt(n["last"] / max(n["size"], 1e-300))
-
-
-def _stretch(size: float, strength: float, n: int) -> float:
-    """Factor on theta (and its inverse on a) that suits both priors best; the fit does not feel it.
-
-    Without it the scale, which the data leave open, would creep to its place round by round.
-    """
-    return math.sqrt((n + math.sqrt(n * n + 4 * size * strength)) / (2 * size)) if size > 0 else 1.0
-
-
-def _rescaled(items: DataFrame, totals: dict[str, float], stretch: dict[int, float]) -> tuple[DataFrame, dict[str, float]]:
-    d = len(stretch)
-    items = items.withColumns(
-        {f"a{i}": F.col(f"a{i}") / c for i, c in stretch.items()}
-        | {f"var_a{i}": F.col(f"var_a{i}") / (c * c) for i, c in stretch.items()}
-    )
-    out = dict(totals)
-    out["p"] += sum(totals[f"m{i}{i}"] * (1 / (c * c) - 1) for i, c in stretch.items())
-    for i in range(d):
-        out[f"o{i}"] = totals[f"o{i}"] / stretch[i]
-        for j in range(i, d):
-            out[f"m{i}{j}"] = totals[f"m{i}{j}"] / (stretch[i] * stretch[j])
-    return items, out
-
-
-def _theta_moments(d: int, cost: bool) -> dict[str, Column]:
-    x = [*[f"t{i}" for i in range(d)], "minus"]
-    spread = {f"s{i}{j}": F.sum(f"v{i}{j}") for i in range(d) for j in range(i, d)}
-    return _outer("m", x) | spread | ({"h": _theta_cost(d)} if cost else {})
-
-
-def _topic_totals(d: int) -> dict[str, Column]:
-    """Sums over all topics: error beyond the sum of squares, prior, and products of parameters."""
-    al = [f"a{i}" for i in range(d)]
-    names = [*al, "b"]
-    quad = sum(
-        (F.col(names[i]) * F.col(names[j]) * F.col(f"g{min(i, j)}{max(i, j)}") for i in range(d + 1) for j in range(d + 1)),
-        F.lit(0.0),
-    )
-    lin = sum((F.col(names[i]) * F.col(f"r{i}") for i in range(d + 1)), F.lit(0.0))
-    prior = sum((F.col(n) * F.col(n) for n in names), F.lit(0.0))
-    return (
-        {"e": F.sum(quad - 2 * lin), "p": F.sum(prior)}
-        | _outer("m", al)
-        | {f"o{i}": F.sum(F.col(al[i]) * F.col("b")) for i in range(d)}
-    )
-
-
-def _theta_cost(d: int) -> Column:
-    """Half of E|theta|^2 - ln|V| - d per speaker: distance of its distribution from the prior."""
-    spread = sum((F.col(f"v{i}{i}") for i in range(1, d)), F.col("v00"))
-    size = sum((F.col(f"t{i}") * F.col(f"t{i}") for i in range(1, d)), F.col("t0") * F.col("t0"))
-    det = F.col("v00") if d == 1 else F.col("v00") * F.col("v11") - F.col("v01") * F.col("v01")
-    return F.sum((size + spread - F.ln(det) - F.lit(float(d))) / 2)
-
-
-def _noise(ssr: float, n: float) -> float:
-    """Mode of the noise under an Exponential(1) prior: s^3 + n s^2 = ssr, by Newton's method."""
-    s = math.sqrt(max(ssr, 1e-300) / n)
-    for _ in range(50):
-        step = (s**3 + n * s * s - ssr) / (3 * s * s + 2 * n * s)
-        s = max(s - step, 1e-12)
-        if abs(step) < 1e-14:
-            break
-    return s * s
-
-
-def _topic_step(obs, theta, everything, d, sigma2, moments):
-    """Ridge solution (a, b) of each topic with its variances.
-
-    ``moments`` are the sums over all speakers when every cell counts, else None.
-    """
-    th, al = [f"t{i}" for i in range(d)], [f"a{i}" for i in range(d)]
-    x = [*th, "minus"]
-    joined = obs.join(theta, "speaker").withColumn("minus", F.lit(-1.0))
-    sums = {f"r{i}": F.sum(F.col("y") * F.col(x[i])) for i in range(d + 1)}
-    if moments is None:
-        sums |= _theta_moments(d, False)
-    per = joined.groupBy("topic").agg(*[c.alias(n) for n, c in sums.items()])
-    per = everything.join(per, "topic", "left").na.fill(0.0)
-    if moments is not None:
-        per = per.withColumns({n: F.lit(v) for n, v in moments.items() if n != "h"})
-    second = _sym("m", d + 1)
-    for i in range(d):
-        for j in range(d):
-            second[i][j] = second[i][j] + F.col(f"s{min(i, j)}{max(i, j)}")
-    ridge = [[second[i][j] + (F.lit(sigma2) if i == j else F.lit(0.0)) for j in range(d + 1)] for i in range(d + 1)]
-    inv, _ = _inverse(ridge)
-    r = [F.col(f"r{i}") for i in range(d + 1)]
-    beta = [sum((inv[i][j] * r[j] for j in range(1, d + 1)), inv[i][0] * r[0]) for i in range(d + 1)]
-    names = [*al, "b"]
-    solved = per.select(
-        "topic", *r,
-        *[beta[i].alias(names[i]) for i in range(d + 1)],
-        *[(F.lit(sigma2) * inv[i][i]).alias(f"var_{names[i]}") for i in range(d + 1)],
-        *[second[i][j].alias(f"g{i}{j}") for i in range(d + 1) for j in range(i, d + 1)],
-    )
-    return cut_lineage(solved)
-
-
-def _speaker_step(obs, items, everyone, d, sigma2, totals):
-    """Mean and variance of theta of each speaker under the current topics.
-
-    ``totals`` are the sums over all topics when every cell counts, else None.
-    """
-    al = [f"a{i}" for i in range(d)]
-    joined = obs.join(items.select("topic", *al, "b"), "topic")
-    target = F.col("y") if totals is not None else F.col("y") + F.col("b")
-    sums = {f"r{i}": F.sum(F.col(al[i]) * target) for i in range(d)}
-    if totals is None:
-        sums |= _outer("m", al)
-    per = joined.groupBy("speaker").agg(*[c.alias(n) for n, c in sums.items()])
-    per = everyone.join(per, "speaker", "left").na.fill(0.0)
-    if totals is not None:
-        per = per.withColumns({n: F.lit(v) for n, v in totals.items() if n not in ("e", "p")})
-        per = per.withColumns({f"r{i}": F.col(f"r{i}") + F.col(f"o{i}") for i in range(d)})
-    m = _sym("m", d)
-    ridge = [[m[i][j] + (F.lit(sigma2) if i == j else F.lit(0.0)) for j in range(d)] for i in range(d)]
-    inv, _ = _inverse(ridge)
-    means = [sum((inv[i][j] * F.col(f"r{j}") for j in range(1, d)), inv[i][0] * F.col("r0")) for i in range(d)]
-    out = per.select(
-        "speaker", *[means[i].alias(f"t{i}") for i in range(d)],
-        *[(F.lit(sigma2) * inv[i][j]).alias(f"v{i}{j}") for i in range(d) for j in range(i, d)],
-    )
-    return cut_lineage(out)
-
-
-def _identified(theta, items, d, sigma2, history) -> ItemResponse:
-    """Turn to principal axes of theta and make each dimension's strongest topic positive."""
-    turn = np.eye(d)
-    if d == 2:
-        s = _numbers(theta, {"xx": F.covar_pop("t0", "t0"), "xy": F.covar_pop("t0", "t1"), "yy": F.covar_pop("t1", "t1")})
-        _, vecs = np.linalg.eigh(np.array([[s["xx"], s["xy"]], [s["xy"], s["yy"]]]))
-        turn = vecs[:, ::-1]
-
-    def turned(names: Sequence[str]) -> list[Column]:
-        return [sum((F.col(names[j]) * F.lit(float(turn[j, i])) for j in range(d)), F.lit(0.0)) for i in range(d)]
-
-    a_names, t_names = [f"a{i}" for i in range(d)], [f"t{i}" for i in range(d)]
-    rotated = items.withColumns(dict(zip(a_names, turned(a_names))))
-    top = rotated.agg(
-        *[F.min_by(a, F.struct((-F.abs(F.col(a))).alias("_s"), F.col("topic"))).alias(a) for a in a_names]
-    ).first()
-    sign = [-1.0 if (top[a] or 0.0) < 0 else 1.0 for a in a_names]
-    spread = {}
-    for i in range(d):
-        var = sum(
-            (F.col(f"v{min(p, q)}{max(p, q)}") * F.lit(float(turn[p, i] * turn[q, i])) for p in range(d) for q in range(d)),
-            F.lit(0.0),
-        )
-        spread[f"sd{i}"] = F.sqrt(F.greatest(var, F.lit(0.0)))
-    speakers = theta.select(
-        "speaker", *[(c * sign[i]).alias(t_names[i]) for i, c in enumerate(turned(t_names))],
-        *[c.alias(n) for n, c in spread.items()],
-    )
-    topics = rotated.select(
-        "topic", *[(F.col(a) * sign[i]).alias(a) for i, a in enumerate(a_names)], "b",
-        *[f"var_{a}" for a in a_names], "var_b",
-    )
-    return ItemResponse(d, speakers, topics, sigma2, history)
-
-
-Z = 1.96
-
-
-def position_tables(
-    model: ItemResponse, chambers: DataFrame | None = None, parties: DataFrame | None = None
-) -> dict[str, DataFrame]:
-    """Result tables of a one-dimensional fit: positions, uncertainty, discrimination, parameters."""
-    def bounds(value: Column, sd: Column) -> tuple[Column, Column]:
-        return value - Z * sd, value + Z * sd
-
-    low, high = bounds(F.col("t0"), F.col("sd0"))
-    points = model.speakers.select(
-        "speaker", F.col("t0").alias("ideal_point_mean"), low.alias("ideal_point_lower"), high.alias("ideal_point_upper")
-    )
-    if chambers is not None:
-        points = points.join(chambers, "speaker", "left")
-    if parties is not None:
-        points = points.join(parties, "speaker", "left").withColumn("party", F.coalesce("party", F.lit("UNK")))
-    a_low, a_high = bounds(F.col("a0"), F.sqrt("var_a0"))
-    b_low, b_high = bounds(F.col("b"), F.sqrt("var_b"))
-    params = model.topics.select(
-        "topic",
-        F.col("a0").alias("alpha_discrimination_mean"), a_low.alias("alpha_discrimination_lower"),
-        a_high.alias("alpha_discrimination_upper"), F.col("b").alias("beta_difficulty_mean"),
-        b_low.alias("beta_difficulty_lower"), b_high.alias("beta_difficulty_upper"),
-    )
-    strength = params.select(
-        "topic", "alpha_discrimination_mean", F.abs("alpha_discrimination_mean").alias("abs_discrimination")
-    )
-    return {
-        "positions": points.orderBy(F.desc("ideal_point_mean"), "speaker"),
-        "uncertainty": points.withColumnsRenamed(
-            {"ideal_point_lower": "95%_theta_lower", "ideal_point_mean": "theta_mean", "ideal_point_upper": "95%_theta_upper"}
-        ).orderBy("theta_mean", "speaker"),
-        "discrimination": strength.orderBy(F.desc("abs_discrimination"), "topic"),
-        "parameters": params.orderBy("topic"),
-    }

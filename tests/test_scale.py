@@ -88,3 +88,84 @@ def test_topic_names_with_signs(spark):
     odd = cells.replace({"t00": "Misc.", "t01": "U.S. Trade", "t02": "a `b`"}, subset=["topic"])
     plain = scale.fit_pca(cells, 1)
     assert np.allclose(sorted(scale.fit_pca(odd, 1).explained), sorted(plain.explained))
+
+
+def filled(cells):
+    wide = cells.toPandas().pivot(index="speaker", columns="topic", values="stance_score").fillna(0.0).sort_index().sort_index(axis=1)
+    return wide.values
+
+
+@pytest.mark.parametrize("centered", [True, False])
+def test_block_iteration_agrees_with_cross_products(spark, centered):
+    """More topics than the driver takes: the same components from a block of directions."""
+    _, _, cells = responses(spark, 2, n=90, m=40, missing=0.5)
+    fit = scale.fit_pca if centered else scale.fit_svd
+    one, two = (fit(cells, 2, gram=bound) for bound in (1_000, 10))
+    assert np.allclose(one.explained, two.explained, rtol=1e-8)
+    assert np.allclose(one.shift, two.shift, atol=1e-6)
+    assert one.rows == two.rows and one.total_variance == pytest.approx(two.total_variance)
+    a, b = (m.loadings.orderBy("topic").toPandas()[["l1", "l2"]].values for m in (one, two))
+    assert np.allclose(a, b, atol=1e-6)
+    x = filled(cells)
+    _, s, vt = np.linalg.svd(x - x.mean(0) if centered else x, full_matrices=False)
+    assert np.allclose(np.abs(b), np.abs(vt[:2].T), atol=1e-6)
+
+
+def test_components_of_small_matrices(spark):
+    schema = "speaker string, topic string, stance_score double"
+    one = spark.createDataFrame([("a", "t", 1.0), ("b", "t", 3.0), ("c", "t", None)], schema)
+    model = scale.fit_pca(one, 2)
+    assert model.explained == pytest.approx([100.0]) and model.rows == 3
+    got = {r.speaker: r.value for r in scale.project_cells(one.na.fill(0.0), model).collect()}
+    assert got == pytest.approx({"a": 1 - 4 / 3, "b": 3 - 4 / 3, "c": -4 / 3})
+    still = spark.createDataFrame([("a", "t", 0.0), ("b", "u", 0.0)], schema)
+    assert scale.fit_pca(still, 2).explained == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("dims", [1, 2])
+def test_closed_form_equals_the_iterated_fit(spark, dims):
+    _, _, cells = responses(spark, dims, n=40, m=10)
+    holes = cells.selectExpr("speaker", "topic", "if(pmod(hash(speaker, topic), 3) = 0, 0.0, stance_score) AS stance_score")
+    one, two = scale.fit_irt(holes.where("stance_score <> 0"), dims), scale.fit_irt(holes, dims, zeros="missing")
+    assert one.rounds == 0 < two.rounds
+    assert one.sigma2 == pytest.approx(two.sigma2, rel=1e-6)
+    for a, b, key in ((one.speakers, two.speakers, "speaker"), (one.topics.select("topic", "a0", "b"), two.topics.select("topic", "a0", "b"), "topic")):
+        assert np.allclose(*(t.orderBy(key).toPandas().iloc[:, 1:].values for t in (a, b)), atol=1e-6)
+
+
+def test_closed_form_with_more_topics_than_the_driver_takes(spark):
+    _, _, cells = responses(spark, 1, n=60, m=30, missing=0.3)
+    one, two = (scale.fit_irt(cells, 1, gram=bound) for bound in (100, 10))
+    assert one.sigma2 == pytest.approx(two.sigma2, rel=1e-6)
+    assert np.allclose(*(m.speakers.orderBy("speaker").toPandas()["t0"] for m in (one, two)), atol=1e-5)
+
+
+def test_joined_rounds_agree_with_sent_out_parameters(spark):
+    _, _, cells = responses(spark, 1, n=50, m=12, missing=0.3)
+    one, two = (scale.fit_irt(cells, 1, zeros="missing", topics=bound) for bound in (100, 5))
+    assert one.sigma2 == pytest.approx(two.sigma2, rel=1e-4)
+    assert np.allclose(*(m.speakers.orderBy("speaker").toPandas()["t0"] for m in (one, two)), atol=1e-3)
+    assert falls(two.objective)
+
+
+def test_a_fit_that_does_not_settle_is_an_error(spark):
+    _, _, cells = responses(spark, 1, n=20, m=6, missing=0.3)
+    for bound in (100, 3):
+        with pytest.raises(RuntimeError, match="settle"):
+            scale.fit_irt(cells, 1, zeros="missing", topics=bound, rounds=4)
+    with pytest.raises(ValueError, match="no cells"):
+        scale.fit_irt(cells.limit(0), 1, zeros="missing")
+
+
+def test_slope_is_that_of_the_objective(spark):
+    """The step's slope against differences of the objective, theta integrated out."""
+    from hustings.operators import response
+
+    _, _, cells = responses(spark, 2, n=15, m=4, missing=0.2)
+    work = response._Rounds(cells.withColumnRenamed("stance_score", "y"), 2)
+    work.squares = cells.selectExpr("sum(stance_score * stance_score)").first()[0]
+    x = np.random.default_rng(1).normal(size=13) * 0.5
+    point = response._Point(work, x)
+    for i in (0, 4, 5, 12):
+        up, down = (response._Point(work, x + h * np.eye(13)[i]).value for h in (1e-5, -1e-5))
+        assert (up - down) / 2e-5 == pytest.approx(point.slope[i], rel=1e-5, abs=1e-5)
