@@ -126,7 +126,7 @@ def topic_knowledge(spark, sf):
     return resolve.add_knowledge(conv.select("conv_id", "turn", "role"), wiki, "role")
 
 
-@query("J3 P10", """WITH nodes AS (SELECT p_partkey % 800 AS doc_id, CASE p_partkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS policy_area,
+@query("J3 P10", """WITH nodes AS (SELECT p_partkey // 2 AS doc_id, CASE p_partkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS policy_area,
     p_brand AS subtopic_1, CASE WHEN p_size % 5 = 0 THEN 'Misc.' ELSE CAST(p_size AS VARCHAR) END AS subtopic_2,
     p_partkey AS node_pos FROM part),
  last AS (SELECT doc_id, policy_area, subtopic_1, subtopic_2 FROM (SELECT *, row_number() OVER
@@ -138,7 +138,7 @@ def merged_taxonomy(spark, sf):
 
     key = F.col("p_partkey")
     nodes = fx.table(spark, sf, "part").select(
-        (key % 800).alias("doc_id"),
+        F.floor(key / 2).alias("doc_id"),
         F.element_at(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (key % 4 + 1).cast("int")).alias("policy_area"),
         F.col("p_brand").alias("subtopic_1"),
         F.when(F.col("p_size") % 5 == 0, fixed.MISC).otherwise(F.col("p_size").cast("string")).alias("subtopic_2"),

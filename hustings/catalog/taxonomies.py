@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import cluster, groups, taxonomy
+from ..operators import cluster, groups, taxonomy, topics
 from ..plans import fixtures as fx
 from . import query
 from .texts import NORM_SQL, words_sql
@@ -275,12 +275,12 @@ def text_embeddings(spark, sf):
 
 @query("C9")
 def topic_parents_by_vector(spark, sf):
-    topics = vectors.centroid(embeddings(spark, sf), ["parent"], out="center").withColumnRenamed("parent", "topic")
-    return cluster.topic_hierarchy(topics, "topic", "center", 3)
+    centers = vectors.centroid(embeddings(spark, sf), ["parent"], out="center").withColumnRenamed("parent", "topic")
+    return cluster.topic_hierarchy(centers, "topic", "center", 3)
 
 
 @query("C10")
 def two_level_topics(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", text.plain_words("text").alias("words"))
-    out = cluster.lda_taxonomy(docs, "words", 4, 3, 5)
+    out = topics.lda_taxonomy(docs, "words", 4, 3, tol=1e-3)
     return out.select("doc_id", "topic_1", "topic_1_words", "topic_2", "topic_2_words")

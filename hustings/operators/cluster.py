@@ -7,8 +7,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA, BisectingKMeans
-from pyspark.ml.feature import PCA, CountVectorizer, HashingTF, IDF, Normalizer
+from pyspark.ml.clustering import BisectingKMeans
+from pyspark.ml.feature import PCA, HashingTF, IDF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -151,39 +151,3 @@ def topic_hierarchy(topics: DataFrame, key: str, vector: str, parents: int, seed
         F.min_by(key, F.struct((-F.col("_cos")).alias("_far"), F.col(key))).alias("parent_topic")
     )
     return placed.join(names, "parent").select(key, "parent", "parent_topic")
-
-
-def lda_topics(df: DataFrame, words: str, k: int, iterations: int, seed: int, out: str, vocabulary: int = 20_000) -> DataFrame:
-    """Strongest topic of each document and, per topic, its top words."""
-    counter = CountVectorizer(inputCol=words, outputCol="_tf", vocabSize=vocabulary).fit(df)
-    counted = counter.transform(df)
-    model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="_tf", topicDistributionCol="_mix").fit(counted)
-    mix = vector_to_array("_mix")
-    best = F.array_position(mix, F.array_max(mix)) - 1
-    terms = counter.vocabulary
-    names = [" ".join(terms[i] for i in r["termIndices"]) for r in model.describeTopics(10).select("termIndices").collect()]
-    name = F.get(F.array(*[F.lit(n) for n in names]), F.col(out).cast("int"))
-    return (
-        model.transform(counted)
-        .withColumn(out, best.cast("int"))
-        .withColumn(f"{out}_words", name)
-        .drop("_tf", "_mix")
-    )
-
-
-def lda_taxonomy(
-    df: DataFrame, words: str, k1: int = 4, k2: int = 3, iterations: int = 10, seed: int = 42
-) -> DataFrame:
-    """Two levels of topics: one model for all documents, one more inside each of its topics."""
-    top = cut_lineage(lda_topics(df, words, k1, iterations, seed, "topic_1"))
-    sizes = {r["topic_1"]: r["n"] for r in top.groupBy("topic_1").agg(F.count("*").alias("n")).collect()}
-    parts = []
-    for topic, n in sorted(sizes.items()):
-        inside = top.where(F.col("topic_1") == topic)
-        if n < k2 + 2:
-            parts.append(inside.withColumns({"topic_2": F.lit(0), "topic_2_words": F.lit("Misc.")}))
-        else:
-            parts.append(lda_topics(inside, words, k2, iterations, seed, "topic_2"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
