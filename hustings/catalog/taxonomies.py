@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import cluster, groups, taxonomy, topics
+from ..operators import cluster, density, groups, taxonomy, topics
 from ..plans import fixtures as fx
 from . import query
 from .texts import NORM_SQL, words_sql
@@ -129,6 +129,7 @@ def topic_names(spark, sf):
 
 
 WIDTH, MIN_POINTS, MIN_SIZE = 0.35, 2, 6
+DENSITY = (0.15, 3, 5, 3)  # width of a cell, points for its core, points of a cluster, reach in cells
 
 
 def _project_sql() -> str:
@@ -173,6 +174,28 @@ def density_clusters(spark, sf):
     return clusters(spark, sf).select("vec_id", "parent", "label")
 
 
+@query("C3")
+def density_hierarchy(spark, sf):
+    """The most stable clusters of each parent's density hierarchy."""
+    points = cluster.project(embeddings(spark, sf), "embedding", 2, DIMS)
+    return density.hierarchical_clusters(points, ["parent"], ["x0", "x1"], *DENSITY).select("vec_id", "parent", "label")
+
+
+@query("C7")
+def density_validities(spark, sf):
+    """Validity of these clusters, with noise and without."""
+    points = cluster.project(embeddings(spark, sf), "embedding", 2, DIMS)
+    out = density.density_validity(points, ["parent"], ["x0", "x1"], *DENSITY)
+    return out.withColumns({c: F.round(c, 7) for c in ("validity", "validity_clustered")})
+
+
+@query("C9")
+def topic_linkage(spark, sf):
+    """All merges of the topics' hierarchy."""
+    centers = vectors.centroid(embeddings(spark, sf), ["parent"], out="center").withColumnRenamed("parent", "topic")
+    return cluster.average_linkage(centers, "topic", "center").withColumn("distance", F.round("distance", 8))
+
+
 QUALITY_SQL = """k AS (SELECT * FROM clustered WHERE label <> -1),
  d AS (SELECT a.vec_id, a.parent, a.label, b.label AS other, sum((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2) AS s, count(*) AS n
    FROM k a JOIN k b USING (parent) GROUP BY ALL),

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans
+import pyarrow as pa
 from pyspark.ml.feature import PCA, HashingTF, IDF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -140,11 +140,107 @@ def weighted_quality(quality: DataFrame, without_noise: bool = False) -> DataFra
     )
 
 
-def topic_hierarchy(topics: DataFrame, key: str, vector: str, parents: int, seed: int = 42) -> DataFrame:
-    """Parent of each topic: topics split into groups of near vectors, each called after its central topic."""
-    features = topics.withColumn("_v", array_to_vector(vectors.doubles(vector)))
-    model = BisectingKMeans(k=parents, featuresCol="_v", predictionCol="parent", seed=seed).fit(features)
-    placed = cut_lineage(model.transform(features).drop("_v"))
+BLOCK = 8_000_000  # numbers of cluster sums that are sent to the tasks at once
+
+
+def _nearest(state: DataFrame, size: int) -> DataFrame:
+    """Nearest other cluster of each, by mean squared distance of members: ``id, other, distance``.
+
+    Blocks of clusters go to the tasks, which meet them with their rows as one matrix product.
+    Equal distances go by the smaller, then the larger id of a pair, so some pair is mutual.
+    """
+    context = state.sparkSession.sparkContext
+    per = max(1, BLOCK // size)
+    edges: list = []
+    kind = state.schema["id"].dataType.simpleString()
+    if state.count() > per:
+        starts = positions(state.select("id"), ["id"], "_at").where(F.col("_at") % per == 0)
+        edges = sorted(r.id for r in starts.collect())
+    found = []
+    for k in range(max(len(edges), 1)):
+        part = state
+        if edges:
+            part = part.where(F.col("id") >= F.lit(edges[k]))
+            if k + 1 < len(edges):
+                part = part.where(F.col("id") < F.lit(edges[k + 1]))
+        rows = part.orderBy("id").collect()
+        sent = context.broadcast(([r.id for r in rows], np.array([r.s for r in rows]), np.array([float(r.n) for r in rows]), np.array([r.q for r in rows])))
+
+        def met(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, sums, counts, squares = sent.value
+            means, inner = sums / counts[:, None], squares / counts
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                mine = batch.column("id").to_pylist()
+                n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+                x = batch.column("s").flatten().to_numpy(zero_copy_only=False).reshape(len(mine), -1) / n[:, None]
+                far = (batch.column("q").to_numpy(zero_copy_only=False) / n)[:, None] + inner[None, :] - 2 * x @ means.T
+                far = np.round(np.maximum(far, 0.0), 12)
+                out = []
+                for i, own in enumerate(mine):
+                    least, best = far[i], None
+                    for j in np.flatnonzero(least <= np.partition(least, min(1, len(least) - 1))[min(1, len(least) - 1)]):
+                        pair = (least[j], min(own, ids[j]), max(own, ids[j]), ids[j])
+                        if ids[j] != own and (best is None or pair < best):
+                            best = pair
+                    if best is not None:
+                        out.append((own, best[3], float(best[0])))
+                if out:
+                    columns = list(zip(*out))
+                    yield pa.record_batch([pa.array(columns[0], batch.column("id").type), pa.array(columns[1], batch.column("id").type), pa.array(columns[2])], ["id", "other", "distance"])
+
+        found.append(state.mapInArrow(met, f"id {kind}, other {kind}, distance double"))
+    every = reduce(lambda a, b: a.union(b), found)
+    order = F.struct("distance", F.least("id", "other").alias("_l"), F.greatest("id", "other").alias("_g"))
+    return every.groupBy("id").agg(F.min_by("other", order).alias("other"), F.min("distance").alias("distance"))
+
+
+def average_linkage(topics: DataFrame, key: str, vector: str) -> DataFrame:
+    """Merges of an average-linkage hierarchy: ``left, right, distance, size``.
+
+    A cluster is called by its smallest key. Every round merges all pairs of clusters that are
+    each other's nearest; with average linkage a merge never brings clusters nearer to others, so
+    the tree is the one that merging a pair at a time gives. The mean squared distance between
+    clusters follows from their sizes, sums and sums of squares, so members never meet.
+    """
+    state = cut_lineage(topics.select(
+        F.col(key).alias("id"), F.lit(1).cast("long").alias("n"), vectors.doubles(vector).alias("s"), vectors.dot(vector, vector).alias("q")
+    ).where("id IS NOT NULL AND s IS NOT NULL"))
+    size = state.agg(F.max(F.size("s"))).first()[0] or 1
+    none = state.select(F.col("id").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("distance"), F.col("n").alias("size")).limit(0)
+    merges = [none]
+    while state.limit(2).count() > 1:
+        near = cut_lineage(_nearest(state, size))
+        back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
+        pairs = near.join(back, ["id", "other"]).where(F.col("id") < F.col("other")).select(F.col("id").alias("left"), F.col("other").alias("right"), "distance")
+        lefts, rights = (state.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in "nsq"]) for side in ("left", "right"))
+        joined = cut_lineage(pairs.join(lefts, "left").join(rights, "right"))
+        if not joined.limit(1).count():
+            raise RuntimeError("no two clusters are each other's nearest; vectors have to be finite")
+        merges.append(joined.select("left", "right", "distance", (F.col("n_left") + F.col("n_right")).alias("size")))
+        merged = joined.select(
+            F.col("left").alias("id"), (F.col("n_left") + F.col("n_right")).alias("n"),
+            F.zip_with("s_left", "s_right", lambda a, b: a + b).alias("s"), (F.col("q_left") + F.col("q_right")).alias("q"),
+        )
+        gone = joined.select(F.explode(F.array("left", "right")).alias("id"))
+        state = cut_lineage(state.join(gone, "id", "left_anti").unionByName(merged))
+    return reduce(lambda a, b: a.unionByName(b), merges)
+
+
+def topic_hierarchy(topics: DataFrame, key: str, vector: str, parents: int) -> DataFrame:
+    """Parent of each topic: the hierarchy of nearest topics cut into ``parents`` groups.
+
+    Groups are numbered by their smallest topic and called after their central one. The
+    ``parents - 1`` highest merges are undone; equal heights go by the names merged.
+    """
+    merges = cut_lineage(average_linkage(topics, key, vector))
+    undone = merges.orderBy(F.desc("distance"), F.desc("left"), F.desc("right")).limit(max(parents - 1, 0))
+    kept = merges.join(undone.select("left", "right"), ["left", "right"], "left_anti")
+    named = topics.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    groups = connected_components(named.select(F.col(key).alias("id")), kept.select(F.col("right").alias("src"), F.col("left").alias("dst")))
+    numbers = positions(groups.select("component").distinct(), ["component"], "parent").select("component", F.col("parent").cast("int").alias("parent"))
+    placed = cut_lineage(named.join(groups.join(numbers, "component").select(F.col("id").alias(key), "parent"), key))
     centers = vectors.centroid(placed, ["parent"], vector, "_center").drop("n")
     near = placed.join(centers, "parent").withColumn("_cos", vectors.cosine(vector, "_center"))
     names = near.groupBy("parent").agg(

@@ -78,3 +78,49 @@ def test_labels_are_retried(spark):
         return label
 
     assert {r.label for r in score.generate_labels(df, "text", dead).collect()} == {"Misc."}
+
+
+def sequential(points):
+    """One nearest pair at a time: members and height of every merge."""
+    groups = {k: [k] for k in points}
+    out = []
+    while len(groups) > 1:
+        far, a, b = min(
+            (float(np.mean([((points[x] - points[y]) ** 2).sum() for x in groups[a] for y in groups[b]])), a, b)
+            for a in groups for b in groups if a < b
+        )
+        groups[a] += groups.pop(b)
+        out.append((frozenset(groups[a]), far))
+    return out
+
+
+def test_average_linkage_is_that_of_single_merges(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    points = {f"t{i:02d}": rnd.normal(size=5) for i in range(14)}
+    df = spark.createDataFrame([(k, [float(x) for x in v], "x") for k, v in points.items()], "topic string, v array<double>, n string")
+    want = sequential(points)
+    for block in (8_000_000, 50):
+        monkeypatch.setattr(cluster, "BLOCK", block)
+        merges = sorted(cluster.average_linkage(df, "topic", "v").collect(), key=lambda r: r.distance)
+        groups, got = {k: {k} for k in points}, []
+        for r in merges:
+            groups[r.left] |= groups.pop(r.right)
+            got.append((frozenset(groups[r.left]), r.distance))
+            assert r.size == len(groups[r.left])
+        assert [g for g, _ in got] == [g for g, _ in want]
+        assert np.allclose([d for _, d in got], [d for _, d in want])
+    cut = cluster.topic_hierarchy(df, "topic", "v", 4).collect()
+    groups = {k: {k} for k in points}
+    for members, _ in want[:-3]:
+        whole = set(members)
+        groups = {k: v for k, v in groups.items() if not v <= whole} | {min(whole): whole}
+    assert {frozenset(r.topic for r in cut if r.parent == p) for p in range(4)} == {frozenset(v) for v in groups.values()}
+
+
+def test_linkage_of_equal_and_few_topics(spark):
+    schema = "topic int, v array<double>"
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(7)] + [(8, None)], schema)
+    merges = cluster.average_linkage(same, "topic", "v").collect()
+    assert len(merges) == 6 and {r.distance for r in merges} == {0.0} and max(r["size"] for r in merges) == 7
+    assert cluster.average_linkage(same.limit(1), "topic", "v").collect() == []
+    assert [tuple(r) for r in cluster.topic_hierarchy(same.limit(1), "topic", "v", 3).collect()] == [(0, 0, 0)]
