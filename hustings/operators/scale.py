@@ -13,25 +13,33 @@ from .response import ItemResponse, fit_irt, position_tables  # noqa: F401
 from .spectrum import GRAM, Directions, directions
 
 
+WIDE = 16  # dimensions that are summed side by side
+
+
 # Linear positions -----------------------------------------------------------------------
 
 @dataclass
 class Components:
     """Loadings per topic, the shift of each dimension, and what it explains in percent.
 
-    ``loadings`` is a table ``topic, l1, l2, ...``; ``shift`` is the mean's place in each dimension.
+    ``found`` and ``by`` give the loadings; ``shift`` is the mean's place in each dimension.
     """
 
-    loadings: DataFrame
+    found: Directions
+    by: np.ndarray
     shift: list[float]
     explained: list[float]
     rows: int
     total_variance: float
 
+    @property
+    def loadings(self) -> DataFrame:
+        """``topic, l1, l2, ...``."""
+        return self.found.mixed(self.by, [f"l{i + 1}" for i in range(self.by.shape[1])])
+
     def loading_table(self) -> DataFrame:
         """``topic, dim, loading``."""
-        entries = F.array(*[F.struct(F.lit(i + 1).alias("dim"), F.col(f"l{i + 1}").alias("loading")) for i in range(len(self.shift))])
-        return self.loadings.select("topic", F.inline(entries))
+        return self.found.long(self.by)
 
 
 def _components(found: Directions, by: np.ndarray, scatter: np.ndarray) -> Components:
@@ -39,7 +47,8 @@ def _components(found: Directions, by: np.ndarray, scatter: np.ndarray) -> Compo
     by = by * np.where(np.array(found.strongest(by)) < 0, -1.0, 1.0)
     whole = found.whole - found.speakers * found.mean_square
     return Components(
-        found.mixed(by, [f"l{i + 1}" for i in range(by.shape[1])]),
+        found,
+        by,
         [float(x) for x in found.coords @ by],
         [float(x) for x in scatter / whole * 100] if whole > 0 else [0.0] * by.shape[1],
         found.speakers,
@@ -62,12 +71,17 @@ def fit_pca(cells: DataFrame, k: int = 2, gram: int = GRAM) -> Components:
 def project_cells(cells: DataFrame, model: Components, centered: bool = True) -> DataFrame:
     """Long positions ``speaker, dim, value``: loadings joined to the cells that exist."""
     base = F.get(F.array(*[F.lit(s if centered else 0.0) for s in model.shift]), F.col("dim") - 1)
-    dims = range(1, len(model.shift) + 1)
-    sums = one_per_cell(cells).join(model.loadings, "topic").groupBy("speaker").agg(
-        *[F.sum(F.col("stance_score") * F.col(f"l{i}")).alias(f"l{i}") for i in dims]
-    )
-    entries = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"l{i}").alias("value")) for i in dims])
-    return sums.select("speaker", F.inline(entries)).withColumn("value", F.col("value") - base)
+    once, dims = one_per_cell(cells), range(1, len(model.shift) + 1)
+    if len(dims) > WIDE:
+        # Too many sums for one row: a row for each cell and dimension, combined before the shuffle.
+        long = once.join(model.loading_table(), "topic").groupBy("speaker", "dim").agg(F.sum(F.col("stance_score") * F.col("loading")).alias("value"))
+    else:
+        sums = once.join(model.loadings, "topic").groupBy("speaker").agg(
+            *[F.sum(F.col("stance_score") * F.col(f"l{i}")).alias(f"l{i}") for i in dims]
+        )
+        entries = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"l{i}").alias("value")) for i in dims])
+        long = sums.select("speaker", F.inline(entries))
+    return long.withColumn("value", F.col("value") - base)
 
 
 def fit_svd(cells: DataFrame, k: int = 2, gram: int = GRAM) -> Components:

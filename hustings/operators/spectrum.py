@@ -56,14 +56,30 @@ class Directions(NamedTuple):
         """``topic`` and the directions mixed by the columns of ``by``."""
         if self.vectors is None:
             return self.table.select("topic", *_combined([f"w{i}" for i in range(self.width)], by, out))
-        rows = [(t, *map(float, v)) for t, v in zip(self.names, self.vectors @ by)]
-        schema = self.table.select("topic").schema
-        for name in out:
-            schema = schema.add(name, "double")
-        return self.table.sparkSession.createDataFrame(rows, schema)
+        mixed = self.vectors @ by
+        return self._typed(pa.table({"topic": pa.array(self.names), **{o: pa.array(mixed[:, i].copy()) for i, o in enumerate(out)}}))
+
+    def long(self, by: np.ndarray) -> DataFrame:
+        """``topic, dim, loading`` of the mixed directions, dimensions from 1."""
+        dims = range(1, by.shape[1] + 1)
+        if self.vectors is None:
+            entries = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"l{i}").alias("loading")) for i in dims])
+            return self.mixed(by, [f"l{i}" for i in dims]).select("topic", F.inline(entries))
+        rows = pa.table({
+            "topic": pa.array([t for t in self.names for _ in dims]), "dim": pa.array(np.tile(np.arange(1, by.shape[1] + 1, dtype=np.int32), len(self.names))),
+            "loading": pa.array((self.vectors @ by).ravel()),
+        })
+        return self._typed(rows)
+
+    def _typed(self, rows: pa.Table) -> DataFrame:
+        kind = self.table.schema["topic"].dataType
+        return self.table.sparkSession.createDataFrame(rows).withColumn("topic", F.col("topic").cast(kind))
 
     def strongest(self, by: np.ndarray) -> list[float]:
         """The largest value by size of each mixed column, sign kept, the first topic's of equals."""
+        if self.vectors is not None:
+            mixed = self.vectors @ by  # topics are in order, so the first largest one counts
+            return [float(c[np.argmax(np.abs(c))]) for c in mixed.T] if len(mixed) else [0.0] * by.shape[1]
         out = [f"m{i}" for i in range(by.shape[1])]
         tops = [F.min_by(c, F.struct((-F.abs(F.col(c))).alias("_s"), F.col("topic"))).alias(c) for c in out]
         return [v or 0.0 for v in self.mixed(by, out).agg(*tops).first()] if out else []
