@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hustings.llm import bpe, decontaminate, near_dedup, quality_rules, substring
+from hustings.llm.shared import free_name
 from hustings.session import stage_path
 
 POLICY = 2  # of the quality rules
@@ -27,9 +28,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier one has; ``n_chars`` follows the text."""
-    cut = substring.remove_repeats(docs)
+    removed = free_name(docs, "_removed")
+    cut = substring.remove_repeats(docs, removed=removed)
     if "n_chars" in docs.columns:
-        length = F.when(F.size("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        length = F.when(F.size(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import mixed, pieces, query, table, window_hashes
+from .shared import free_name, mixed, pieces, query, table, window_hashes
 
 WINDOW = 8  # words of a template window
 LITERAL = 5  # words of a window that have to be the words themselves
@@ -241,8 +241,9 @@ def contaminated(
 
 def without_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """Rows of ``docs`` in which no item is found, with all their columns."""
-    found = contaminated(docs, benchmark, share).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == F.col("_found"), "left_anti")
+    name = free_name(docs, "_found")
+    found = contaminated(docs, benchmark, share).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 @query()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from ..operators.graph import star_edges
 from ..session import stage_path
-from .shared import WordHashes, mixed, pieces, query, table, window_hashes
+from .shared import WordHashes, free_name, mixed, pieces, query, table, window_hashes
 
 # SetSketch with base 1.001 and 16-bit registers tells sets apart as finely as plain minima do.
 BASE, RATE, LARGEST = 1.001, 20.0, 65535
@@ -291,8 +291,9 @@ def near_duplicate_components(
 def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` whose document is the one that stays of its group, with all their columns."""
     found = near_duplicate_components(docs, width, percent)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 @query()

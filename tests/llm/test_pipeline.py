@@ -94,7 +94,7 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
     text = " ".join(f"word{i} and" for i in range(40))
     rows = [(1, None), (2, ""), (None, text), (3, text), (3, text), (4, text + " more of it here"), (5, "other " + " ".join(f"x{i}" for i in range(20_000)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for name in ("lang", "key", "id", "digest", "_text", "_row", "n_words", "failed_bits", "kept"):
+    for name in ("lang", "key", "id", "digest", "_text", "_row", "n_words", "failed_bits", "kept", "_found", "_gone", "_removed", "__gone"):
         docs = docs.withColumn(name, F.lit(name))
     for empty in (False, True):
         now = docs.limit(0) if empty else docs
