@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stage_path
 from .shared import mixed, pieces, query, table
@@ -20,11 +21,14 @@ SHARE = 2e-4
 BACKOFF = 0.4
 BLOCK_CHARS = 8_000_000
 WORDS_KEPT = 500_000
+GRAMS_KEPT = 1 << 20
 MICRO = 1_000_000  # scores are added up in whole millionths, in any order to the same sum
 
 _UNKNOWN, _BEGIN, _END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" unknown", b" begin", b" end"))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = -(1 << 63)
+_WORD, _PAIR = 0, 1
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Totals(NamedTuple):
@@ -41,11 +45,15 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+    """Whole numbers, compressed byte plane by byte plane, so that high bytes that are zero cost nothing."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(raw: bytes, kind: type, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
 
 
 BLOCK = "block long, n_docs long, n_tokens long, n_words long, ids binary, lengths binary, tokens binary, words binary"
@@ -72,7 +80,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             ids = batch.column("id").cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
             row = (
                 block, len(ids), len(tokens), len(own), _packed(np.diff(ids, prepend=np.int64(0))), _packed(np.array(lengths, np.uint32)),
-                _packed(tokens.astype(np.uint32)), own.tobytes(),
+                _packed(tokens.astype(np.uint32)), _packed(np.diff(own, prepend=np.uint64(0))),
             )
             block += 1
             yield pa.record_batch([*(pa.array([x], pa.int64()) for x in row[:4]), *(pa.array([x], pa.binary()) for x in row[4:])], [c.split()[0] for c in BLOCK.split(", ")])
@@ -88,17 +96,15 @@ class Block:
         self.ids = np.cumsum(_unpacked(row["ids"], np.int64, row["n_docs"]))
         self.lengths = _unpacked(row["lengths"], np.uint32, row["n_docs"]).astype(np.int64)
         self.tokens = _unpacked(row["tokens"], np.uint32, row["n_tokens"]).astype(np.int64)
-        self.words = np.frombuffer(row["words"], np.uint64)
+        self.words = np.cumsum(_unpacked(row["words"], np.uint64, row["n_words"]))
         n = row["n_words"]
         self.n = np.bincount(self.tokens, minlength=n)
         owner = np.repeat(np.arange(self.n_docs), self.lengths)
         self.docs = np.bincount(np.unique(owner * n + self.tokens) % max(1, n), minlength=n)
 
-    def know(self, places: np.ndarray, n: np.ndarray, docs: np.ndarray, totals: Totals) -> None:
-        """Word pairs of the documents, once the counts of words that other blocks have as well are there."""
-        count, of = self.n.copy(), self.docs.copy()
-        count[places], of[places] = n, docs
-        known = of >= totals.least
+    def know(self, n: np.ndarray, docs: np.ndarray, totals: Totals) -> None:
+        """Word pairs of the documents, once it is there what other blocks have of each word."""
+        count, known = self.n + n, self.docs + docs >= totals.least
         hashes = np.concatenate([np.where(known, self.words, _UNKNOWN), np.array([_BEGIN, _END])])
         counts = np.concatenate([np.where(known, count, totals.unknown), [totals.docs, totals.docs]])
         ends = np.cumsum(self.lengths + 2)
@@ -119,24 +125,74 @@ class Block:
         self.owner, self.pair = own // len(self.pairs), own % len(self.pairs)
 
 
-def _each(rows: DataFrame, met: DataFrame, totals: Totals, run, schema: str) -> DataFrame:
-    """``run`` on each block and the counts it has met, which go to it by block."""
+GRAMS = "block long, bucket long, n long, hashes binary, counts binary, docs binary"
+COUNTS = "block long, kind int, bucket long, n long, counts binary, docs binary, rare long"
+
+
+def _grams(block: int, hashes: np.ndarray, counts: np.ndarray, docs: np.ndarray, buckets: int) -> pa.Table:
+    """A row per bucket of hashes: what a block has there, in the order of the hashes."""
+    edges = np.array([min((b << 64) // buckets, (1 << 64) - 1) for b in range(1, buckets)], np.uint64)
+    cuts = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+    filled = np.flatnonzero(np.diff(cuts))
+    parts = [slice(cuts[b], cuts[b + 1]) for b in filled]
+    return pa.table({
+        "block": np.full(len(filled), block), "bucket": filled.astype(np.int64), "n": np.diff(cuts)[filled].astype(np.int64),
+        "hashes": pa.array([_packed(np.diff(hashes[x], prepend=np.uint64(0))) for x in parts], pa.binary()),
+        "counts": pa.array([_packed(counts[x].astype(np.int64)) for x in parts], pa.binary()),
+        "docs": pa.array([_packed(docs[x].astype(np.int64)) for x in parts], pa.binary()),
+    })
+
+
+def _elsewhere(grams: DataFrame, kind: int, least: float) -> DataFrame:
+    """The count table of each bucket, joined to the blocks' rows: what the other blocks have of each gram.
+
+    ``rare`` is how often the row has grams that fewer than ``least`` documents have.
+    """
+
+    def count(rows: pa.Table) -> pa.Table:
+        ns = rows["n"].to_numpy()
+        column = lambda c, kind: [_unpacked(x, kind, n) for x, n in zip(rows[c].to_pylist(), ns)]
+        _, gram = np.unique(np.concatenate([np.cumsum(x) for x in column("hashes", np.uint64)]), return_inverse=True)
+        own = {c: np.concatenate(column(c, np.int64)) for c in ("counts", "docs")}
+        total = {}
+        for c, x in own.items():
+            total[c] = np.zeros(int(gram.max()) + 1, np.int64)
+            np.add.at(total[c], gram, x)
+        starts = np.concatenate([[0], np.cumsum(ns)])
+        rare = np.concatenate([[0], np.cumsum(np.where(total["docs"][gram] < least, own["counts"], 0))])
+        out = {"block": rows["block"], "kind": np.full(len(ns), kind, np.int32), "bucket": rows["bucket"], "n": rows["n"]}
+        for c, x in own.items():
+            others = total[c][gram] - x
+            out[c] = pa.array([_packed(others[i:j]) for i, j in zip(starts, starts[1:])], pa.binary())
+        return pa.table({**out, "rare": rare[starts[1:]] - rare[starts[:-1]]})
+
+    return grams.groupBy("bucket").applyInArrow(count, COUNTS)
+
+
+def _each(rows: DataFrame, counted: DataFrame, totals: Totals, run, schema: str) -> DataFrame:
+    """``run`` on each block and what other blocks have of its words and pairs, which goes to it by block."""
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block(left.to_pylist()[0])
-        kind, place, n, docs = (right[c].to_numpy() for c in ("kind", "place", "n", "docs"))
-        words, pairs = kind == 0, kind == 1
-        b.know(place[words], n[words], docs[words], totals)
-        return run(b, place[pairs], n[pairs])
+        found = sorted(right.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        column = lambda c, kind: np.concatenate(
+            [np.empty(0, np.int64), *(_unpacked(r[c], np.int64, r["n"]) for r in found if r["kind"] == kind)]
+        )
+        b.know(column("counts", _WORD), column("docs", _WORD), totals)
+        return run(b, column("counts", _PAIR))
 
-    return rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(group, schema)
+    return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(group, schema)
 
 
-def _met(rows: DataFrame, key: str, sums: list[str], kind: int) -> DataFrame:
-    """``block, kind, place, n, docs`` with the sums over all blocks that have the same key, one row per key and block."""
-    same = Window.partitionBy(key)
-    both = rows.select("block", "place", *[F.col(c).alias(f"_{c}") for c in sums], *[F.sum(c).over(same).alias(c) for c in sums])
-    return both.withColumn("kind", F.lit(kind))
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a job go when the table it writes is there."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def score(docs: DataFrame, share: float = 0.0, backoff: float = BACKOFF, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,10 +204,11 @@ def score(docs: DataFrame, share: float = 0.0, backoff: float = BACKOFF, key: st
     all documents and all words. A word of one document alone, which no other can know, counts
     as unknown whatever the size of the corpus; so does one below ``share`` of the documents.
 
-    Words and pairs are counted by 64-bit hash, first within blocks of documents, and the blocks
-    meet by hash: a row for each key and block, so the commonest pair has as many rows as there
-    are blocks. Back to a block go the counts of what other blocks have too. No task and no
-    driver holds more than a block.
+    Words and pairs are counted by 64-bit hash, first within blocks of documents. What the blocks
+    have is dealt to ranges of the hash, as many as keep ``GRAMS_KEPT`` entries in each on
+    average; a range is a count table, to which the blocks' grams are joined, and what other
+    blocks have of them goes back by block. Even the commonest pair has one entry a block. The
+    shuffle files of a step go when its table is written.
 
     A text without words, or a null text, has the end alone to score. Rows that share an id are
     added up as one document, but count as others to each other; so do rows without an id. Other
@@ -161,43 +218,32 @@ def score(docs: DataFrame, share: float = 0.0, backoff: float = BACKOFF, key: st
 
     def staged(df: DataFrame, name: str) -> DataFrame:
         path = stage_path(spark, name)
-        df.write.parquet(path)
+        with _shuffles_removed(spark):
+            df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     rows = staged(_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))), "lm-blocks")
-    corpus = rows.agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens")).first()
-    n_docs, n_tokens = corpus["docs"] or 0, corpus["tokens"] or 0
+    corpus = rows.agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_words")]).first()
+    n_docs, n_tokens, n_words = (corpus[c] or 0 for c in ("n_docs", "n_tokens", "n_words"))
     least = max(2.0, share * n_docs)
+    word_buckets, pair_buckets = (1 + n // GRAMS_KEPT for n in (n_words, n_tokens + n_docs))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                yield pa.record_batch(
-                    [pa.array(np.full(len(b.words), b.block)), pa.array(np.arange(len(b.words), dtype=np.int32)), pa.array(b.words.view(np.int64)),
-                     pa.array(b.n.astype(np.int64)), pa.array(b.docs.astype(np.int64))],
-                    ["block", "place", "hash", "n", "docs"],
-                )
-
-    found = _met(rows.mapInArrow(words, "block long, place int, hash long, n long, docs long"), "hash", ["n", "docs"], 0)
-    rare = F.col("docs") < least
-    known = staged(found.where((F.col("docs") > F.col("_docs")) | rare), "lm-words")
-    unknown = known.where(rare).agg(F.sum("_n").alias("n")).first()["n"] or 0
-    known = known.where(F.col("docs") > F.col("_docs")).select("block", "kind", "place", "n", "docs")
-    totals = Totals(n_docs, n_tokens + n_docs, unknown, least)
-
-    def pairs(b: Block, place: np.ndarray, n: np.ndarray) -> pa.Table:
-        return pa.table({
-            "block": np.full(len(b.pairs), b.block), "place": np.arange(len(b.pairs), dtype=np.int32), "hash": b.pairs.view(np.int64), "n": b.pair_n.astype(np.int32),
-        })
-
-    counted = _each(rows, known, totals, pairs, "block long, place int, hash long, n int")
-    shared = _met(counted, "hash", ["n"], 1).where(F.col("n") > F.col("_n"))
-    shared = staged(shared.select("block", "kind", "place", "n", F.lit(0).cast("long").alias("docs")), "lm-pairs")
-
-    def scores(b: Block, place: np.ndarray, n: np.ndarray) -> pa.Table:
-        total = b.pair_n.astype(np.int64)
-        total[place] = n
+                yield from _grams(b.block, b.words, b.n, b.docs, word_buckets).to_batches()
+
+    known = staged(_elsewhere(rows.mapInArrow(words, GRAMS), _WORD, least), "lm-words")
+    totals = Totals(n_docs, n_tokens + n_docs, known.agg(F.sum("rare")).first()[0] or 0, least)
+
+    def pairs(b: Block, _: np.ndarray) -> pa.Table:
+        return _grams(b.block, b.pairs, b.pair_n, np.zeros(len(b.pairs), np.int64), pair_buckets)
+
+    shared = staged(_elsewhere(_each(rows, known, totals, pairs, GRAMS), _PAIR, 0.0), "lm-pairs")
+
+    def scores(b: Block, elsewhere: np.ndarray) -> pa.Table:
+        total = b.pair_n + elsewhere
         others = total[b.pair] - b.times
         missing = np.log(backoff * np.maximum(b.right, 1) / max(1, totals.tokens))
         value = np.where(others > 0, np.log(np.maximum(others, 1)) - np.log(np.maximum(b.left, 1))[b.pair], missing[b.pair])

@@ -68,3 +68,11 @@ def test_words_in_two_documents_are_known_at_every_size(spark):
     want = brute(rows, 0.0)
     assert len(got) == 4
     agree(got.values(), {d: want[d] for d in got})
+
+
+def test_many_buckets_and_common_words(spark, monkeypatch):
+    """A third of all words are one word, and the grams of a block lie in many hash ranges."""
+    monkeypatch.setattr(lm, "GRAMS_KEPT", 7)
+    rows = [(i, " ".join(f"the w{(i * k) % 23} x{i}" for k in range(i % 9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    agree(lm.score(df).collect(), brute(rows, 0.0))
