@@ -15,9 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import stage_path
 from .shared import mixed, pieces, query, table
 
-# The SQL asks for words in this share of the documents, and in two. Up to 10,000 documents two
-# is the larger; the operator asks for two at every size.
-SHARE = 2e-4
 BACKOFF = 0.4
 BLOCK_CHARS = 8_000_000
 WORDS_KEPT = 500_000
@@ -265,7 +262,7 @@ def score(docs: DataFrame, share: float = 0.0, backoff: float = BACKOFF, key: st
     rf"""WITH d AS (
       SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents),
     w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
-    v AS (SELECT word FROM w GROUP BY word HAVING count(DISTINCT rid) >= greatest(2, {SHARE} * (SELECT count(*) FROM d))),
+    v AS (SELECT word FROM w GROUP BY word HAVING count(DISTINCT rid) >= 2),
     r AS (SELECT rid, i, CASE WHEN v.word IS NULL THEN 'unknown' ELSE '=' || v.word END AS s FROM w LEFT JOIN v USING (word)
           UNION ALL SELECT rid, 0, 'begin' FROM d UNION ALL SELECT rid, len(ws) + 1, 'end' FROM d),
     p AS (SELECT rid, s AS a, lead(s) OVER (PARTITION BY rid ORDER BY i) AS b FROM r),

@@ -9,7 +9,7 @@ from hustings.llm import lm_scoring as lm
 SF = "/root/testdata/sf0.001"
 
 
-def brute(rows, share=lm.SHARE, backoff=lm.BACKOFF):
+def brute(rows, share=0.0, backoff=lm.BACKOFF):
     texts = [(d, (t or "").lower().encode().split()) for d, t in rows]
     docs_of, counts = Counter(), Counter()
     for _, w in texts:
