@@ -116,15 +116,61 @@ def signature_counts(gold: DataFrame, gen: DataFrame) -> DataFrame:
     return cut_lineage(named.groupBy("labels", "gen").agg(F.count("*").alias("n")))
 
 
-def pair_counts(signatures: DataFrame, max_labels: int = MAX_SUBSET_LABELS) -> DataFrame:
+def _heavy_labels(merged: DataFrame, large: DataFrame, k: int) -> DataFrame:
+    """One row with the ``k`` labels of large signatures that most signatures hold."""
+    used = large.select(F.explode("labels").alias("gold")).distinct()
+    held = merged.select(F.explode("labels").alias("gold")).groupBy("gold").agg(F.count("*").alias("held"))
+    top = held.join(used, "gold", "left_semi").orderBy(F.desc("held"), "gold").limit(k)
+    return top.agg(F.array_sort(F.collect_list("gold")).alias("heavy"))
+
+
+def _on_heavy(split: DataFrame, subsets: Column) -> DataFrame:
+    """Pairs with a large signature that share a heavy label: there are at most 2^k sets of these."""
+    size = F.col("n").cast("decimal(38,0)")
+    sets = split.where(F.size("held") > 0).groupBy("held", "gen").agg(
+        F.sum(F.when(F.col("large"), size).otherwise(0)).cast("decimal(19,0)").alias("l"),
+        F.sum(F.when(F.col("large"), 0).otherwise(size)).cast("decimal(19,0)").alias("s"),
+    )
+    parts = sets.withColumnRenamed("held", "labels").select(F.explode(subsets).alias("subset"), "gen", "l", "s").where(F.size("subset") > 0)
+    sign = F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)
+
+    def met(*by: str) -> DataFrame:
+        sums = parts.groupBy("subset", *by).agg(*[F.sum(c).cast("decimal(19,0)").alias(c) for c in ("l", "s")])
+        twice = F.col("l") * F.col("l") + 2 * F.col("l") * F.col("s")
+        return sums.agg(F.sum(sign * twice.cast("decimal(38,0)")).alias("v"))
+
+    itself = split.where(F.col("large") & (F.size("held") > 0)).agg(
+        F.sum((F.col("n").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")).cast("decimal(38,0)")).alias("v")
+    )
+    zero = F.lit(0).cast("decimal(38,0)")
+    of = lambda df: F.coalesce(df.scalar(), zero)
+    half = lambda *by: ((of(met(*by)) - of(itself)) / 2).cast("decimal(38,0)")
+    return one_row(split).select(half().alias("every"), half("gen").alias("same"))
+
+
+def _on_light(split: DataFrame) -> DataFrame:
+    """Pairs with a large signature that share light labels alone, each at its first."""
+    side = lambda df, i: df.select(
+        F.explode("light").alias("gold"), F.col("held").alias(f"h{i}"), F.col("light").alias(f"t{i}"),
+        F.struct("labels", "gen").alias(f"k{i}"), F.col("large").alias(f"large{i}"), F.col("n").cast("decimal(19,0)").alias(f"n{i}"),
+    )
+    first = F.array_min(F.array_intersect("t1", "t2")) == F.col("gold")
+    once = ~F.col("large2") | (F.col("k1") < F.col("k2"))
+    weight = (F.col("n1") * F.col("n2")).cast("decimal(38,0)")
+    pairs = side(split.where("large"), 1).join(side(split, 2), "gold").where(first & once & ~F.arrays_overlap("h1", "h2"))
+    return pairs.agg(F.sum(weight).alias("every"), F.sum(F.when(F.col("k1.gen") == F.col("k2.gen"), weight)).alias("same"))
+
+
+def pair_counts(signatures: DataFrame, max_labels: int = MAX_SUBSET_LABELS, heavy: int = MAX_SUBSET_LABELS) -> DataFrame:
     """Document pairs by same generated label and by sharing a gold label, without listing pairs.
 
     Documents with the same gold labels are merged first. Pairs that share a label are then
     counted by inclusion and exclusion: each signature adds its count to every non-empty
     subset of its labels, and subsets of odd size count for, those of even size against.
     That costs 2^k rows for a signature of k labels and nothing per pair. Signatures of more
-    than ``max_labels`` labels are matched with the others on shared labels instead, each
-    pair once, at its first shared label.
+    than ``max_labels`` labels are split into the ``heavy`` labels most signatures hold, for
+    which the same counting does, and the light rest: pairs that share no heavy label are met
+    on shared light ones, each pair once, at its first.
     """
     merged = signatures.where(F.col("gen").isNotNull())
     small = merged.where(F.size("labels") <= max_labels)
@@ -149,17 +195,14 @@ def pair_counts(signatures: DataFrame, max_labels: int = MAX_SUBSET_LABELS) -> D
         .agg(F.sum(sign * _pairs(F.col("n"))).alias("v"))
     )
 
-    # A large signature against all others: within itself by formula, against others by shared label.
+    # A large signature against all others: within itself by formula, on heavy labels by subsets, on light ones by join.
     own = large.agg(F.sum(_pairs(F.col("n"))).alias("v"))
-    left = large.select(F.explode("labels").alias("gold"), F.col("labels").alias("l1"), F.col("gen").alias("g1"), F.col("n").alias("n1"))
-    right = merged.select(F.explode("labels").alias("gold"), F.col("labels").alias("l2"), F.col("gen").alias("g2"), F.col("n").alias("n2"))
-    first = F.array_min(F.array_intersect("l1", "l2")) == F.col("gold")
-    other = F.size("l2") <= max_labels
-    later = F.struct("l1", "g1") < F.struct(F.col("l2").alias("l1"), F.col("g2").alias("g1"))
-    weight = F.col("n1").cast("decimal(19,0)") * F.col("n2").cast("decimal(19,0)")
-    crossed = left.join(right, "gold").where(first & (other | later)).agg(
-        F.sum(weight).alias("every"), F.sum(F.when(F.col("g1") == F.col("g2"), weight)).alias("same")
+    top = _heavy_labels(merged, large, heavy).scalar()
+    split = merged.select(
+        F.array_intersect("labels", top).alias("held"), F.array_except("labels", top).alias("light"),
+        "labels", "gen", "n", (F.size("labels") > max_labels).alias("large"),
     )
+    crossed = _on_heavy(split, subsets).unionByName(_on_light(split)).agg(F.sum("every").alias("every"), F.sum("same").alias("same"))
 
     clusters = merged.groupBy("gen").agg(F.sum("n").alias("n")).agg(F.sum(_pairs(F.col("n"))).alias("v"))
     zero = F.lit(0).cast("decimal(38,0)")
@@ -175,11 +218,13 @@ def one_row(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1).select()
 
 
-def pairwise_metrics(gold: DataFrame, gen: DataFrame, max_labels: int = MAX_SUBSET_LABELS) -> DataFrame:
+def pairwise_metrics(
+    gold: DataFrame, gen: DataFrame, max_labels: int = MAX_SUBSET_LABELS, heavy: int = MAX_SUBSET_LABELS
+) -> DataFrame:
     """Pairwise precision, recall and F1; every document without a generated label is one miss."""
     signatures = signature_counts(gold, gen)
     missing = signatures.where(F.col("gen").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    counts = pair_counts(signatures, max_labels).withColumn("missing", missing)
+    counts = pair_counts(signatures, max_labels, heavy).withColumn("missing", missing)
     tp, same, share = F.col("same_and_share"), F.col("same"), F.col("share")
     missed = share - tp + F.col("missing")
     d = lambda c: c.cast("double")

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hustings.operators import evaluate
 
@@ -17,8 +18,8 @@ def labelings(spark, n=60):
     return gold, gen, spark.createDataFrame(gold, "doc_id int, gold string"), spark.createDataFrame(gen, "doc_id int, label string")
 
 
-@pytest.mark.parametrize("max_labels", [0, 1, 2, 10])
-def test_pairs_against_brute_force(spark, max_labels):
+@pytest.mark.parametrize("max_labels, heavy", [(0, 10), (1, 10), (2, 10), (10, 10), (0, 0), (0, 1), (1, 3), (2, 2)])
+def test_pairs_against_brute_force(spark, max_labels, heavy):
     gold, gen, g, h = labelings(spark)
     sets = {}
     for d, x in gold:
@@ -29,10 +30,25 @@ def test_pairs_against_brute_force(spark, max_labels):
         same, share = label[a] == label[b], bool(sets[a] & sets[b])
         tp, fp, fn = tp + (same and share), fp + (same and not share), fn + (share and not same)
     fn += len(set(sets) - set(label))
-    row = evaluate.pairwise_metrics(g, h, max_labels).first()
+    row = evaluate.pairwise_metrics(g, h, max_labels, heavy).first()
     assert (row.true_positive, row.false_positive, row.false_negative) == (tp, fp, fn)
 
 
+def test_label_all_signatures_hold_is_not_met_by_pairs(spark):
+    """Each of 400 documents holds one common label and 11 of its own: no rows come from the common one."""
+    rows = [(["all", *(f"{d}-{i}" for i in range(11))], "xy"[d % 2], 1) for d in range(400)]
+    signatures = spark.createDataFrame(rows, "labels array<string>, gen string, n long")
+    row = evaluate.pair_counts(signatures).first()
+    assert (row.share, row.same_and_share) == (400 * 399 // 2, 2 * (200 * 199 // 2))
+    top = evaluate._heavy_labels(signatures, signatures, 1).scalar()
+    split = signatures.select(
+        F.array_intersect("labels", top).alias("held"), F.array_except("labels", top).alias("light"),
+        "labels", "gen", "n", F.lit(True).alias("large"),
+    )
+    assert split.select(F.explode("light").alias("gold")).groupBy("gold").count().agg(F.max("count")).first()[0] == 1
+    assert evaluate._on_light(split).first().every is None
+
+
 def test_ami_of_equal_partitions_is_one(spark):
     rows = [(str(i % 5), str(i % 5)) for i in range(200)]
     assert evaluate.ami(spark.createDataFrame(rows, "a string, b string")).first()["ami"] == pytest.approx(1.0)
