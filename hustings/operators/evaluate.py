@@ -116,6 +116,17 @@ def signature_counts(gold: DataFrame, gen: DataFrame) -> DataFrame:
     return cut_lineage(named.groupBy("labels", "gen").agg(F.count("*").alias("n")))
 
 
+def _crossed(merged: DataFrame, large: DataFrame, subsets: Column, max_labels: int, heavy: int) -> DataFrame:
+    """Pairs of a large signature and another one, in all and with the same generated label."""
+    top = _heavy_labels(merged, large, heavy).scalar()
+    split = merged.select(
+        F.array_intersect("labels", top).alias("held"), F.array_except("labels", top).alias("light"),
+        "labels", "gen", "n", (F.size("labels") > max_labels).alias("large"),
+    )
+    both = _on_heavy(split, subsets).unionByName(_on_light(split))
+    return both.agg(*[F.sum(c).cast("decimal(38,0)").alias(c) for c in ("every", "same")])
+
+
 def _heavy_labels(merged: DataFrame, large: DataFrame, k: int) -> DataFrame:
     """One row with the ``k`` labels of large signatures that most signatures hold."""
     used = large.select(F.explode("labels").alias("gold")).distinct()
@@ -126,26 +137,23 @@ def _heavy_labels(merged: DataFrame, large: DataFrame, k: int) -> DataFrame:
 
 def _on_heavy(split: DataFrame, subsets: Column) -> DataFrame:
     """Pairs with a large signature that share a heavy label: there are at most 2^k sets of these."""
-    size = F.col("n").cast("decimal(38,0)")
-    sets = split.where(F.size("held") > 0).groupBy("held", "gen").agg(
-        F.sum(F.when(F.col("large"), size).otherwise(0)).cast("decimal(19,0)").alias("l"),
-        F.sum(F.when(F.col("large"), 0).otherwise(size)).cast("decimal(19,0)").alias("s"),
+    long, huge = "decimal(19,0)", "decimal(38,0)"
+    n, zero = F.col("n").cast(long), F.lit(0).cast(long)
+    sets = split.where(F.size("held") > 0).groupBy(F.col("held").alias("labels"), "gen").agg(
+        F.sum(F.when(F.col("large"), n).otherwise(zero)).cast(long).alias("l"),
+        F.sum(F.when(F.col("large"), zero).otherwise(n)).cast(long).alias("s"),
+        F.sum(F.when(F.col("large"), n * n)).cast(huge).alias("itself"),
     )
-    parts = sets.withColumnRenamed("held", "labels").select(F.explode(subsets).alias("subset"), "gen", "l", "s").where(F.size("subset") > 0)
-    sign = F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)
-
-    def met(*by: str) -> DataFrame:
-        sums = parts.groupBy("subset", *by).agg(*[F.sum(c).cast("decimal(19,0)").alias(c) for c in ("l", "s")])
-        twice = F.col("l") * F.col("l") + 2 * F.col("l") * F.col("s")
-        return sums.agg(F.sum(sign * twice.cast("decimal(38,0)")).alias("v"))
-
-    itself = split.where(F.col("large") & (F.size("held") > 0)).agg(
-        F.sum((F.col("n").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")).cast("decimal(38,0)")).alias("v")
+    twice = (F.col("l") * F.col("l") + 2 * F.col("l") * F.col("s")).cast(huge)
+    by_gen = sets.select(F.explode(subsets).alias("subset"), "gen", "l", "s", "itself").where(F.size("subset") > 0).groupBy("subset", "gen").agg(
+        *[F.sum(c).cast(long).alias(c) for c in ("l", "s")], F.coalesce(F.sum("itself"), zero).cast(huge).alias("itself")
     )
-    zero = F.lit(0).cast("decimal(38,0)")
-    of = lambda df: F.coalesce(df.scalar(), zero)
-    half = lambda *by: ((of(met(*by)) - of(itself)) / 2).cast("decimal(38,0)")
-    return one_row(split).select(half().alias("every"), half("gen").alias("same"))
+    by_subset = by_gen.groupBy("subset").agg(
+        *[F.sum(c).cast(long).alias(c) for c in ("l", "s")], F.sum("itself").cast(huge).alias("itself"), F.sum(twice).cast(huge).alias("same"),
+    )
+    sign = F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)
+    half = lambda c: (F.sum(sign * (c - F.col("itself"))) / 2).cast(huge)
+    return by_subset.agg(half(twice).alias("every"), half(F.col("same")).alias("same"))
 
 
 def _on_light(split: DataFrame) -> DataFrame:
@@ -158,7 +166,9 @@ def _on_light(split: DataFrame) -> DataFrame:
     once = ~F.col("large2") | (F.col("k1") < F.col("k2"))
     weight = (F.col("n1") * F.col("n2")).cast("decimal(38,0)")
     pairs = side(split.where("large"), 1).join(side(split, 2), "gold").where(first & once & ~F.arrays_overlap("h1", "h2"))
-    return pairs.agg(F.sum(weight).alias("every"), F.sum(F.when(F.col("k1.gen") == F.col("k2.gen"), weight)).alias("same"))
+    return pairs.agg(
+        F.sum(weight).cast("decimal(38,0)").alias("every"), F.sum(F.when(F.col("k1.gen") == F.col("k2.gen"), weight)).cast("decimal(38,0)").alias("same")
+    )
 
 
 def pair_counts(signatures: DataFrame, max_labels: int = MAX_SUBSET_LABELS, heavy: int = MAX_SUBSET_LABELS) -> DataFrame:
@@ -197,19 +207,15 @@ def pair_counts(signatures: DataFrame, max_labels: int = MAX_SUBSET_LABELS, heav
 
     # A large signature against all others: within itself by formula, on heavy labels by subsets, on light ones by join.
     own = large.agg(F.sum(_pairs(F.col("n"))).alias("v"))
-    top = _heavy_labels(merged, large, heavy).scalar()
-    split = merged.select(
-        F.array_intersect("labels", top).alias("held"), F.array_except("labels", top).alias("light"),
-        "labels", "gen", "n", (F.size("labels") > max_labels).alias("large"),
-    )
-    crossed = _on_heavy(split, subsets).unionByName(_on_light(split)).agg(F.sum("every").alias("every"), F.sum("same").alias("same"))
+    crossed = _crossed(merged, large, subsets, max_labels, heavy) if not large.isEmpty() else None
 
     clusters = merged.groupBy("gen").agg(F.sum("n").alias("n")).agg(F.sum(_pairs(F.col("n"))).alias("v"))
     zero = F.lit(0).cast("decimal(38,0)")
     pick = lambda df, c="v": F.coalesce(df.select(c).scalar(), zero)
+    more = (lambda c: pick(own) + pick(crossed, c)) if crossed else (lambda c: zero)
     return one_row(signatures).select(
-        (pick(same) + pick(own) + pick(crossed, "same")).alias("same_and_share"),
-        (pick(every) + pick(own) + pick(crossed, "every")).alias("share"),
+        (pick(same) + more("same")).alias("same_and_share"),
+        (pick(every) + more("every")).alias("share"),
         pick(clusters).alias("same"),
     )
 
