@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from ..functions import text
-from ..operators import groups, matrix, pool, resolve, scale, score
+from ..operators import evaluate, groups, matrix, pool, resolve, scale, score, target_stance
 from ..plans import fixtures as fx
 from ..session import cut_lineage
 from ..sources import tables
@@ -182,6 +182,17 @@ def second_level_labels(spark, sf):
     return out.select("doc_id", "subtopic_1", "subtopic_2")
 
 
+@query("X5 E2")
+def target_stances(spark, sf):
+    """F1 of the stance on targets seen and unseen in the fit; a target is a language with its source."""
+    labels = fx.table(spark, sf, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).alias("label"))
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text", F.concat_ws(" ", "lang", "source").alias("target"))
+    seen = F.pmod(F.xxhash64("target"), F.lit(2)) == 0
+    rows = labels.join(docs, "doc_id").withColumn("few", seen)
+    out, _ = target_stance.out_of_fold_stances(rows, "doc_id", "text", "target", "label", "few")
+    return evaluate.f1_by_flag(out, "few_shot").select("subset", rounded("f1", 6).alias("f1"))
+
+
 @query("X5 T8")
 def fitted_stances(spark, sf):
     """Classifier fitted on labelled documents, its predictions on the held out ones."""
