@@ -14,7 +14,7 @@ from ..session import cut_lineage
 from ..sources import tables
 from . import query_of_means as query, rounded
 from .matrices import BRANDS, CELLS_SQL, cells
-from .texts import WORDCH
+from .texts import WORDCH, tokens_sql
 
 PARENTS_SQL = f"{CELLS_SQL}, p AS (SELECT speaker, subtopic_1 AS topic, stance_score AS y FROM parents)"
 
@@ -204,7 +204,7 @@ def fitted_stances(spark, sf):
     return out.select("doc_id", "label", "pred", rounded(F.array_max("probabilities"), 6).alias("sure"))
 
 
-@query("F14")
+@query("F14", f"""SELECT doc_id, {tokens_sql("text")} AS "default", CAST(length(text) // 4 AS INTEGER) AS pieces FROM documents""")
 def tokenizer_counts(spark, sf):
     """Tokens by a tokenizer of the user's, next to the default count."""
     @F.pandas_udf(T.IntegerType())

@@ -8,7 +8,7 @@ from ..functions import text, vectors
 from ..operators import cluster, density, groups, taxonomy, topics
 from ..plans import fixtures as fx
 from . import query
-from .texts import NORM_SQL, words_sql
+from .texts import NORM_SQL, WORDCH, words_sql
 
 DIMS = 64
 
@@ -289,8 +289,10 @@ def path_level_counts(spark, sf):
     return taxonomy.level_counts(paths, ["p_type", "p_brand", "p_size"])
 
 
-@query("C1")
+@query("C1", f"""SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[{WORDCH}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm,
+   256 AS size FROM documents""")
 def text_embeddings(spark, sf):
+    """Vectors have unit length; those of texts without a word, zero."""
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
     out = cluster.embed_texts(docs, "text")
     return out.select("doc_id", F.round(vectors.norm("embedding"), 6).alias("norm"), F.size("embedding").alias("size"))
