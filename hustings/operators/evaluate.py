@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text
@@ -98,6 +99,8 @@ def taxonomy_coverage(docs: DataFrame, gold: DataFrame, gen: DataFrame) -> DataF
 
 
 MAX_SUBSET_LABELS = 10
+MOST_SUBSET_LABELS = 18  # beyond these the subsets of one signature are more than a task should hold
+SUBSET_PLACES = 1 << 20  # label places of subsets that are laid out at a time
 
 
 def _pairs(n: Column) -> Column:
@@ -116,14 +119,13 @@ def signature_counts(gold: DataFrame, gen: DataFrame) -> DataFrame:
     return cut_lineage(named.groupBy("labels", "gen").agg(F.count("*").alias("n")))
 
 
-def _crossed(merged: DataFrame, large: DataFrame, subsets: Column, max_labels: int, heavy: int) -> DataFrame:
+def _crossed(merged: DataFrame, top: Column) -> DataFrame:
     """Pairs of a large signature and another one, in all and with the same generated label."""
-    top = _heavy_labels(merged, large, heavy).scalar()
     split = merged.select(
         F.array_intersect("labels", top).alias("held"), F.array_except("labels", top).alias("light"),
-        "labels", "gen", "n", (F.size("labels") > max_labels).alias("large"),
+        "labels", "gen", "n", "large",
     )
-    both = _on_heavy(split, subsets).unionByName(_on_light(split))
+    both = _on_heavy(split).unionByName(_on_light(split))
     return both.agg(*[F.sum(c).cast("decimal(38,0)").alias(c) for c in ("every", "same")])
 
 
@@ -135,7 +137,7 @@ def _heavy_labels(merged: DataFrame, large: DataFrame, k: int) -> DataFrame:
     return top.agg(F.array_sort(F.collect_list("gold")).alias("heavy"))
 
 
-def _on_heavy(split: DataFrame, subsets: Column) -> DataFrame:
+def _on_heavy(split: DataFrame) -> DataFrame:
     """Pairs with a large signature that share a heavy label: there are at most 2^k sets of these."""
     long, huge = "decimal(19,0)", "decimal(38,0)"
     n, zero = F.col("n").cast(long), F.lit(0).cast(long)
@@ -145,6 +147,8 @@ def _on_heavy(split: DataFrame, subsets: Column) -> DataFrame:
         F.sum(F.when(F.col("large"), n * n)).cast(huge).alias("itself"),
     )
     twice = (F.col("l") * F.col("l") + 2 * F.col("l") * F.col("s")).cast(huge)
+    none = F.array().cast(split.schema["labels"].dataType)
+    subsets = F.aggregate("labels", F.array(none), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
     by_gen = sets.select(F.explode(subsets).alias("subset"), "gen", "l", "s", "itself").where(F.size("subset") > 0).groupBy("subset", "gen").agg(
         *[F.sum(c).cast(long).alias(c) for c in ("l", "s")], F.coalesce(F.sum("itself"), zero).cast(huge).alias("itself")
     )
@@ -171,6 +175,61 @@ def _on_light(split: DataFrame) -> DataFrame:
     )
 
 
+def _coded(merged: DataFrame) -> tuple[DataFrame, str]:
+    """Labels as sorted numbers, generated labels as numbers, and the numbers' kind.
+
+    Numbers are hashes, the shortest that no two labels share under one of a few seeds.
+    """
+    names = merged.select(F.explode("labels").alias("x")).distinct(), merged.select(F.col("gen").alias("x")).distinct()
+    code = lambda c, bits, seed: F.xxhash64(F.lit(seed), c) if bits == 64 else F.pmod(F.xxhash64(F.lit(seed), c), F.lit(1 << bits))
+    for bits, kind in ((8, "uint8"), (16, "uint16"), (32, "uint32"), (64, "int64")):
+        tried = range(4)
+        found = [d.agg(F.count("*"), *[F.count_distinct(code(F.col("x"), b, s)) for s in tried]).first() for d, b in zip(names, (bits, 64))]
+        seeds = [next((s for s in tried if row[s + 1] == row[0]), None) for row in found]
+        if None not in seeds:
+            labels = F.array_sort(F.transform("labels", lambda x: code(x, bits, seeds[0])))
+            return merged.withColumns({"labels": labels, "gen": code(F.col("gen"), 64, seeds[1])}), kind
+    raise ValueError("labels whose hashes are equal under every seed")
+
+
+def _subsets(signatures: DataFrame, kind: str) -> DataFrame:
+    """``subset, gen, n``: each non-empty subset of a signature's labels, as the bytes of its numbers."""
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            lists = batch.column("labels")
+            sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().astype(kind)
+            starts = np.cumsum(sizes) - sizes
+            gen, n = batch.column("gen").to_numpy(), batch.column("n").to_numpy()
+            for k in np.unique(sizes[sizes > 0]).tolist():
+                if k not in members:
+                    masks = np.arange(1, 1 << k)
+                    chosen = [np.flatnonzero(masks >> j & 1) for j in range(k)]
+                    at, which = np.concatenate(chosen), np.repeat(np.arange(k, dtype=np.int8), [len(c) for c in chosen])
+                    members[k] = which[np.argsort(at, kind="stable")], np.bincount(at)
+                which, lengths = members[k]
+                rows = np.flatnonzero(sizes == k)
+                step = max(1, SUBSET_PLACES // len(which))
+                for i in range(0, len(rows), step):
+                    some = rows[i : i + step]
+                    data = flat[starts[some][:, None] + np.arange(k)][:, which]
+                    ends = np.concatenate([[0], np.cumsum(np.tile(lengths, len(some)) * data.itemsize)]).astype(np.int32)
+                    subset = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+                    once = pa.table([subset, *(pa.array(np.repeat(v[some], len(lengths))) for v in (gen, n))], ["subset", "gen", "n"])
+                    yield from once.to_batches(max_chunksize=1 << 16)
+
+    return signatures.select("labels", "gen", "n").mapInArrow(emitted, "subset binary, gen long, n long")
+
+
+def _on_subsets(signatures: DataFrame, kind: str) -> DataFrame:
+    """Pairs of documents that share a label, by inclusion and exclusion over subsets of labels."""
+    by_gen = _subsets(signatures, kind).groupBy("subset", "gen").agg(F.sum("n").alias("n"))
+    several = lambda: F.when(F.col("n") > 1, _pairs(F.col("n")))
+    by_subset = by_gen.groupBy("subset").agg(F.sum("n").alias("n"), F.sum(several()).alias("same"))
+    sign = F.when(F.octet_length("subset") / np.dtype(kind).itemsize % 2 == 1, 1).otherwise(-1)
+    return by_subset.where(F.col("n") > 1).agg(F.sum(sign * several()).alias("every"), F.sum(sign * F.col("same")).alias("same"))
+
+
 def pair_counts(signatures: DataFrame, max_labels: int = MAX_SUBSET_LABELS, heavy: int = MAX_SUBSET_LABELS) -> DataFrame:
     """Document pairs by same generated label and by sharing a gold label, without listing pairs.
 
@@ -180,42 +239,35 @@ def pair_counts(signatures: DataFrame, max_labels: int = MAX_SUBSET_LABELS, heav
     That costs 2^k rows for a signature of k labels and nothing per pair. Signatures of more
     than ``max_labels`` labels are split into the ``heavy`` labels most signatures hold, for
     which the same counting does, and the light rest: pairs that share no heavy label are met
-    on shared light ones, each pair once, at its first.
+    on shared light ones, each pair once, at its first. Where a signature would meet more others
+    on light labels than it has subsets, it is counted by subsets as well.
     """
-    merged = signatures.where(F.col("gen").isNotNull())
-    small = merged.where(F.size("labels") <= max_labels)
-    large = merged.where(F.size("labels") > max_labels)
-
-    subsets = F.aggregate(
-        "labels",
-        F.array(F.array().cast("array<string>")),
-        lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))),
-    )
-    by_subset = (
-        small.select(F.explode(subsets).alias("subset"), "gen", "n")
-        .where(F.size("subset") > 0)
-        .withColumn("odd", F.size("subset") % 2)
-        .groupBy("subset", "odd", "gen")
-        .agg(F.sum("n").alias("n"))
-    )
-    sign = F.when(F.col("odd") == 1, 1).otherwise(-1)
-    same = by_subset.agg(F.sum(sign * _pairs(F.col("n"))).alias("v"))
-    every = (
-        by_subset.groupBy("subset", "odd").agg(F.sum("n").alias("n"))
-        .agg(F.sum(sign * _pairs(F.col("n"))).alias("v"))
-    )
-
-    # A large signature against all others: within itself by formula, on heavy labels by subsets, on light ones by join.
-    own = large.agg(F.sum(_pairs(F.col("n"))).alias("v"))
-    crossed = _crossed(merged, large, subsets, max_labels, heavy) if not large.isEmpty() else None
+    merged, kind = _coded(signatures.where(F.col("gen").isNotNull()))
+    wide = merged.where(F.size("labels") > max_labels)
+    crossed, own, small = None, None, merged
+    if not wide.isEmpty():
+        top = _heavy_labels(merged, wide, heavy).first()[0]
+        top = F.array(*[F.lit(x) for x in top]).cast("array<bigint>")
+        light = wide.select("labels", "gen", F.explode_outer(F.array_except("labels", top)).alias("gold"))
+        held = merged.select(F.explode("labels").alias("gold")).groupBy("gold").agg(F.count("*").alias("held"))
+        met = light.join(held, "gold", "left").groupBy("labels", "gen").agg(F.coalesce(F.sum("held"), F.lit(0)).alias("met"))
+        few = (F.size("labels") > MOST_SUBSET_LABELS) | (F.pow(F.lit(2.0), F.size("labels")) > F.col("met"))
+        large = met.where(few).select("labels", "gen", F.lit(True).alias("large"))
+        merged = cut_lineage(merged.join(large, ["labels", "gen"], "left").withColumn("large", F.col("large").isNotNull()))
+        small, large = merged.where(~F.col("large")), merged.where("large")
+        if not large.isEmpty():
+            # A large signature against all others: within itself by formula, on heavy labels by subsets, on light ones by join.
+            own = large.agg(F.sum(_pairs(F.col("n"))).alias("v"))
+            crossed = cut_lineage(_crossed(merged, top))
+    shared = cut_lineage(_on_subsets(small, kind))
 
     clusters = merged.groupBy("gen").agg(F.sum("n").alias("n")).agg(F.sum(_pairs(F.col("n"))).alias("v"))
     zero = F.lit(0).cast("decimal(38,0)")
     pick = lambda df, c="v": F.coalesce(df.select(c).scalar(), zero)
     more = (lambda c: pick(own) + pick(crossed, c)) if crossed else (lambda c: zero)
     return one_row(signatures).select(
-        (pick(same) + more("same")).alias("same_and_share"),
-        (pick(every) + more("every")).alias("share"),
+        (pick(shared, "same") + more("same")).alias("same_and_share"),
+        (pick(shared, "every") + more("every")).alias("share"),
         pick(clusters).alias("same"),
     )
 

@@ -49,6 +49,18 @@ def test_label_all_signatures_hold_is_not_met_by_pairs(spark):
     assert evaluate._on_light(split).first().every is None
 
 
+def test_sets_with_few_subsets_are_not_met_by_pairs(spark, monkeypatch):
+    """Sets of 5 of 8 labels have 32 subsets each and meet hundreds of others: these pairs are not listed."""
+    rnd = random.Random(3)
+    rows = [(rnd.sample([f"l{i}" for i in range(8)], 5), rnd.choice("xyz"), rnd.randint(1, 3)) for _ in range(200)]
+    monkeypatch.setattr(evaluate, "_on_light", None)
+    signatures = spark.createDataFrame(rows, "labels array<string>, gen string, n long")
+    row = evaluate.pair_counts(signatures.withColumn("labels", F.array_sort("labels")), max_labels=2, heavy=1).first()
+    docs = [(set(labels), gen) for labels, gen, n in rows for _ in range(n)]
+    pairs = [(a[1] == b[1], bool(a[0] & b[0])) for a, b in itertools.combinations(docs, 2)]
+    assert (row.same_and_share, row.share, row.same) == (sum(x and y for x, y in pairs), sum(y for _, y in pairs), sum(x for x, _ in pairs))
+
+
 def test_ami_of_equal_partitions_is_one(spark):
     rows = [(str(i % 5), str(i % 5)) for i in range(200)]
     assert evaluate.ami(spark.createDataFrame(rows, "a string, b string")).first()["ami"] == pytest.approx(1.0)
