@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, groups
 from ..plans import fixtures as fx
+from ..session import written
 from . import query
 from .matching import SCORED_SQL, scored_speakers
 
@@ -167,7 +168,7 @@ def _metric_sql(field: str, source: str) -> str:
    round(max(CASE WHEN source = 'committees' THEN value END), 5) AS committees
  FROM ({_metric_sql("subtopic_1", "subjects")} UNION ALL {_metric_sql("policy_area", "committees")}) GROUP BY metric""")
 def taxonomy_metric_table(spark, sf):
-    gen = generated(spark, sf)
+    gen = written(generated(spark, sf), "generated")
     parts = []
     for field, source in (("subtopic_1", "subjects"), ("policy_area", "committees")):
         docs = gold_docs(spark, sf, field)

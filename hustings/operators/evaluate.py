@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .ordering import average_rank, exact_quantiles, top_per_group
 
 
@@ -387,7 +387,8 @@ def label_pairs(gold: DataFrame, gen: DataFrame) -> DataFrame:
 
 
 def taxonomy_metrics(docs: DataFrame, gold: DataFrame, gen: DataFrame, source: str) -> DataFrame:
-    """Six measures of a taxonomy against one gold source, one row each."""
+    """Six measures of a taxonomy against one gold source, one row each; labels are written once for all."""
+    gold, gen = written(gold, "gold"), written(gen, "generated")
     pair = pairwise_metrics(gold, gen)
     cover = taxonomy_coverage(docs, gold, gen).select("coverage").scalar()
     score = ami(label_pairs(gold, gen)).select("ami").scalar()

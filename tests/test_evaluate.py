@@ -61,6 +61,22 @@ def test_sets_with_few_subsets_are_not_met_by_pairs(spark, monkeypatch):
     assert (row.same_and_share, row.share, row.same) == (sum(x and y for x, y in pairs), sum(y for _, y in pairs), sum(x for x, _ in pairs))
 
 
+def test_metrics_read_their_labels_once(spark):
+    """Each of the measures used to work out both labelings anew."""
+    seen = spark.sparkContext.accumulator(0)
+    gold = spark.createDataFrame([(i, f"g{i % 3}") for i in range(12)], "doc_id long, gold string")
+    gen = spark.createDataFrame([(i, f"x{i % 2}") for i in range(10)], "doc_id long, label string")
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    once = gen.withColumn("label", counted.asNondeterministic()("label"))
+    got = {r.metric: r.value for r in evaluate.taxonomy_metrics(gold.select("doc_id"), gold, once, "s").collect()}
+    assert seen.value == 10 and got["Coverage"] == pytest.approx(10 / 12)
+
+
 def test_ami_of_equal_partitions_is_one(spark):
     rows = [(str(i % 5), str(i % 5)) for i in range(200)]
     assert evaluate.ami(spark.createDataFrame(rows, "a string, b string")).first()["ami"] == pytest.approx(1.0)
