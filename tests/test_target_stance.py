@@ -72,3 +72,28 @@ def test_missing_texts_labels_and_empty_tables(spark):
     assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 4] and all(r.pred in (0, 1, 2) for r in got)
     none, models = ts.out_of_fold_stances(df.limit(0), "doc_id", "document", "target", "label", "few", size=64, rounds=3)
     assert none.count() == 0 and (models.weights == 0).all()
+
+
+def test_words_are_found_once_for_all_crossings(spark):
+    """The words of a document used to be found anew for each mention, and for each word of its target."""
+    df = spark.createDataFrame(stances(5), SCHEMA).select(ts.crossed_features("document", "target").alias("places"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 2
+
+
+def test_a_round_gives_a_row_by_feature_and_part(spark):
+    """Sums of all folds and classes stand side by side: not a row for each of them."""
+    df = spark.createDataFrame(stances(40), SCHEMA)
+    rows = df.select("label", ts.dealt(df, "doc_id", "target", "few").alias("fold"), ts.crossed_features("document", "target", 64).alias("places"))
+    seen = []
+
+    class Rows:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            out = rows.coalesce(1).mapInArrow(run, schema)
+            seen.append(out.count())
+            return out
+
+    ts._round(Rows(), np.zeros((ts.FOLDS, 3, 64)))
+    assert seen[0] <= 64 + 3
