@@ -307,5 +307,5 @@ def topic_parents_by_vector(spark, sf):
 @query("C10")
 def two_level_topics(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", text.plain_words("text").alias("words"))
-    out = topics.lda_taxonomy(docs, "words", 4, 3, tol=1e-3)
+    out = topics.lda_taxonomy(docs, "words", 4, 3, tol=1e-3, keep=["doc_id"])
     return out.select("doc_id", "topic_1", "topic_1_words", "topic_2", "topic_2_words")

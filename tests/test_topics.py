@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -96,3 +97,56 @@ def test_topics_that_do_not_settle_are_an_error(spark):
     counted = topics.word_counts(documents(spark, 2, 30), "words", 64).withColumn("_root", F.lit(0))
     with pytest.raises(RuntimeError, match="settle"):
         topics.fit_lda(counted, "_root", 1, 2, features=64, rounds=1)
+
+
+def test_words_are_counted_in_the_order_they_come_and_only_wanted_columns_stay(spark):
+    rows = [(0, ["b", "a", None, "b"], "x"), (1, None, "y"), (2, [], "z"), (3, ["a"], None), (4, ["é", "a", "é", "é"], "x")]
+    df = spark.createDataFrame(rows, "doc_id int, words array<string>, extra string").coalesce(1)
+    counted = topics.word_counts(df, "words", 1 << 10, keep=["doc_id"])
+    assert counted.columns == ["doc_id", "_w", "_f", "_n"]
+    got = {r.doc_id: (r._w, r._n) for r in counted.collect()}
+    assert got == {0: (["b", "a"], [2, 1]), 1: ([], []), 2: ([], []), 3: (["a"], [1]), 4: (["é", "a"], [3, 1])}
+    places = {w: f for r in counted.collect() for w, f in zip(r._w, r._f)}
+    assert places == {w: zlib.crc32(w.encode()) % (1 << 10) for w in ("a", "b", "é")}
+    assert topics.lda_taxonomy(df, "words", 2, 2, keep=["doc_id"]).columns == ["doc_id", "topic_1", "topic_1_words", "topic_2", "topic_2_words"]
+
+
+def test_mixes_of_a_batch_equal_those_of_each_document():
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(1, 90, 40)
+    sizes[0] = 30_000  # longer than a run
+    edges, n = np.concatenate([[0], np.cumsum(sizes)[:-1]]), int(sizes.sum())
+    places, counts = rng.integers(0, 500, n), rng.integers(1, 5, n).astype(float)
+    scaled = rng.gamma(1.0, 1.0, (3, 500))
+    runs = topics._runs(edges, n)
+    assert sorted(np.concatenate([docs for docs, _, _ in runs])) == list(range(40))
+    mix, taken, _ = topics._mixes(runs, edges, places, counts, scaled, 1 / 3)
+
+    def shares(mix):
+        theta = np.exp(topics.digamma(mix) - topics.digamma(mix.sum(axis=1, keepdims=True)))
+        for d, (at, size) in enumerate(zip(edges, sizes)):
+            words = scaled[:, places[at : at + size]]
+            yield at, theta[d][:, None] * counts[at : at + size] / (theta[d] @ words), words
+
+    plain = np.full((40, 3), 1 / 3 + 1.0)
+    for _ in range(topics.INNER):
+        now = np.array([1 / 3 + (share * words).sum(axis=1) for _, share, words in shares(plain)])
+        still = np.abs(now - plain).mean() < 1e-4
+        plain = now
+        if still:
+            break
+    assert np.allclose(mix, plain)
+    assert all(np.allclose(taken[:, at : at + share.shape[1]], share) for at, share, _ in shares(plain))
+
+
+def test_starts_are_tried_in_the_same_jobs(spark, monkeypatch):
+    counted = topics.word_counts(documents(spark, 4, 60), "words", 256)
+    sent = []
+    plain = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(len(value)) or plain(self, value))
+    many = topics.fit_lda(counted, "theme", 2, 2, features=256, tol=1e-3, seed=5)
+    assert sent[0] == 3 and sent[-1] == 1  # one job a round for all three starts, then for the best
+    rng = np.random.default_rng(5)
+    alone = [topics._settled(counted, "theme", [topics.TopicModels(rng.gamma(1.0, 1.0, (2, 2, 256)) + topics.WORD_PRIOR, 0.5, [])], 0.1, 300)[0] for _ in range(3)]
+    best = topics._settled(counted, "theme", [max(alone, key=lambda m: m.bound[-1])], 1e-3, 300)[0]
+    assert np.allclose(many.bound, best.bound) and np.allclose(many.weights, best.weights)
