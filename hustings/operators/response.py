@@ -27,6 +27,8 @@ from .spectrum import GRAM, directions
 TOPICS = 100_000  # topics whose parameters are sent to the tasks; with more they are joined
 ROUNDS = 400
 MEMORY = 40  # earlier steps that shape the next
+RUN = 1 << 16  # cells that are worked on at once
+BATCH = 1 << 23  # cells whose bytes are handed on at once
 
 
 @dataclass
@@ -149,16 +151,55 @@ def _closed_form(cells: DataFrame, d: int, gram: int) -> ItemResponse:
 
 # Only existing cells count ------------------------------------------------------------------
 
-def _posteriors(flat: np.ndarray, y: np.ndarray, edges: np.ndarray, params: np.ndarray, sigma2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, variances and log determinants of the precisions of theta for runs of cells."""
-    d = params.shape[1] - 1
-    a = params[flat, :d]
-    target = a * (y + params[flat, d])[:, None]
-    outer = a[:, :, None] * a[:, None, :]
-    precision = np.add.reduceat(outer, edges) / sigma2 + np.eye(d)
+def _posteriors(flat: np.ndarray, y: np.ndarray, edges: np.ndarray, params: np.ndarray, sigma2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Means, variances, scaled sums along a and log determinants of the precisions of theta for runs of cells.
+
+    ``params`` has a row for each strength and one for the difficulty.
+    """
+    d, n = len(params) - 1, len(edges)
+    a, shifted = [params[i][flat] for i in range(d)], y + params[d][flat]
+    precision, along = np.empty((n, d, d)), np.empty((n, d))
+    for i in range(d):
+        along[:, i] = np.add.reduceat(a[i] * shifted, edges) / sigma2
+        for j in range(i, d):
+            precision[:, i, j] = precision[:, j, i] = np.add.reduceat(a[i] * a[j], edges) / sigma2 + (i == j)
     spread = np.linalg.inv(precision)
-    means = np.einsum("nij,nj->ni", spread, np.add.reduceat(target, edges)) / sigma2
-    return means, spread, np.linalg.slogdet(precision)[1]
+    return np.einsum("nij,nj->ni", spread, along), spread, along, np.linalg.slogdet(precision)[1]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each speaker's list of cells as the bytes of its places and scores, no more of these in a batch than ``BATCH``."""
+    for batch in batches:
+        cells = batch.column("c")
+        flat, sizes = cells.flatten(), cells.value_lengths().to_numpy(zero_copy_only=False)
+        places = np.ascontiguousarray(flat.field("place").to_numpy(zero_copy_only=False), np.int32)
+        scores = np.ascontiguousarray(flat.field("y").to_numpy(zero_copy_only=False), np.float64)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        for low, high in _cuts(ends, BATCH):
+            within = ends[low : high + 1] - ends[low]
+            columns = [
+                pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((within * v.itemsize).astype(np.int32)), pa.py_buffer(v[ends[low] : ends[high]])])
+                for v in (places, scores)
+            ]
+            yield pa.record_batch([batch.column("speaker").slice(low, high - low), *columns], ["speaker", "places", "scores"])
+
+
+def _cuts(ends: np.ndarray, cells: int) -> Iterator[tuple[int, int]]:
+    """Runs of speakers of at most so many cells, or one speaker, by where their cells end."""
+    low = 0
+    while low < len(ends) - 1:
+        high = max(int(np.searchsorted(ends, ends[low] + cells, side="right")) - 1, low + 1)
+        yield low, high
+        low = high
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers whose bytes a column holds, without a copy, and where those of each row end."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind), (ends - ends[0]) // size
 
 
 class _Rounds:
@@ -166,84 +207,95 @@ class _Rounds:
 
     def __init__(self, obs: DataFrame, d: int):
         self.d, spark = d, obs.sparkSession
-        self.topics = sorted(r[0] for r in obs.select("topic").distinct().collect())
+        y = F.col("y")
+        found = obs.groupBy("topic").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(y * y).alias("q")).collect()
+        found = sorted(found, key=lambda r: r.topic)
+        self.topics = [r.topic for r in found]
         kind = obs.schema["topic"].dataType
         schema = obs.select("topic").schema.add("place", "integer")
         self.kind, self.m = kind, len(self.topics)
+        # What does not change from round to round, of the cells that are met below: those of a topic that is not null.
+        self.cells, self.scores, self.met = (np.array([r[c] if r.topic is not None else 0.0 for r in found], float) for c in "nsq")
+        self.squares = float(sum(r.q for r in found))
         places = spark.createDataFrame([(t, i) for i, t in enumerate(self.topics)], schema)
         rows = obs.join(F.broadcast(places), "topic").groupBy("speaker").agg(F.collect_list(F.struct("place", "y")).alias("c"))
+        self.speaker = obs.schema["speaker"].dataType.simpleString()
         path = stage_path(spark, "responses")
-        rows.write.parquet(path)
+        rows.mapInArrow(_packed, f"speaker {self.speaker}, places binary, scores binary").write.parquet(path)
         self.rows = spark.read.parquet(path)
         facts = obs.agg(F.count("*"), F.count_distinct("speaker"), F.avg("y"), F.var_pop("y")).first()
         self.n_obs, self.n, self.mean, self.variance = facts[0], facts[1], facts[2], facts[3] or 0.0
 
     @staticmethod
-    def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cells = batch.column("c")
-        flat = cells.flatten()
-        sizes = cells.value_lengths().to_numpy(zero_copy_only=False)
-        return (
-            flat.field("place").to_numpy(zero_copy_only=False), flat.field("y").to_numpy(zero_copy_only=False),
-            np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64),
-        )
+    def _flat(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of speakers: how many, their cells' places and scores, and where each one's start."""
+        if not batch.num_rows:
+            return
+        flat, ends = _unpacked(batch.column("places"), np.int32)
+        y, _ = _unpacked(batch.column("scores"), np.float64)
+        for low, high in _cuts(ends, RUN):
+            yield high - low, flat[ends[low] : ends[high]].astype(np.intp), y[ends[low] : ends[high]], ends[low:high] - ends[low]
 
     def sums(self, params: np.ndarray, sigma2: float) -> tuple[np.ndarray, float]:
         """Per topic: theta's second moments with -1, and products with y; and the objective's share of the speakers."""
         d, m = self.d, self.m
-        sent = self.rows.sparkSession.sparkContext.broadcast(params)
+        sent = self.rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(params.T))
         flat_of = self._flat
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        names = [f"s{k}" for k in range(len(pairs) + 2 * d)]
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = sent.value
-            width = (d + 1) * (d + 1) + d + 1
-            total, cost = np.zeros((m, width)), 0.0
+            total, cost = np.zeros((len(names), m)), 0.0
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                flat, y, edges = flat_of(batch)
-                means, spread, logdet = _posteriors(flat, y, edges, p, sigma2)
-                # -2 log density of a speaker's cells, theta integrated out, less the constants.
-                a, shifted = p[flat, :d], y + p[flat, d]
-                along = np.add.reduceat(a * shifted[:, None], edges) / sigma2
-                cost += (shifted @ shifted) / sigma2 - np.einsum("ni,ni->", along, means) + logdet.sum()
-                row = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(flat))))
-                x = np.column_stack([means[row], np.full(len(flat), -1.0)])
-                second = x[:, :, None] * x[:, None, :]
-                second[:, :d, :d] += spread[row]
-                parts = np.column_stack([second.reshape(len(flat), -1), x * y[:, None]])
-                for k in range(width):
-                    total[:, k] += np.bincount(flat, weights=parts[:, k], minlength=m)
-            used = np.flatnonzero(total.any(axis=1))
+                for _, flat, y, edges in flat_of(batch):
+                    means, spread, along, logdet = _posteriors(flat, y, edges, p, sigma2)
+                    # -2 log density of a speaker's cells, theta integrated out, less what the scores alone give.
+                    cost += logdet.sum() - np.einsum("ni,ni->", along, means)
+                    sizes = np.diff(np.append(edges, len(flat)))
+                    mine = [np.repeat(means[:, i], sizes) for i in range(d)]
+                    parts = [np.repeat(means[:, i] * means[:, j] + spread[:, i, j], sizes) for i, j in pairs]
+                    for k, part in enumerate([*parts, *mine, *[x * y for x in mine]]):
+                        total[k] += np.bincount(flat, weights=part, minlength=m)
+            used = np.flatnonzero(total.any(axis=0))
             yield pa.record_batch(
-                [pa.array(np.append(used, -1).astype(np.int32))] + [pa.array(np.append(total[used, k], cost if k == 0 else 0.0)) for k in range(width)],
-                ["place", *[f"s{k}" for k in range(width)]],
+                [pa.array(np.append(used, -1).astype(np.int32))] + [pa.array(np.append(total[k, used], cost if k == 0 else 0.0)) for k in range(len(names))],
+                ["place", *names],
             )
 
-        names = [f"s{k}" for k in range((d + 1) * (d + 1) + d + 1)]
-        parts = self.rows.select("c").mapInArrow(added, "place int, " + ", ".join(f"{c} double" for c in names))
+        parts = self.rows.select("places", "scores").mapInArrow(added, "place int, " + ", ".join(f"{c} double" for c in names))
         got = parts.groupBy("place").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
         place = got.column("place").to_numpy()
         values = np.column_stack([got.column(c).to_numpy() for c in names])
-        out = np.zeros((m, len(names)))
-        out[place[place >= 0]] = values[place >= 0]
         sent.unpersist()
-        return out, float(values[place < 0, 0].sum())
+        found = np.zeros((m, len(names)))
+        found[place[place >= 0]] = values[place >= 0]
+        second, right = np.zeros((m, d + 1, d + 1)), np.zeros((m, d + 1))
+        for k, (i, j) in enumerate(pairs):
+            second[:, i, j] = second[:, j, i] = found[:, k]
+        for i in range(d):
+            second[:, i, d] = second[:, d, i] = -found[:, len(pairs) + i]
+            right[:, i] = found[:, len(pairs) + d + i]
+        second[:, d, d], right[:, d] = self.cells, -self.scores
+        b = params[:, d]
+        shifted = self.met.sum() + 2 * (b @ self.scores) + (b * b) @ self.cells  # squares of y + b
+        return np.column_stack([second.reshape(m, -1), right]), float(values[place < 0, 0].sum()) + shifted / sigma2
 
     def speakers(self, params: np.ndarray, sigma2: float) -> DataFrame:
         d, flat_of = self.d, self._flat
-        sent = self.rows.sparkSession.sparkContext.broadcast(params)
+        sent = self.rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(params.T))
         names = [*[f"t{i}" for i in range(d)], *[f"v{i}{j}" for i in range(d) for j in range(i, d)]]
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    means, spread, _ = _posteriors(*flat_of(batch), sent.value, sigma2)
+                at = 0
+                for n, flat, y, edges in flat_of(batch):
+                    means, spread, _, _ = _posteriors(flat, y, edges, sent.value, sigma2)
                     columns = [*means.T, *[spread[:, i, j] for i in range(d) for j in range(i, d)]]
-                    yield pa.record_batch([batch.column("speaker"), *[pa.array(c.copy()) for c in columns]], ["speaker", *names])
+                    yield pa.record_batch([batch.column("speaker").slice(at, n), *[pa.array(c.copy()) for c in columns]], ["speaker", *names])
+                    at += n
 
-        kind = self.rows.schema["speaker"].dataType.simpleString()
-        return cut_lineage(self.rows.mapInArrow(placed, f"speaker {kind}, " + ", ".join(f"{c} double" for c in names)))
+        return cut_lineage(self.rows.mapInArrow(placed, f"speaker {self.speaker}, " + ", ".join(f"{c} double" for c in names)))
 
 
 class _Point:
@@ -287,7 +339,6 @@ def _ahead(point: _Point, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndar
 
 def _sent_out(obs: DataFrame, d: int, tol: float, seed: int, rounds: int) -> ItemResponse:
     work = _Rounds(obs, d)
-    work.squares = obs.agg(F.sum(F.col("y") * F.col("y"))).first()[0]
     spread = math.sqrt(max(work.variance, 1e-8))
     rng = np.random.default_rng(seed)
     start = np.zeros((work.m, d + 1))

@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from hustings.operators import scale
+from hustings.operators import response, scale
 
 
 def responses(spark, dims, n=120, m=30, missing=0.0, seed=11):
@@ -169,3 +170,40 @@ def test_slope_is_that_of_the_objective(spark):
     for i in (0, 4, 5, 12):
         up, down = (response._Point(work, x + h * np.eye(13)[i]).value for h in (1e-5, -1e-5))
         assert (up - down) / 2e-5 == pytest.approx(point.slope[i], rel=1e-5, abs=1e-5)
+
+
+def test_cells_are_handed_to_rounds_as_bytes_and_in_short_runs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i}", f"t{j:02d}", float(rng.normal())) for i in range(30) for j in range(12) if rng.random() < 0.6 or j == i % 12]
+    obs = spark.createDataFrame(rows, "speaker string, topic string, y double")
+    work = response._Rounds(obs, 2)
+    assert dict(work.rows.dtypes) == {"speaker": "string", "places": "binary", "scores": "binary"}
+    params, sigma2 = rng.normal(size=(12, 3)), 0.7
+    got, cost = work.sums(params, sigma2)
+    second, right, plain = np.zeros((12, 3, 3)), np.zeros((12, 3)), 0.0
+    means = {}
+    for s in {r[0] for r in rows}:
+        at, y = zip(*[(int(t[1:]), v) for who, t, v in rows if who == s])
+        at, y = np.array(at), np.array(y)
+        a, shifted = params[at, :2], y + params[at, 2]
+        spread = np.linalg.inv(a.T @ a / sigma2 + np.eye(2))
+        means[s] = mean = spread @ (a.T @ shifted) / sigma2
+        x = np.append(mean, -1.0)
+        moments = np.outer(x, x)
+        moments[:2, :2] += spread
+        second[at] += moments
+        right[at] += x * y[:, None]
+        plain += shifted @ shifted / sigma2 - (a.T @ shifted / sigma2) @ mean - np.linalg.slogdet(spread)[1]
+    assert np.allclose(got, np.column_stack([second.reshape(12, 9), right])) and np.isclose(cost, plain)
+    placed = {r.speaker: (r.t0, r.t1) for r in work.speakers(params, sigma2).collect()}
+    assert placed.keys() == means.keys() and all(np.allclose(placed[s], means[s]) for s in means)
+
+    ends = np.array([0, 5, 5, 40, 41, 43])
+    assert list(response._cuts(ends, 4)) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+    lists = pa.array([[{"place": 1, "y": 0.5}, {"place": 0, "y": 2.0}], [{"place": 2, "y": 1.0}]])
+    monkeypatch.setattr(response, "BATCH", 2)
+    out = list(response._packed(iter([pa.record_batch([pa.array(["a", "b"]), lists], ["speaker", "c"])])))
+    assert [b.num_rows for b in out] == [1, 1]
+    assert [response._unpacked(b.column("scores"), np.float64)[0].tolist() for b in out] == [[0.5, 2.0], [1.0]]
+    whole = pa.array([b"", np.arange(3, dtype=np.int32).tobytes(), np.array([7], np.int32).tobytes()], pa.large_binary())
+    assert [x.tolist() for x in response._unpacked(whole.slice(1), np.int32)] == [[0, 1, 2, 7], [0, 3, 4]]
