@@ -10,7 +10,7 @@ from pyspark.sql import functions as F, types as T
 from ..functions import text
 from ..operators import evaluate, groups, matrix, pool, resolve, scale, score, target_stance
 from ..plans import fixtures as fx
-from ..session import cut_lineage
+from ..session import cut_lineage, written_alone
 from ..sources import tables
 from . import query_of_means as query, rounded
 from .matrices import BRANDS, CELLS_SQL, cells
@@ -64,9 +64,10 @@ def component_distances(spark, sf):
  FROM s CROSS JOIN c LEFT JOIN good USING (speaker, topic) GROUP BY 1""")
 def subtopic_distances(spark, sf):
     """Subtopic matrix filled from the parents and filtered by coverage, reduced to all its components."""
-    own = cells(spark, sf)
+    own = written_alone(cells(spark, sf), "own")
     filled = matrix.fill_from_parent(own, pool.topic_scores(own), resolve.topic_parents(own))
-    kept = cut_lineage(matrix.coverage_filter(filled.withColumn("topic", F.col("subtopic_2")), 0.75, 0.75))
+    kept = matrix.coverage_filter(filled.select("speaker", F.col("subtopic_2").alias("topic"), "stance_score"), 0.75, 0.75)
+    kept = written_alone(kept, "kept")
     model = scale.fit_pca(kept, kept.select("topic").distinct().count())
     long = scale.project_cells(kept, model)
     return long.groupBy("speaker").agg(rounded(F.sum(F.col("value") ** 2), 9).alias("squared_distance"))

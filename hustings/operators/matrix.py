@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written, written_alone
 from .ordering import count_quantile
 from .resolve import counts_with_zero
 
@@ -60,14 +60,31 @@ def fill_from_parent(cells: DataFrame, parents: DataFrame, children: DataFrame,
     ``children`` maps ``subtopic_2`` to ``subtopic_1``. An own score counts whatever topic it was
     given under; of several the first in ``order``. Cells with neither own nor parent score are
     the zeros of the filled matrix and stay unwritten.
+
+    Scores and parents' scores are dealt by speaker, and all cells of a speaker are made where
+    these lie: the filled matrix, many times as long, is not shuffled. ``children`` is small
+    beside it, used twice and written to the shared folder once for that.
     """
-    grid = parents.join(children, "subtopic_1").select("speaker", "subtopic_2", "subtopic_1", F.col("stance_score").alias("_parent"))
+    children = written(children.select("subtopic_2", "subtopic_1"), "children")
     first = F.min_by(F.struct("stance_score", "subtopic_1"), order)
-    own = cells.groupBy("speaker", "subtopic_2").agg(first.alias("_f")).select(
-        "speaker", "subtopic_2", F.col("_f.stance_score").alias("_own"), F.col("_f.subtopic_1").alias("_under")
+    own = cells.repartition("speaker").groupBy("speaker", "subtopic_2").agg(first.alias("_f")).select(
+        "speaker", "subtopic_2", F.lit(None).cast(parents.schema["subtopic_1"].dataType).alias("subtopic_1"),
+        F.lit(None).cast(parents.schema["stance_score"].dataType).alias("_parent"),
+        F.col("_f.stance_score").alias("_own"), F.col("_f.subtopic_1").alias("_under"), F.lit(False).alias("_grid"),
+    )
+    grid = parents.repartition("speaker").join(children, "subtopic_1").select(
+        "speaker", "subtopic_2", "subtopic_1", F.col("stance_score").alias("_parent"),
+        F.lit(None).cast(own.schema["_own"].dataType).alias("_own"), F.lit(None).cast(own.schema["_under"].dataType).alias("_under"),
+        F.lit(True).alias("_grid"),
     )
+    # As a full join meets them: cells of no speaker or no subtopic stay apart.
+    apart = F.when(F.col("speaker").isNull() | F.col("subtopic_2").isNull(), F.col("_grid"))
+    cell = Window.partitionBy("speaker", "subtopic_2", "_apart")
+    met = own.unionByName(grid).withColumn("_apart", apart).withColumns(
+        {"_own": F.max("_own").over(cell), "_under": F.max("_under").over(cell), "_any": F.max("_grid").over(cell)}
+    ).where(F.col("_grid") | ~F.col("_any"))
     mapped = children.select("subtopic_2", F.col("subtopic_1").alias("_mapped"))
-    return grid.join(own, ["speaker", "subtopic_2"], "full").join(mapped, "subtopic_2", "left").select(
+    return met.join(mapped, "subtopic_2", "left").select(
         "speaker",
         F.coalesce("subtopic_1", "_mapped", "_under").alias("subtopic_1"),
         "subtopic_2",
@@ -82,11 +99,28 @@ def filled_matrix(filled: DataFrame, topics: Sequence[str]) -> DataFrame:
     return wide.select("speaker", *[F.coalesce(F.col(quoted(t)), F.lit(0.0)).alias(t) for t in topics])
 
 
-def coverage_counts(cells: DataFrame, by: str, of: str, out: str = "n") -> DataFrame:
-    """Distinct non-zero partners per key, keys without any counted as 0."""
-    return cells.groupBy(by).agg(
-        F.count_distinct(F.when(F.col("stance_score") != 0, F.col(of))).alias(out)
-    )
+def coverage_counts(cells: DataFrame, by: str, of: str, out: str = "n", once: str | None = None) -> DataFrame:
+    """Distinct non-zero partners per key, keys without any counted as 0.
+
+    ``once`` names a column that is true in one cell of each pair with a non-zero one, if there is
+    such a column; tasks then add up their cells, and no pairs are shuffled.
+    """
+    if once:
+        partners = F.count_if(F.col(once) & F.col(of).isNotNull())
+    else:
+        partners = F.count_distinct(F.when(F.col("stance_score") != 0, F.col(of)))
+    return cells.groupBy(by).agg(partners.alias(out))
+
+
+def _marked(cells: DataFrame, topic: str) -> DataFrame:
+    """``_once``, true in one cell of each speaker and topic that have a non-zero one, and ``_n``, how many the speaker has."""
+    cells = cells.withColumn("_some", F.coalesce(F.col("stance_score") != 0, F.lit(False)))
+    speaker = Window.partitionBy("speaker")
+    topics = speaker.orderBy(topic)
+    same = topics.rangeBetween(Window.currentRow, Window.currentRow)
+    cells = cells.withColumns({"_before": F.lag(topic).over(topics), "_some": F.max("_some").over(same)})
+    cells = cells.withColumn("_once", F.col("_some") & ~F.col("_before").eqNullSafe(F.col(topic))).drop("_some", "_before")
+    return cells.withColumn("_n", F.count_if(F.col("_once") & F.col(topic).isNotNull()).over(speaker))
 
 
 def _at_least(counts: DataFrame, q: float) -> DataFrame:
@@ -101,21 +135,22 @@ def coverage_filter(
 
     Topics have to reach both the percentile and the coverage share. A topic that none of the
     kept speakers has counts as covered by 0 in the percentile. The cells are gone through
-    several times and written to the shared folder once for that.
+    several times and written to the shared folder once for that, each with what its speaker
+    covers, so that later steps read them where they lie.
     """
-    cells = cut_lineage(cells)
+    cells = written_alone(_marked(cells, topic), "cells")
     topics = cells.select(topic).distinct()
     if speaker_p > 0:
-        keep = _at_least(coverage_counts(cells, "speaker", topic), speaker_p)
-        cells = cells.join(keep.select("speaker"), "speaker", "left_semi")
-    counts = counts_with_zero(topics, coverage_counts(cells, topic, "speaker"), [topic], "n")
-    good = counts
+        least = count_quantile(coverage_counts(cells, "speaker", topic, once="_once"), "n", speaker_p).first()[0]
+        cells = cells.where(F.col("speaker").isNotNull() & (F.col("_n") >= F.lit(least)))
+    counts = counts_with_zero(topics, coverage_counts(cells, topic, "speaker", once="_once"), [topic], "n")
+    good = counts = written(counts, "topics")
     if topic_p > 0:
         good = _at_least(counts, topic_p)
     if min_coverage > 0:
         everyone = cells.agg(F.count_distinct("speaker")).scalar()
         good = good.where(F.try_divide(F.col("n"), everyone) >= min_coverage)
-    return cells.join(good.select(topic), topic, "left_semi")
+    return cells.drop("_once", "_n").join(good.select(topic), topic, "left_semi")
 
 
 def coverage_report(cells: DataFrame, by: str, of: str) -> DataFrame:

@@ -79,8 +79,12 @@ def keep(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def topic_parents(df: DataFrame, order: str | Column = "subtopic_1") -> DataFrame:
     """Parent of each subtopic_2; of several pairs the one that comes up last for the first time wins."""
-    at = F.col(order) if isinstance(order, str) else order
-    pairs = df.groupBy("subtopic_2", "subtopic_1").agg(F.min(at).alias("_at"))
+    if isinstance(order, str) and order == "subtopic_1":
+        # The same in all rows of a pair: told apart by hash, not sorted for the least of strings.
+        pairs = df.select("subtopic_2", "subtopic_1").distinct().withColumn("_at", F.col("subtopic_1"))
+    else:
+        at = F.col(order) if isinstance(order, str) else order
+        pairs = df.groupBy("subtopic_2", "subtopic_1").agg(F.min(at).alias("_at"))
     return pairs.groupBy("subtopic_2").agg(F.max_by("subtopic_1", F.struct("_at", "subtopic_1")).alias("subtopic_1"))
 
 

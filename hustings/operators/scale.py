@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .matrix import one_per_cell
 from .response import ItemResponse, fit_irt, position_tables  # noqa: F401
-from .spectrum import GRAM, Directions, directions
+from .spectrum import GRAM, Directions, directions, speaker_rows
 
 
 WIDE = 16  # dimensions that are summed side by side
+SPEAKERS = 256  # whose cells are laid out at a time
 
 
 # Linear positions -----------------------------------------------------------------------
@@ -70,6 +72,8 @@ def fit_pca(cells: DataFrame, k: int = 2, gram: int = GRAM) -> Components:
 
 def project_cells(cells: DataFrame, model: Components, centered: bool = True) -> DataFrame:
     """Long positions ``speaker, dim, value``: loadings joined to the cells that exist."""
+    if len(model.shift) > WIDE and model.found.vectors is not None:
+        return _projected(cells, model, centered)
     base = F.get(F.array(*[F.lit(s if centered else 0.0) for s in model.shift]), F.col("dim") - 1)
     once, dims = one_per_cell(cells), range(1, len(model.shift) + 1)
     if len(dims) > WIDE:
@@ -84,6 +88,41 @@ def project_cells(cells: DataFrame, model: Components, centered: bool = True) ->
     return long.withColumn("value", F.col("value") - base)
 
 
+def _projected(cells: DataFrame, model: Components, centered: bool) -> DataFrame:
+    """Positions as products of speakers' rows with the loadings, which go to the tasks.
+
+    A speaker's cells meet in one place first: joined to as many loadings each as there are
+    dimensions they would make more rows to shuffle than the matrix and the loadings have together.
+    """
+    loadings, shift = model.found.vectors @ model.by, np.array(model.shift) * centered
+    m, k = loadings.shape
+    rows = speaker_rows(one_per_cell(cells.repartition("speaker")), model.found.names, "stance_score")
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SPEAKERS):
+                part = batch.slice(at, SPEAKERS)
+                n, lists = part.num_rows, part.column("c")
+                row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+                flat = lists.flatten()
+                y = flat.field("stance_score").cast(pa.float64())
+                known = y.is_valid().to_numpy(zero_copy_only=False)
+                x = np.zeros((n, m))
+                x[row[known], flat.field("place").to_numpy(zero_copy_only=False)[known]] = y.to_numpy(zero_copy_only=False)[known]
+                none = np.bincount(row[known], minlength=n) == 0  # speakers without a score have no position
+                yield pa.record_batch(
+                    [
+                        part.column("speaker").take(pa.array(np.repeat(np.arange(n), k))),
+                        pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n)),
+                        pa.array((x @ loadings - shift).ravel(), mask=np.repeat(none, k)),
+                    ],
+                    ["speaker", "dim", "value"],
+                )
+
+    schema = T.StructType([cells.schema["speaker"], T.StructField("dim", T.IntegerType()), T.StructField("value", T.DoubleType())])
+    return rows.mapInArrow(projected, schema)
+
+
 def fit_svd(cells: DataFrame, k: int = 2, gram: int = GRAM) -> Components:
     """Truncated singular vectors, without centring."""
     found = directions(cells, k, centered=False, gram=gram)

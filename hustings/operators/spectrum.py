@@ -121,11 +121,16 @@ def directions(cells: DataFrame, k: int, centered: bool = True, gram: int = GRAM
     return _range(_stored(kept, "cells"), everything, speakers, n_topics, k, centered, tol)
 
 
+def speaker_rows(cells: DataFrame, topics: list, value: str) -> DataFrame:
+    """``speaker, c``: places of a speaker's topics in the list, with the values; no more than there are topics."""
+    places = cells.sparkSession.createDataFrame([(t, i) for i, t in enumerate(topics)], cells.select("topic").schema.add("place", "integer"))
+    return cells.join(F.broadcast(places), "topic").groupBy("speaker").agg(F.collect_list(F.struct("place", value)).alias("c"))
+
+
 def _cross_products(kept: DataFrame, topics: list) -> tuple[np.ndarray, np.ndarray]:
-    """Sums and cross-products of all topics; a speaker's cells are no more than the topics."""
+    """Sums and cross-products of all topics."""
     m = len(topics)
-    places = kept.sparkSession.createDataFrame([(t, i) for i, t in enumerate(topics)], kept.select("topic").schema.add("place", "integer"))
-    rows = kept.join(F.broadcast(places), "topic").groupBy("speaker").agg(F.collect_list(F.struct("place", "y")).alias("c"))
+    rows = speaker_rows(kept, topics, "y")
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((m + 1, m))

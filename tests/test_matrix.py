@@ -1,4 +1,9 @@
+import random
+import re
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hustings.operators import filters, groups, matrix, pool, resolve
 
@@ -19,6 +24,52 @@ def test_own_cells_stay_under_another_parent(spark):
     ]
 
 
+def test_filled_matrix_is_made_where_its_speakers_lie(spark):
+    """Own scores and parents' scores are shuffled, by speaker; the cells made of them are not."""
+    rnd = random.Random(5)
+    cells = spark.createDataFrame([(f"S{rnd.randrange(9)}", f"P{i % 4}", f"t{i % 40}", rnd.random()) for i in range(300)], CELLS)
+    got = matrix.fill_from_parent(cells, pool.topic_scores(cells), resolve.topic_parents(cells))
+    marked = matrix._marked(got.withColumn("topic", F.col("subtopic_2")), "topic")
+    plan = marked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    by = [set(re.findall(r"(\w+)#", x)) for x in re.findall(r"hashpartitioning\((.*?), \d+\)", plan)]
+    assert "FullOuter" not in plan and by.count({"speaker"}) == 2
+    assert all(x in ({"speaker"}, {"speaker", "subtopic_1"}) for x in by)
+
+
+def test_filled_cells_of_no_speaker_and_of_repeated_keys(spark):
+    """Null keys meet nothing, repeated parents and children each give a cell."""
+    cells = spark.createDataFrame([(None, "P", "s", 0.5), ("A", "P", "s", 0.1), ("A", "Q", None, 0.2), ("B", None, "u", None)], CELLS)
+    parents = spark.createDataFrame([(None, "P", 0.7), ("A", "P", 0.3), ("A", "P", 0.4), ("B", None, 0.9)], "speaker string, subtopic_1 string, stance_score double")
+    children = spark.createDataFrame([("s", "P"), (None, "P"), ("u", "Q")], "subtopic_2 string, subtopic_1 string")
+    got = [tuple(r) for r in matrix.fill_from_parent(cells, parents, children).collect()]
+    assert sorted(got, key=str) == sorted([
+        (None, "P", "s", 0.5, True), (None, "P", "s", 0.7, False), (None, "P", None, 0.7, False),
+        ("A", "P", "s", 0.1, True), ("A", "P", "s", 0.1, True), ("A", "Q", None, 0.2, True),
+        ("A", "P", None, 0.3, False), ("A", "P", None, 0.4, False), ("B", "Q", "u", None, False),
+    ], key=str)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3])
+def test_coverage_filter_against_brute_force(spark, share):
+    """Repeated cells, zeros and nulls; cells are kept by what was written beside them, not by a join."""
+    rnd = random.Random(8)
+    cells = [(rnd.choice([None, *"ABCDEFGHIJ"[: rnd.randrange(2, 11)]]), rnd.choice([None, *(f"t{i}" for i in range(rnd.randrange(1, 14)))]), rnd.choice([None, 0.0, 0.5, -1.0])) for _ in range(160)]
+    df = spark.createDataFrame(cells, "speaker string, topic string, stance_score double")
+    got = matrix.coverage_filter(df, 0.6, 0.5, share)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 1 and set(got.columns) == set(df.columns)
+
+    def partners(rows, by, of):
+        return {k: len({r[of] for r in rows if r[by] == k and r[2] and r[of] is not None}) for k in {r[by] for r in rows}}
+
+    n = partners(cells, 0, 1)
+    kept = [r for r in cells if r[0] is not None and n[r[0]] >= np.quantile([*n.values()], 0.6)]
+    m = {t: 0 for t in {r[1] for r in cells}} | {t: x for t, x in partners(kept, 1, 0).items() if t is not None}
+    good = {t for t, x in m.items() if t is not None and x >= np.quantile([*m.values()], 0.5) and x / len({r[0] for r in kept}) >= share}
+    want = [r for r in kept if r[1] in good]
+    assert want and sorted(map(tuple, got.select(*df.columns).collect()), key=str) == sorted(want, key=str)
+
+
 def test_last_pair_names_the_parent(spark):
     df = spark.createDataFrame([(0, "s", "Z"), (1, "s", "A"), (2, "s", "Z"), (3, "t", "B")], "o int, subtopic_2 string, subtopic_1 string")
     assert rows(resolve.topic_parents(df, "o")) == [("s", "A"), ("t", "B")]

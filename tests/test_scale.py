@@ -123,6 +123,29 @@ def test_components_of_small_matrices(spark):
     assert scale.fit_pca(still, 2).explained == [0.0, 0.0]
 
 
+@pytest.mark.parametrize("centered", [True, False])
+def test_many_dimensions_make_no_row_of_a_cell_and_a_dimension(spark, centered):
+    """Positions along more dimensions than stand side by side; topics the model lacks do not count."""
+    _, _, cells = responses(spark, 2, n=40, m=24, missing=0.3)
+    model = (scale.fit_pca if centered else scale.fit_svd)(cells, 24)
+    odd = [("s000", "unseen", 1.0), ("all null", "t01", None), ("unseen only", "unseen", 1.0), (None, "t02", 2.0), (None, "t03", None)]
+    lower = cells.selectExpr("speaker", "topic", "stance_score - 1")  # of a cell given twice the larger score counts
+    long = scale.project_cells(cells.union(lower).union(spark.createDataFrame(odd, cells.schema)), model, centered)
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert "loading" not in plan and "Generate" not in plan
+    got = {}
+    for r in long.collect():
+        got.setdefault(r.speaker, {})[r.dim] = r.value
+    assert long.dtypes == [("speaker", "string"), ("dim", "int"), ("value", "double")]
+    assert all(sorted(v) == list(range(1, 25)) for v in got.values())
+    assert set(got.pop("all null").values()) == {None} and "unseen only" not in got
+    shift = np.array(model.shift) if centered else 0.0
+    loadings = model.loadings.orderBy("topic").toPandas().iloc[:, 1:].values
+    assert np.allclose([got[None][i] for i in range(1, 25)], 2.0 * loadings[2] - shift)
+    want = filled(cells) @ loadings - shift
+    assert np.allclose([[got[f"s{s:03d}"][i] for i in range(1, 25)] for s in range(40)], want)
+
+
 @pytest.mark.parametrize("dims", [1, 2])
 def test_closed_form_equals_the_iterated_fit(spark, dims):
     _, _, cells = responses(spark, dims, n=40, m=10)
